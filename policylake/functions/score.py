@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from policylake import vocab
-from policylake.functions.text import extract_title, head, nullif_empty, rx, strip
+from policylake.functions.text import extract_title, head, let, nullif_empty, rx, strip
 
 
 def any_of(conditions: Iterable[Column]) -> Column:
@@ -44,8 +44,7 @@ def occurrence_score(text: Column, weights: Mapping[str, int]) -> Column:
 def keyword_relevance(text: Column, high: Sequence[str] = vocab.HIGH_VALUE_KEYWORDS,
                       medium: Sequence[str] = vocab.MEDIUM_VALUE_KEYWORDS) -> Column:
     """Weighted occurrence count: high-value terms 3, medium-value terms 1."""
-    low = F.lower(text)
-    return occurrence_score(low, {**{t: 1 for t in medium}, **{t: 3 for t in high}})
+    return let(F.lower(text), lambda low: occurrence_score(low, {**{t: 1 for t in medium}, **{t: 3 for t in high}}))
 
 
 def first_hit(cases: Iterable[tuple[Column, str]], default: Column | str | None = None) -> Column:
@@ -56,17 +55,28 @@ def first_hit(cases: Iterable[tuple[Column, str]], default: Column | str | None
     return F.coalesce(*hits)
 
 
+def score_array(scores: Sequence[tuple[str, Column]]) -> Column:
+    return F.array(*[s for _, s in scores])
+
+
+def argmax_of(names: Sequence[str], values: Column, default: str | None) -> Column:
+    """Name at the highest positive value; the earlier name wins a tie."""
+    best = F.array_max(values)
+    place = F.array_position(values, best).cast("int")
+    return F.when(best > 0, F.element_at(F.array(*[F.lit(n) for n in names]), place)).otherwise(F.lit(default))
+
+
 def argmax_first(scores: Sequence[tuple[str, Column]], default: str | None) -> Column:
-    """Name with the highest positive score; the earlier name wins a tie."""
-    best = F.greatest(*[s for _, s in scores], F.lit(0))
-    return F.when(best > 0, first_hit((s == best, name) for name, s in scores)).otherwise(
-        F.lit(default))
+    return let(score_array(scores), lambda v: argmax_of([n for n, _ in scores], v, default))
+
 
+def positive_map(names: Sequence[str], values: Column) -> Column:
+    """Map of the positive values."""
+    return F.map_filter(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), values), lambda _, v: v > 0)
 
-def positive_map(scores: Sequence[tuple[str, Column]]) -> Column:
-    """Map of the positive scores."""
-    entries = F.map_from_arrays(F.array(*[F.lit(n) for n, _ in scores]), F.array(*[s for _, s in scores]))
-    return F.map_filter(entries, lambda _, v: v > 0)
+
+def array_total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda a, b: a + b)
 
 
 # --- URLs and links -----------------------------------------------------------
@@ -74,21 +84,22 @@ def positive_map(scores: Sequence[tuple[str, Column]]) -> Column:
 def url_score(url: Column, high: Sequence[str] = vocab.URL_HIGH_PATTERNS,
               low: Sequence[str] = vocab.URL_LOW_PATTERNS) -> Column:
     """struct(score, reason, accepted) from URL patterns."""
-    text = F.lower(url)
-
-    def hits(patterns: Sequence[str]) -> Column:
+    def hits(text: Column, patterns: Sequence[str]) -> Column:
         return F.array_compact(F.array(*[F.when(text.rlike(rx(p)), F.lit(p)) for p in patterns]))
 
-    high_hits, low_hits = hits(high), hits(low)
-    score = F.size(high_hits) * 2 - F.size(low_hits)
-    reason = (
-        F.when(F.size(high_hits) > 0,
-               F.concat(F.lit("High-value patterns: "), F.array_join(high_hits, ", ")))
-        .when(F.size(low_hits) > 0,
-              F.concat(F.lit("Low-value patterns: "), F.array_join(low_hits, ", ")))
-        .otherwise("Neutral URL pattern")
-    )
-    return F.struct(score.alias("score"), reason.alias("reason"), (score > 0).alias("accepted"))
+    def verdict(h: Column) -> Column:
+        score = F.size(h["high"]) * 2 - F.size(h["low"])
+        reason = (
+            F.when(F.size(h["high"]) > 0,
+                   F.concat(F.lit("High-value patterns: "), F.array_join(h["high"], ", ")))
+            .when(F.size(h["low"]) > 0,
+                  F.concat(F.lit("Low-value patterns: "), F.array_join(h["low"], ", ")))
+            .otherwise("Neutral URL pattern")
+        )
+        return F.struct(score.alias("score"), reason.alias("reason"), (score > 0).alias("accepted"))
+
+    return let(F.lower(url), lambda text: let(
+        F.struct(hits(text, high).alias("high"), hits(text, low).alias("low")), verdict))
 
 
 def link_rules(edition: str = "all") -> dict[str, tuple[tuple[str, ...], tuple[str, ...]]]:
@@ -101,28 +112,26 @@ def link_rules(edition: str = "all") -> dict[str, tuple[tuple[str, ...], tuple[s
 
 def classify_link(text: Column, href: Column, url: Column, edition: str = "all", min_score: int = 2) -> Column:
     """struct(relevant_rules, primary_rule, scores, is_targeted) for a document link."""
-    joined = F.lower(F.concat_ws(" ", text, href, url))
-    scores = [
-        (name, presence_score(joined, keywords) * 2 + presence_score(joined, patterns))
-        for name, (keywords, patterns) in link_rules(edition).items()
-    ]
-    any_score = any_of(s > 0 for _, s in scores)
-    baseline = ~any_score & contains_any(joined, vocab.LINK_BASELINE_TERMS)
-    scores = [
-        (name, F.when(baseline, F.lit(min_score)).otherwise(s) if name == vocab.LINK_BASELINE_RULE else s)
-        for name, s in scores
-    ]
-    best = F.greatest(*[s for _, s in scores])
-    targeted = ~contains_any(joined, vocab.LINK_EXCLUDED_TERMS) & (best >= min_score)
-    found = positive_map(scores)
-    empty = F.map_filter(found, lambda k, v: F.lit(False))
-    rules = F.array_compact(F.array(*[F.when(targeted & (s > 0), F.lit(n)) for n, s in scores]))
-    return F.struct(
-        rules.alias("relevant_rules"),
-        F.when(targeted, argmax_first(scores, None)).alias("primary_rule"),
-        F.when(targeted, found).otherwise(empty).alias("scores"),
-        targeted.alias("is_targeted"),
-    )
+    rules = link_rules(edition)
+    names = list(rules)
+
+    def scored(joined: Column) -> Column:
+        raw = F.array(*[presence_score(joined, k) * 2 + presence_score(joined, p) for k, p in rules.values()])
+        # Baseline manual words count only where nothing else does.
+        baseline = F.array(*[F.lit(min_score if n == vocab.LINK_BASELINE_RULE else 0) for n in names])
+        return let(raw, lambda v: F.struct(
+            F.when((F.array_max(v) == 0) & contains_any(joined, vocab.LINK_BASELINE_TERMS), baseline)
+            .otherwise(v).alias("values"),
+            contains_any(joined, vocab.LINK_EXCLUDED_TERMS).alias("excluded")))
+
+    def verdict(s: Column) -> Column:
+        targeted = ~s["excluded"] & (F.array_max(s["values"]) >= min_score)
+        kept = F.when(targeted, s["values"]).otherwise(F.array_repeat(F.lit(0), len(names)))
+        return let(kept, lambda v: let(positive_map(names, v), lambda found: F.struct(
+            F.map_keys(found).alias("relevant_rules"), argmax_of(names, v, None).alias("primary_rule"),
+            found.alias("scores"), (F.size(found) > 0).alias("is_targeted"))))
+
+    return let(F.lower(F.concat_ws(" ", text, href, url)), lambda joined: let(scored(joined), verdict))
 
 
 def link_relevant(text: Column, href: Column, edition: str = "all") -> Column:
@@ -170,38 +179,39 @@ def detect_payer(text: Column, payers: Mapping[str, Sequence[str]] = vocab.PAYER
                  default: str | None = "Unknown", chars: int | None = None,
                  filename: Column | None = None) -> Column:
     """First listed payer with a keyword in the text (or in the file name)."""
-    low = F.lower(head(text, chars))
-    def hit(terms: Sequence[str]) -> Column:
+    def hit(low: Column, terms: Sequence[str]) -> Column:
         inside = contains_any(low, terms)
         return inside if filename is None else contains_any(F.lower(filename), terms) | inside
-    return first_hit(((hit(terms), name) for name, terms in payers.items()), default)
+    return let(F.lower(head(text, chars)), lambda low: first_hit(
+        ((hit(low, terms), name) for name, terms in payers.items()), default))
 
 
 def detect_state(text: Column, states: Sequence[str] = vocab.MINING_STATES, chars: int | None = None) -> Column:
-    low = F.lower(head(text, chars))
-    return first_hit((low.contains(s), s.title()) for s in states)
+    return let(F.lower(head(text, chars)), lambda low: first_hit((low.contains(s), s.title()) for s in states))
 
 
 def state_from_path(path: Column) -> Column:
     """First state code standing before '_' or as a folder of its own."""
-    up = F.upper(path)
     codes = [c for c in vocab.STATES if c not in vocab.TERRITORIES]
-    return first_hit((up.contains(f"{c}_") | up.contains(f"/{c}/"), c) for c in codes)
+    return let(F.upper(path), lambda up: first_hit(
+        (up.contains(f"{c}_") | up.contains(f"/{c}/"), c) for c in codes))
 
 
 def detect_policy_type(text: Column, types: Mapping[str, Sequence[str]] = vocab.POLICY_TYPES) -> Column:
-    low = F.lower(text)
-    return argmax_first([(name, total(occurrences(low, t) for t in terms)) for name, terms in types.items()],
-                        "general")
+    return let(F.lower(text), lambda low: argmax_first(
+        [(name, total(occurrences(low, t) for t in terms)) for name, terms in types.items()], "general"))
 
 
 def classify_policy_type(text: Column, share: float = 0.6) -> Column:
     """A topic holding more than ``share`` of the topic words; manuals are general."""
-    low = F.lower(text)
-    counts = [(name, occurrences(low, t)) for name, t in vocab.MANUAL_TOPICS.items()]
-    best, all_counts = F.greatest(*[c for _, c in counts]), total(c for _, c in counts)
-    dominant = ~contains_any(low, vocab.MANUAL_INDICATORS) & (best > 0) & (best / F.nullif(all_counts, F.lit(0)) > share)
-    return F.when(dominant, argmax_first(counts, "general")).otherwise("general")
+    names = list(vocab.MANUAL_TOPICS)
+
+    def verdict(low: Column) -> Column:
+        counts = F.array(*[occurrences(low, t) for t in vocab.MANUAL_TOPICS.values()])
+        return F.when(contains_any(low, vocab.MANUAL_INDICATORS), F.lit("general")).otherwise(let(counts, lambda v: F.when(
+            F.array_max(v) > array_total(v) * F.lit(share), argmax_of(names, v, "general")).otherwise("general")))
+
+    return let(F.lower(text), verdict)
 
 
 def detect_prior_auth(text: Column, strict: bool = False) -> Column:
@@ -225,10 +235,9 @@ def coverage_type(url: Column, text: Column) -> Column:
 
 def topics(text: Column, patterns: Mapping[str, Sequence[str]] = vocab.TOPICS) -> Column:
     """Sorted topic names."""
-    low = F.lower(text)
-    hits = [F.when(any_of(low.rlike(rx(p)) if ".*" in p else low.contains(p) for p in terms), F.lit(name))
-            for name, terms in sorted(patterns.items())]
-    return F.array_compact(F.array(*hits))
+    return let(F.lower(text), lambda low: F.array_compact(F.array(*[
+        F.when(any_of(low.rlike(rx(p)) if ".*" in p else low.contains(p) for p in terms), F.lit(name))
+        for name, terms in sorted(patterns.items())])))
 
 
 # --- quality --------------------------------------------------------------------
@@ -237,26 +246,33 @@ def quality_flags(title: Column, text: Column, page_count: Column, text_length:
                   categories: Mapping[str, Sequence[str]] = vocab.QUALITY_CATEGORIES,
                   exclusions: Sequence[str] = vocab.QUALITY_EXCLUSIONS) -> Column:
     """Category scores, exclusions, four quality flags and the relevance verdict."""
-    joined = F.concat(F.lower(title), F.lit(" "), F.lower(text))
-    scores = [(name, presence_score(joined, terms)) for name, terms in categories.items()]
-    excluded = presence_score(joined, exclusions)
-    relevance = total(s for _, s in scores) - excluded * 2
-    flags = {
-        "has_meaningful_title": F.length(strip(title)) > 10,
-        "sufficient_content": text_length > 1000,
-        "reasonable_pages": page_count.between(1, 500),
-        "no_exclusions": excluded == 0,
-    }
-    quality = total(f.cast("int") for f in flags.values())
-    return F.struct(
-        argmax_first(scores, "uncategorized").alias("primary_category"),
-        positive_map(scores).alias("category_scores"),
-        excluded.alias("exclusion_score"),
-        relevance.alias("relevance_score"),
-        quality.alias("quality_score"),
-        ((relevance > 0) & (quality >= 2)).alias("is_relevant"),
-        *[f.alias(name) for name, f in flags.items()],
-    )
+    names = list(categories)
+
+    def measured(joined: Column) -> Column:
+        return F.struct(
+            F.array(*[presence_score(joined, terms) for terms in categories.values()]).alias("values"),
+            presence_score(joined, exclusions).alias("excluded"))
+
+    def verdict(m: Column) -> Column:
+        relevance = array_total(m["values"]) - m["excluded"] * 2
+        flags = {
+            "has_meaningful_title": F.length(strip(title)) > 10,
+            "sufficient_content": text_length > 1000,
+            "reasonable_pages": page_count.between(1, 500),
+            "no_exclusions": m["excluded"] == 0,
+        }
+        quality = total(f.cast("int") for f in flags.values())
+        return F.struct(
+            argmax_of(names, m["values"], "uncategorized").alias("primary_category"),
+            positive_map(names, m["values"]).alias("category_scores"),
+            m["excluded"].alias("exclusion_score"),
+            relevance.alias("relevance_score"),
+            quality.alias("quality_score"),
+            ((relevance > 0) & (quality >= 2)).alias("is_relevant"),
+            *[f.alias(name) for name, f in flags.items()],
+        )
+
+    return let(F.concat(F.lower(title), F.lit(" "), F.lower(text)), lambda joined: let(measured(joined), verdict))
 
 
 def estimated_length(sample: Column, page_count: Column, sample_pages: int = 3) -> Column:
@@ -267,29 +283,38 @@ def estimated_length(sample: Column, page_count: Column, sample_pages: int = 3)
 def assess_content(text: Column, content_length: Column, word_count: Column, section_count: Column,
                    extracted: Column | None = None) -> Column:
     """Quality and relevance of a cleaned document: accept, review or reject."""
-    low = F.lower(text)
-    flags = {
-        "sufficient_length": content_length >= 500,
-        "reasonable_length": content_length <= 1_000_000,
-        "good_word_count": word_count >= 100,
-        "has_sections": section_count > 0,
-        "no_exclusion_patterns": ~contains_any(low, vocab.CONTENT_EXCLUSIONS),
-    }
     ok = F.lit(True) if extracted is None else extracted
-    quality = F.when(ok, total(f.cast("int") for f in flags.values())).otherwise(0)
-    relevance = F.when(ok, presence_score(low, [t.lower() for t in vocab.ESSENTIAL_TERMS])).otherwise(0)
-    verdict = (F.when((quality >= 4) & (relevance >= 2), "accept")
-               .when((quality >= 3) & (relevance >= 1), "review").otherwise("reject"))
-    reason = (
-        F.when(~ok, "Extraction failed")
-        .when(verdict == "accept",
-              F.concat(F.lit("High quality content with "), relevance.cast("string"), F.lit(" relevant terms")))
-        .when(verdict == "review", "Moderate quality, needs review")
-        .otherwise("Low quality or irrelevant content")
-    )
-    return F.struct(quality.alias("quality_score"), relevance.alias("relevance_score"),
-                    verdict.alias("recommendation"), reason.alias("reason"),
-                    *[f.alias(name) for name, f in flags.items()])
+
+    def measured(low: Column) -> Column:
+        flags = {
+            "sufficient_length": content_length >= 500,
+            "reasonable_length": content_length <= 1_000_000,
+            "good_word_count": word_count >= 100,
+            "has_sections": section_count > 0,
+            "no_exclusion_patterns": ~contains_any(low, vocab.CONTENT_EXCLUSIONS),
+        }
+        relevance = presence_score(low, [t.lower() for t in vocab.ESSENTIAL_TERMS])
+        return F.struct(F.when(ok, total(f.cast("int") for f in flags.values())).otherwise(0).alias("quality"),
+                        F.when(ok, relevance).otherwise(0).alias("relevance"),
+                        *[f.alias(name) for name, f in flags.items()])
+
+    def verdict(m: Column) -> Column:
+        accept = (m["quality"] >= 4) & (m["relevance"] >= 2)
+        review = (m["quality"] >= 3) & (m["relevance"] >= 1)
+        reason = (
+            F.when(~ok, "Extraction failed")
+            .when(accept, F.concat(F.lit("High quality content with "), m["relevance"].cast("string"),
+                                   F.lit(" relevant terms")))
+            .when(review, "Moderate quality, needs review")
+            .otherwise("Low quality or irrelevant content")
+        )
+        names = ("sufficient_length", "reasonable_length", "good_word_count", "has_sections", "no_exclusion_patterns")
+        return F.struct(
+            m["quality"].alias("quality_score"), m["relevance"].alias("relevance_score"),
+            F.when(accept, "accept").when(review, "review").otherwise("reject").alias("recommendation"),
+            reason.alias("reason"), *[m[n].alias(n) for n in names])
+
+    return let(F.lower(text), lambda low: let(measured(low), verdict))
 
 
 def size_gate(url: Column, content_type: Column, size: Column, min_bytes: int = vocab.SIZE_MIN_BYTES,

@@ -42,13 +42,27 @@ from orders join customer on o_custkey = c_custkey
 """
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table read in fewer partitions than there are cores.
+
+    Only a small single file is affected; a table of many splits is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def policy_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, payer_name, crawl_timestamp, url, text), one row per order."""
     statement = POLICY_DOCS_SQL.replace("from orders join customer", "from {orders} join {customer}")
-    return spark.sql(statement, orders=table(spark, sf_dir, "orders"),
+    # The narrow order rows are spread before the text is composed from them.
+    return spark.sql(statement, orders=spread(table(spark, sf_dir, "orders")),
                      customer=table(spark, sf_dir, "customer"))
