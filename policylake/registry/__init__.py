@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from policylake.registry import extracts, scores, texts  # noqa: F401
+from policylake.registry import extracts, scores, texts, versions  # noqa: F401
 from policylake.registry.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
