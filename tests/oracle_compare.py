@@ -9,6 +9,7 @@ import glob
 import math
 import os
 import sys
+import threading
 import time
 
 import duckdb
@@ -56,9 +57,14 @@ def compare(con, spark, name, fn, sql, sf_dir):
     took = time.time() - start
     if sql is None:
         return True, f"{len(got)} rows, no SQL, {took:.1f}s"
-    cur = con.execute(sql)
-    columns = [d[0] for d in cur.description]
-    want = cur.fetchall()
+    limit = threading.Timer(90, con.interrupt)
+    limit.start()
+    try:
+        cur = con.execute(sql)
+        columns = [d[0] for d in cur.description]
+        want = cur.fetchall()
+    finally:
+        limit.cancel()
     sql_took = time.time() - start - took
     if sorted(columns) != sorted(df.columns):
         return False, f"columns {sorted(df.columns)} != {sorted(columns)}"
