@@ -169,8 +169,9 @@ def document_relevance(text: Column, filename: Column,
     return presence_score(F.lower(F.concat(text, F.lit(" "), filename)), terms)
 
 
-def is_rule_content(text: Column, section_type: str, min_chars: int = 20) -> Column:
-    return contains_any(F.lower(text), vocab.RULE_INDICATORS.get(section_type, ())) & (F.length(text) > min_chars)
+def is_rule_content(text: Column, section_type: str, min_chars: int = 20,
+                    indicators: Mapping[str, Sequence[str]] = vocab.RULE_INDICATORS) -> Column:
+    return contains_any(F.lower(text), indicators.get(section_type, ())) & (F.length(text) > min_chars)
 
 
 # --- payers, states, types ------------------------------------------------------

@@ -35,25 +35,23 @@ def crawl(seeds: DataFrame, links: DataFrame, allowed: DataFrame, max_depth: int
         frontier = _queue(frontier, ["position", "url"], max_pages)
     visited = frontier = checkpointed(frontier)
     levels = []
+    budgeted = max_pages is not None
     for depth in range(max_depth + 1):
-        out = frontier.join(edges, frontier["url"] == edges["src"]).select(
-            frontier["company"], frontier["url"].alias("parent_url"),
-            *([F.col("queue").alias("parent_queue")] if max_pages is not None else []),
-            edges["position"], edges["text"], edges["href"], edges["url"], edges["is_pdf"])
-        inside = out.join(allowed, "company").where(domain_allowed(F.col("url"), F.col("domains"))).drop("domains")
-        levels.append(inside.where("is_pdf").select(
+        sources = frontier.select("company", F.col("url").alias("src"),
+                                  *([F.col("queue").alias("parent_queue")] if budgeted else []))
+        out = sources.join(edges, "src").join(allowed, "company").where(
+            domain_allowed(F.col("url"), F.col("domains"))).drop("domains").withColumnRenamed("src", "parent_url")
+        levels.append(out.where("is_pdf").select(
             "company", F.lit(depth).alias("depth"), "parent_url", "position", "text", "href", "url"))
         if depth == max_depth:
             break
-        found_by = ["parent_queue" if max_pages is not None else "parent_url", "position"]
-        found = inside.where(~F.col("is_pdf")).join(
-            visited.select("company", "url"), ["company", "url"], "left_anti")
-        first = found.groupBy("company", "url").agg(
-            F.min(F.struct(*found_by, "parent_url")).alias("by"))
-        following = first.select("company", "url", F.lit(depth + 1).alias("depth"),
-                                 F.col("by.parent_url").alias("parent_url"), F.col("by.position").alias("position"),
-                                 *([F.col("by.parent_queue").alias("parent_queue")] if max_pages is not None else []))
-        if max_pages is not None:
+        found = out.where(~F.col("is_pdf")).join(visited.select("company", "url"), ["company", "url"], "left_anti")
+        order = ["parent_queue", "position", "parent_url"] if budgeted else ["parent_url", "position"]
+        following = found.groupBy("company", "url").agg(F.min(F.struct(*order)).alias("by")).select(
+            "company", "url", F.lit(depth + 1).alias("depth"), F.col("by.parent_url").alias("parent_url"),
+            F.col("by.position").alias("position"),
+            *([F.col("by.parent_queue").alias("parent_queue")] if budgeted else []))
+        if budgeted:
             following = _budget(following, visited, max_pages)
         frontier = checkpointed(following)
         if frontier.isEmpty():

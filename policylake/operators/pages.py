@@ -180,7 +180,8 @@ def page_downloads(parsed: DataFrame) -> DataFrame:
                        S.keyword_relevance(F.col("link.text")).alias("relevance_score"))
 
 
-def page_rules(parsed: DataFrame, section_type: Column | str) -> DataFrame:
+def page_rules(parsed: DataFrame, section_type: Column | str,
+               indicators: Mapping[str, Sequence[str]] = vocab.RULE_INDICATORS) -> DataFrame:
     """List items and paragraphs that read like rules of a section type."""
     rest = [c for c in parsed.columns if c != "page"]
     texts = F.concat(
@@ -191,12 +192,14 @@ def page_rules(parsed: DataFrame, section_type: Column | str) -> DataFrame:
     rows = parsed.select(*rest, F.posexplode(texts).alias("position", "r")).select(
         *rest, "position", "r.type", "r.content", "r.source")
     if isinstance(section_type, str):
-        return rows.where(S.is_rule_content(F.col("content"), section_type))
-    return rows.where(S.first_hit((section_type.eqNullSafe(name) & S.is_rule_content(F.col("content"), name), name)
-                                  for name in vocab.RULE_INDICATORS).isNotNull())
+        return rows.where(S.is_rule_content(F.col("content"), section_type, indicators=indicators))
+    return rows.where(S.any_of(
+        section_type.eqNullSafe(name) & S.is_rule_content(F.col("content"), name, indicators=indicators)
+        for name in indicators))
 
 
-def target_sections(parsed: DataFrame, targets: Mapping[str, Sequence[str]] = vocab.TARGET_SECTIONS) -> DataFrame:
+def target_sections(parsed: DataFrame, targets: Mapping[str, Sequence[str]] = vocab.TARGET_SECTIONS,
+                    link_terms: Sequence[str] = vocab.PAGE_LINK_TERMS) -> DataFrame:
     """(page, section_type, kind, position, label): sections, relevant links and documents naming a target."""
     rest = [c for c in parsed.columns if c != "page"]
     parts = F.concat(
@@ -212,7 +215,7 @@ def target_sections(parsed: DataFrame, targets: Mapping[str, Sequence[str]] = vo
     rows = parsed.select(*rest, F.explode(parts).alias("p")).select(*rest, "p.*")
     usable = rows.where(
         (F.col("kind") == "section")
-        | ((F.col("kind") == "link") & (F.col("label") != "") & S.page_link_relevant(F.col("label"), F.col("href")))
+        | ((F.col("kind") == "link") & (F.col("label") != "") & S.page_link_relevant(F.col("label"), F.col("href"), link_terms))
         | ((F.col("kind") == "document") & S.is_download(F.col("href"))))
     low = F.lower("body")
     hits = F.array_compact(F.array(*[
@@ -222,12 +225,14 @@ def target_sections(parsed: DataFrame, targets: Mapping[str, Sequence[str]] = vo
 
 
 def detailed_pages(targets: DataFrame, links: DataFrame, pages: DataFrame, per_type: int = 3,
-                   page_id: str = "page_id") -> DataFrame:
+                   page_id: str = "page_id",
+                   indicators: Mapping[str, Sequence[str]] = vocab.RULE_INDICATORS) -> DataFrame:
     """Rules of the stored pages behind the first matched links of each page and section type."""
     chosen = first_n_per_key(targets.where("kind = 'link'"), [page_id, "section_type"], [F.asc("position")], per_type)
-    linked = chosen.join(links.select(page_id, "position", "link_url"), [page_id, "position"])
+    linked = chosen.join(links.select(page_id, "position", "link_url"), [page_id, "position"]).select(
+        page_id, "section_type", "link_url")
     stored = pages.withColumnRenamed("url", "link_url").withColumnRenamed(page_id, "target_page_id")
-    return page_rules(linked.join(stored, "link_url"), F.col("section_type"))
+    return page_rules(linked.join(stored, "link_url"), F.col("section_type"), indicators)
 
 
 def relevant_documents(links: DataFrame, direct: DataFrame | None = None, limit: int = 20) -> DataFrame:

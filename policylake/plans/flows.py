@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from policylake import vocab
@@ -37,3 +37,21 @@ def rule_fields(docs: DataFrame, payers: Mapping[str, Sequence[str]] = vocab.PAY
     return found.withColumn("confidence_score", S.confidence_fields(
         F.col("payer"), F.col("policy_type"), F.col("effective_date"), F.col("timely_filing_days"),
         F.col("prior_auth_required"), F.col("key_requirements")))
+
+
+def section_chunks(docs: DataFrame, size: int = vocab.SENTENCE_CHUNK[0], overlap: int = vocab.SENTENCE_CHUNK[1],
+                   compat: bool = False) -> DataFrame:
+    """Chunk records of ``docs(filename, payer, text)``: sections, cut further where they are long."""
+    parts = docs.select("filename", "payer", F.posexplode(C.split_sections(F.col("text"), compat)).alias("part", "s")).select(
+        "filename", "payer", "part", F.col("s.section").alias("section"), F.col("s.content").alias("content"))
+    # A text without headers is always cut; a section only when it is too long.
+    cut = (F.col("section") == "General") | (F.length("content") > size)
+    pieces = F.when(cut, C.chunk_sentence(F.col("content"), size, overlap)).otherwise(
+        F.array(F.struct(F.lit(0).alias("chunk_idx"), F.col("content").alias("chunk"))))
+    rows = parts.select("filename", "payer", "part", "section", F.inline(pieces))
+    in_file = Window.partitionBy("filename").orderBy("part", "chunk_idx")
+    return rows.withColumn("number", F.row_number().over(in_file) - 1).select(
+        F.concat("filename", F.lit("_"), F.col("number").cast("string")).alias("chunk_id"),
+        F.col("chunk").alias("text"), "section", S.topics(F.col("chunk")).alias("topics"),
+        F.coalesce("payer", F.lit("unknown")).alias("payer"), F.coalesce("filename", F.lit("unknown")).alias("source_file"),
+        F.length("chunk").alias("char_count"))

@@ -1,6 +1,8 @@
 """All registered queries."""
 
-from policylake.registry import coverage_reports, extracts, scores, texts, versions  # noqa: F401
+from policylake.registry import (
+    coverage_reports, extracts, retrieval_queries, scores, texts, versions, webpages,
+)  # noqa: F401
 from policylake.registry.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
