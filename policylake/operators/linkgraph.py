@@ -24,9 +24,7 @@ def crawl(seeds: DataFrame, links: DataFrame, allowed: DataFrame, max_depth: int
     were found in, by finder and then by position on it. Without a budget the
     order only decides which finder is named, and the smallest address is.
     """
-    # Domain, kind and relevance of a link do not depend on how it was reached.
     relevant = S.link_relevant(F.col("text"), F.col("href"), edition)
-    edges = links.withColumn("is_pdf", S.is_pdf_url(F.col("url"))).where(F.col("is_pdf") | relevant)
     frontier = first_n_per_key(
         seeds.select("company", "url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_url"),
                      F.col("position") if "position" in seeds.columns else F.lit(0).alias("position")),
@@ -39,8 +37,12 @@ def crawl(seeds: DataFrame, links: DataFrame, allowed: DataFrame, max_depth: int
     for depth in range(max_depth + 1):
         sources = frontier.select("company", F.col("url").alias("src"),
                                   *([F.col("queue").alias("parent_queue")] if budgeted else []))
-        out = sources.join(edges, "src").join(allowed, "company").where(
-            domain_allowed(F.col("url"), F.col("domains"))).drop("domains").withColumnRenamed("src", "parent_url")
+        # A page is visited once, so each link is judged once per company; both uses below read the result.
+        out = checkpointed(
+            sources.join(links, "src").join(allowed, "company")
+            .where(domain_allowed(F.col("url"), F.col("domains"))).drop("domains")
+            .withColumn("is_pdf", S.is_pdf_url(F.col("url"))).where(F.col("is_pdf") | relevant)
+            .withColumnRenamed("src", "parent_url"))
         levels.append(out.where("is_pdf").select(
             "company", F.lit(depth).alias("depth"), "parent_url", "position", "text", "href", "url"))
         if depth == max_depth:

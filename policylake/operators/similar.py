@@ -105,9 +105,10 @@ def _greedy_rounds(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame],
     undecided; what resembles a kept item is dropped. A dropped item stays open
     as long as something undecided before its match could turn out to be an
     earlier match. The first undecided item is always decided, and so is most
-    of a crowded block.
+    of a crowded block. An item that is not ``eligible`` is compared but never
+    kept.
     """
-    open_items = checkpointed(blocks.withColumn("bound", F.lit(None).cast("long")))
+    open_items = checkpointed(blocks.withColumn("bound", F.when(~F.col("eligible"), F.col("sid"))).drop("eligible"))
     hits = None
     while not open_items.isEmpty():
         undecided = open_items.where("bound is null")
@@ -143,17 +144,21 @@ def _greedy_rounds(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame],
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text: str, threshold: float = 0.8,
-                    word_overlap: float = 0.5, front: int = 32) -> DataFrame:
+                    word_overlap: float = 0.5, front: int = 32, eligible: Column | None = None) -> DataFrame:
     """(id, dup_of, similarity): documents resembling an earlier kept one, in id order.
 
     Two documents are compared when their word sets overlap by ``word_overlap``
     and count as duplicates when the ratio of the normalised texts reaches
-    ``threshold``. Kept documents have a null ``dup_of``.
+    ``threshold``. Others have a null ``dup_of``; of these the ``eligible`` ones
+    (all, by default) are kept and are what later documents are compared with.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), similarity_text(F.col(text)).alias("plain"))
-    folded = checkpointed(plain.groupBy("plain").agg(F.min("id").alias("sid")).select(
-        "sid", "plain", word_set(F.col("plain")).alias("words")))
-    blocks = _prefix_blocks(folded.where(F.size("words") > 0), [], word_overlap)
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), similarity_text(F.col(text)).alias("plain"),
+                        (F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))).alias("eligible"))
+    # Equal eligible texts share one outcome. An ineligible copy may come before or after its original is kept.
+    alone = F.when(~F.col("eligible"), F.col("id")).alias("alone")
+    folded = checkpointed(plain.groupBy("plain", "eligible", alone).agg(F.min("id").alias("sid")).select(
+        "sid", "eligible", "plain", word_set(F.col("plain")).alias("words")))
+    blocks = _prefix_blocks(folded.where(F.size("words") > 0), ["eligible"], word_overlap)
 
     def verify(candidates: DataFrame) -> DataFrame:
         new = folded.select("sid", F.col("plain").alias("new"), F.col("words").alias("wn"))
@@ -167,14 +172,16 @@ def near_duplicates(docs: DataFrame, id_col: str, text: str, threshold: float =
             F.col("similarity") >= threshold)
 
     outcome = _greedy_rounds(blocks, verify, front, word_overlap)
-    decided = folded.select("sid", F.md5("plain").alias("_text")).join(outcome, "sid", "left")
+    decided = folded.select("sid", "eligible", F.md5("plain").alias("_text")).join(outcome, "sid", "left")
+    originals = decided.where("eligible").drop("eligible")
     # A copy of a kept text repeats that text; a copy of a dropped one shares its match.
-    members = plain.select("id", F.md5("plain").alias("_text")).join(decided, "_text")
+    copies = plain.where("eligible").select("id", F.md5("plain").alias("_text")).join(originals, "_text")
     copy = F.col("dup_of").isNull() & (F.col("id") != F.col("sid"))
-    return members.select(
+    return copies.select(
         "id",
         F.when(copy, F.col("sid")).otherwise(F.col("dup_of")).alias("dup_of"),
-        F.when(copy, F.lit(1.0)).otherwise(F.col("similarity")).alias("similarity"))
+        F.when(copy, F.lit(1.0)).otherwise(F.col("similarity")).alias("similarity"),
+    ).unionByName(decided.where("not eligible").select(F.col("sid").alias("id"), "dup_of", "similarity"))
 
 
 def similar_policies(policies: DataFrame, content: str, threshold: float = 0.85, word_overlap: float = 0.5,
