@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,13 +30,22 @@ def first_of(items: Column) -> Column:
     return F.get(items, F.lit(0))
 
 
-def matches_with_offsets(text: Column, pattern: str, group: int = 1, **flags: bool) -> Column:
+MATCHES = "array<struct<start:int,match:string,captured:string>>"
+
+
+def without_marks(text: Column) -> Column:
+    """Text free of the two control marks that ``matches_with_offsets`` uses."""
+    marked = text.contains(START_MARK) | text.contains(GROUP_MARK)
+    return F.when(marked, F.translate(text, START_MARK + GROUP_MARK, "  ")).otherwise(text)
+
+
+def matches_with_offsets(clean: Column, pattern: str, group: int = 1, **flags: bool) -> Column:
     """array<struct<start, match, captured>> of all non-overlapping matches, 0-based starts.
 
     Each match is fenced with control marks and the text is cut there, so odd
-    pieces are matches and the lengths before them give the offsets.
+    pieces are matches and the lengths before them give the offsets. ``clean``
+    is free of the marks.
     """
-    clean = F.translate(text, START_MARK + GROUP_MARK, "  ")
     captured = f"${group}" if group else ""
     fenced = F.regexp_replace(clean, rx(pattern, **flags),
                               f"{START_MARK}$0{GROUP_MARK}{captured}{START_MARK}")
@@ -44,21 +54,18 @@ def matches_with_offsets(text: Column, pattern: str, group: int = 1, **flags: bo
         # Running position, one entry per piece: only the part before GROUP_MARK is text.
         def step(state: Column, piece: Column) -> Column:
             plain = F.substring_index(piece, GROUP_MARK, 1)
-            is_match = piece.contains(GROUP_MARK)
             entry = F.struct(state["pos"].alias("start"), plain.alias("match"),
                              F.substring_index(piece, GROUP_MARK, -1).alias("captured"))
             return F.struct(
                 (state["pos"] + F.length(plain)).alias("pos"),
-                F.when(is_match, F.concat(state["out"], F.array(entry))).otherwise(state["out"]).alias("out"),
+                F.when(piece.contains(GROUP_MARK), F.concat(state["out"], F.array(entry)))
+                .otherwise(state["out"]).alias("out"),
             )
-        start = F.struct(
-            F.lit(0).alias("pos"),
-            F.array().cast("array<struct<start:int,match:string,captured:string>>").alias("out"),
-        )
+        start = F.struct(F.lit(0).alias("pos"), F.array().cast(MATCHES).alias("out"))
         return F.aggregate(pieces, start, step, lambda state: state["out"])
 
-    return F.when(clean.rlike(rx(pattern, **flags)), let(F.split(fenced, START_MARK, -1), collect)).otherwise(
-        F.array().cast("array<struct<start:int,match:string,captured:string>>"))
+    return let(F.split(fenced, START_MARK, -1), lambda pieces: F.when(F.size(pieces) > 1, collect(pieces)).otherwise(
+        F.array().cast(MATCHES)))
 
 
 # --- identifiers -------------------------------------------------------------------
@@ -203,22 +210,29 @@ def key_requirements(text: Column, max_items: int | None = 5) -> Column:
 RULE_TYPE = "array<struct<ord:int,rule_type:string,start:int,matched:string,captured:string>>"
 
 
-def rule_matches(text: Column, patterns: Sequence[tuple[str, str]], grouped: bool, **flags: bool) -> Column:
+def rule_matches(text: Column, patterns: Sequence[tuple[str, str]], needs: Sequence[tuple[str, ...]],
+                 grouped: bool, **flags: bool) -> Column:
     """All matches of all patterns, in pattern order, with their offsets.
 
     ``captured`` is the first group, or the whole match where a pattern has none.
+    ``needs`` names words no match can do without; a pattern only runs over a
+    text that has them.
     """
-    def of_pattern(order: int, rule_type: str, pattern: str) -> Column:
+    def of_pattern(t: Column, order: int, rule_type: str, pattern: str) -> Column:
         has_group = grouped and "(" in pattern.replace("(?:", "")
-        found = matches_with_offsets(text, pattern, 1 if has_group else 0, **flags)
-        return F.transform(found, lambda m: F.struct(
+        found = F.transform(matches_with_offsets(t["clean"], pattern, 1 if has_group else 0, **flags), lambda m: F.struct(
             F.lit(order).alias("ord"), F.lit(rule_type).alias("rule_type"), m["start"].alias("start"),
             m["match"].alias("matched"), m["captured" if has_group else "match"].alias("captured")))
-    return F.concat(*[of_pattern(i, t, p) for i, (t, p) in enumerate(patterns)]).cast(RULE_TYPE)
+        possible = reduce(lambda a, b: a & b, [t["low"].contains(w) for w in needs[order]], F.lit(True))
+        return F.when(possible, found.cast(RULE_TYPE)).otherwise(F.array().cast(RULE_TYPE))
+
+    both = F.struct(without_marks(text).alias("clean"), F.lower(text).alias("low"))
+    return let(both, lambda t: F.concat(*[of_pattern(t, i, k, p) for i, (k, p) in enumerate(patterns)]))
 
 
 def rules_with_window(text: Column, patterns: Sequence[tuple[str, str]] = vocab.WINDOW_RULES,
-                      context: int = vocab.WINDOW_CONTEXT) -> Column:
+                      context: int = vocab.WINDOW_CONTEXT,
+                      needs: Sequence[tuple[str, ...]] = vocab.WINDOW_NEEDS) -> Column:
     """Matches with up to ``context`` characters on either side."""
     def widen(m: Column) -> Column:
         start = F.greatest(m["start"] - F.lit(context), F.lit(0))
@@ -226,7 +240,7 @@ def rules_with_window(text: Column, patterns: Sequence[tuple[str, str]] = vocab.
         around = strip(F.substring(text, start + F.lit(1), end - start))
         return F.struct(m["ord"].alias("ord"), m["rule_type"].alias("policy_type"), m["start"].alias("start"),
                         m["matched"].alias("matched_text"), around.alias("context"))
-    return F.transform(rule_matches(text, patterns, grouped=False, ignore_case=True), widen)
+    return F.transform(rule_matches(text, patterns, needs, grouped=False, ignore_case=True), widen)
 
 
 def sentence_at(text: Column, start: Column) -> Column:
@@ -237,21 +251,23 @@ def sentence_at(text: Column, start: Column) -> Column:
 
 
 def rules_in_sentence(text: Column, patterns: Sequence[tuple[str, str]] = vocab.SENTENCE_RULES,
-                      numeric_as_sentence: bool = True) -> Column:
+                      numeric_as_sentence: bool = True,
+                      needs: Sequence[tuple[str, ...]] = vocab.SENTENCE_NEEDS) -> Column:
     """Matches with their sentence; sentences under 20 characters are left out.
 
     A bare number can never pass for a requirement, so by default the sentence
     stands in for it; ``numeric_as_sentence=False`` keeps the number.
     """
     def describe(m: Column) -> Column:
-        requirement = strip(m["captured"])
-        sentence = sentence_at(text, m["start"])
-        if numeric_as_sentence:
-            requirement = F.when(requirement.rlike(r"^\p{Nd}+$"), sentence).otherwise(requirement)
-        return F.struct(m["ord"].alias("ord"), m["rule_type"].alias("rule_type"), m["start"].alias("start"),
-                        requirement.alias("requirement"), sentence.alias("full_context"),
-                        m["matched"].alias("source_text"))
-    found = F.transform(rule_matches(text, patterns, grouped=True, ignore_case=True, multiline=True), describe)
+        def finish(sentence: Column) -> Column:
+            requirement = strip(m["captured"])
+            if numeric_as_sentence:
+                requirement = F.when(requirement.rlike(r"^\p{Nd}+$"), sentence).otherwise(requirement)
+            return F.struct(m["ord"].alias("ord"), m["rule_type"].alias("rule_type"), m["start"].alias("start"),
+                            requirement.alias("requirement"), sentence.alias("full_context"),
+                            m["matched"].alias("source_text"))
+        return let(sentence_at(text, m["start"]), finish)
+    found = F.transform(rule_matches(text, patterns, needs, grouped=True, ignore_case=True, multiline=True), describe)
     return F.filter(found, lambda r: F.length(r["full_context"]) >= 20)
 
 
@@ -322,7 +338,7 @@ def section_text(text: Column, section: str, budget: int | None = vocab.SECTION_
 def section_headers(text: Column, max_items: int | None = 20) -> Column:
     """Header lines by position (capitals, SECTION/CHAPTER n, numbered)."""
     def of_pattern(order: int, pattern: str) -> Column:
-        return F.transform(matches_with_offsets(text, pattern, multiline=True), lambda m: F.struct(
+        return F.transform(matches_with_offsets(without_marks(text), pattern, multiline=True), lambda m: F.struct(
             m["start"].alias("start"), F.lit(order).alias("ord"), strip(m["captured"]).alias("title")))
     found = F.concat(*[of_pattern(i, p) for i, p in enumerate(vocab.SECTION_HEADER_PATTERNS)])
     fitting = F.filter(found, lambda h: (F.length(h["title"]) > 10) & (F.length(h["title"]) < 100))

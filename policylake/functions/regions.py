@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from policylake import vocab
-from policylake.functions.text import rx
+from policylake.functions.text import let, rx
 
 CODES = tuple(vocab.STATES)
 
@@ -34,25 +34,27 @@ def regions_from_url(url: Column, patterns: tuple[str, ...] = vocab.REGION_URL_P
 
 
 def regions_from_content(text: Column, case_sensitive: bool = False,
-                         patterns: tuple[str, ...] = vocab.REGION_TEXT_PATTERNS) -> Column:
+                         patterns: tuple[tuple[str, str], ...] = vocab.REGION_TEXT_PATTERNS) -> Column:
     """Sorted state codes named in a text.
 
     Codes are looked for in lower case, so ordinary words such as 'in' count;
     ``case_sensitive`` asks for capitals.
     """
-    low = F.lower(text)
-    if case_sensitive:
-        codes = F.regexp_extract_all(text, F.lit(rx(rf"\b({'|'.join(CODES)})\b")), F.lit(1))
-    else:
-        codes = F.transform(
-            F.regexp_extract_all(low, F.lit(rx(rf"\b({'|'.join(c.lower() for c in CODES)})\b")), F.lit(1)), F.upper)
-    by_name = _named(lambda name: low.contains(name.lower()))
-    captured = F.transform(
-        F.concat(*[F.regexp_extract_all(text, F.lit(rx(p, ignore_case=True)), F.lit(1)) for p in patterns]), F.upper)
-    by_pattern = F.array_intersect(captured, code_array())
-    if case_sensitive:
-        by_pattern = F.array().cast("array<string>")
-    return F.array_sort(F.array_union(F.array_union(F.array_distinct(codes), by_name), by_pattern))
+    def found(low: Column) -> Column:
+        # Two-letter words first, then those that are codes.
+        pairs = F.regexp_extract_all(text if case_sensitive else low, F.lit(rx(r"\b[A-Za-z]{2}\b")), F.lit(0))
+        shown = pairs if case_sensitive else F.transform(F.array_distinct(pairs), F.upper)
+        codes = F.array_intersect(shown, code_array())
+        by_name = _named(lambda name: low.contains(name.lower()))
+        if case_sensitive:
+            return F.array_sort(F.array_union(codes, by_name))
+        captured = F.concat(*[
+            F.when(low.contains(word), F.regexp_extract_all(text, F.lit(rx(p, ignore_case=True)), F.lit(1)))
+            .otherwise(F.array().cast("array<string>")) for p, word in patterns])
+        by_pattern = F.array_intersect(F.transform(captured, F.upper), code_array())
+        return F.array_sort(F.array_union(F.array_union(codes, by_name), by_pattern))
+
+    return let(F.lower(text), found)
 
 
 def region_scope(count: Column) -> Column:

@@ -137,8 +137,10 @@ def classify_link(text: Column, href: Column, url: Column, edition: str = "all",
 def link_relevant(text: Column, href: Column, edition: str = "all") -> Column:
     """Worth following: any rule keyword, URL pattern or extra term."""
     terms = [t for keywords, patterns in link_rules(edition).values() for t in keywords + patterns]
-    joined = F.concat(F.lower(text), F.lit(" "), F.lower(href))
-    return contains_any(joined, dict.fromkeys(terms + list(vocab.LINK_EXTRA_TERMS)))
+    # A term that contains another term adds nothing to "any of them".
+    every = dict.fromkeys(terms + list(vocab.LINK_EXTRA_TERMS))
+    shortest = [t for t in every if not any(o != t and o in t for o in every)]
+    return let(F.lower(F.concat_ws(" ", text, href)), lambda joined: contains_any(joined, shortest))
 
 
 def page_link_relevant(text: Column, href: Column, terms: Sequence[str] = vocab.PAGE_LINK_TERMS) -> Column:

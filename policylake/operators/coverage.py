@@ -52,13 +52,14 @@ def payer_coverage(analysed: DataFrame, expected: DataFrame) -> DataFrame:
     Completeness counts every found region, so it may exceed 1;
     ``completeness_capped`` does not.
     """
-    totals = analysed.groupBy("payer_name").agg(F.count("*").alias("total_documents"))
-    found = payer_regions(analysed).groupBy("payer_name").agg(
+    # One row per region, or one without a region: documents are counted on their first row.
+    rows = analysed.select("payer_name", F.posexplode_outer("all_regions").alias("place", "region"))
+    found = rows.groupBy("payer_name").agg(
+        F.sum((F.coalesce("place", F.lit(0)) == 0).cast("long")).alias("total_documents"),
         F.array_sort(F.collect_set("region")).alias("covered_regions"))
     wanted = expected.groupBy("payer_name").agg(F.array_sort(F.collect_set("region")).alias("expected_regions"))
     none = F.array().cast("array<string>")
-    joined = totals.join(found, "payer_name", "left").join(wanted, "payer_name", "left").withColumns({
-        "covered_regions": F.coalesce("covered_regions", none),
+    joined = found.join(wanted, "payer_name", "left").withColumns({
         "expected_regions": F.coalesce("expected_regions", none),
     })
     ratio = F.coalesce(F.try_divide(F.size("covered_regions"), F.size("expected_regions")), F.lit(0.0))

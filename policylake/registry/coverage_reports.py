@@ -18,7 +18,7 @@ EDGE = r"[^\p{L}\p{N}_]"
 
 def regions_sql(source: str) -> str:
     url_found = " || ".join(f"regexp_extract_all(url, {q(p)}, 1)" for p in vocab.REGION_URL_PATTERNS)
-    text_found = " || ".join(f"regexp_extract_all(text, {q('(?i)' + p)}, 1)" for p in vocab.REGION_TEXT_PATTERNS)
+    text_found = " || ".join(f"regexp_extract_all(text, {q('(?i)' + p)}, 1)" for p, _ in vocab.REGION_TEXT_PATTERNS)
     return STATES_SQL + f""",
 seen as (select *, [upper(x) for x in {url_found}] as url_codes, [upper(x) for x in {text_found}] as text_codes,
     replace(replace(upper(url), '-', ''), '_', '') as squeezed, lower(text) as low,

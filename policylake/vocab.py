@@ -326,6 +326,13 @@ WINDOW_RULES = (  # type, pattern; context is 200 characters on both sides
     ("claims", r"billing requirements.{0,100}"),
     ("claims", r"reimbursement.{0,100}"),
 )
+# Words no match of the same-numbered pattern can do without.
+WINDOW_NEEDS = (
+    ("prior authorization", "required"), ("pa", "required"), ("pre-authorization", "necessary"),
+    ("timely filing", "days"), ("claim", "submit", "within", "days"), ("filing deadline", "days"),
+    ("appeal", "days"), ("reconsideration", "days"), ("dispute", "within", "days"),
+    ("claim submission",), ("billing requirements",), ("reimbursement",),
+)
 WINDOW_CONTEXT = 200
 FIRST_MATCH_RULES = (
     ("prior_auth", r"prior\s+auth|pre[-\s]?auth|PA\s+required"),
@@ -364,6 +371,15 @@ SENTENCE_RULES = (
     ("coding", r"(?:diagnosis|procedure)\s+code(?:s)?\s+(?:required|must\s+be)\s+([^.]+?)(?:\.|$)"),
     ("coding", r"coding\s+(?:requirements?|guidelines?):?\s*([^.]+?)(?:\.|$)"),
 )
+# Words no match of the same-numbered pattern can do without.
+SENTENCE_NEEDS = (
+    ("auth",), ("require", "authorization"), ("must", "auth"), ("authorization", "required", "for"),
+    ("within",), ("filing",), ("claim", "must", "within"), ("day", "filing"),
+    ("within",), (), ("to",), ("claim", "submitted"), ("claim",),
+    ("claim", "submission"), (), ("verify", "eligibility"), (),
+    ("referral", "for"), ("require", "referral"), ("services", "referral"), (),
+    ("must",), ("submit", "following", "documentation"), ("code",), ("code",), ("coding",),
+)
 MEANINGFUL_WORDS = ("required", "must", "need", "submit", "within", "authorization", "claim", "file", "verify")
 MODAL_WORDS = ("must", "required", "shall", "will")
 
@@ -449,9 +465,10 @@ REGION_URL_PATTERNS = (
     r"/([A-Z]{2})[_-]", r"([A-Z]{2})[_-]CAID", r"/([a-z]{2})/", r"([A-Z]{2})\.pdf",
     r"state[_-]([a-z]{2})", r"region[_-]([a-z]+)",
 )
-REGION_TEXT_PATTERNS = (
-    r"(\w+)\s+state\s+specific", r"applicable\s+in\s+(\w+)", r"(\w+)\s+medicaid",
-    r"(\w+)\s+department\s+of\s+health", r"(\w+)\s+insurance\s+commission", r"state\s+of\s+(\w+)",
+REGION_TEXT_PATTERNS = (  # pattern, and a word it cannot match without
+    (r"(\w+)\s+state\s+specific", "specific"), (r"applicable\s+in\s+(\w+)", "applicable"),
+    (r"(\w+)\s+medicaid", "medicaid"), (r"(\w+)\s+department\s+of\s+health", "department"),
+    (r"(\w+)\s+insurance\s+commission", "commission"), (r"state\s+of\s+(\w+)", "state"),
 )
 COVERAGE_GRADES = ((0.8, "Excellent"), (0.6, "Good"), (0.4, "Fair"))
 LAST_GRADE = "Poor"
