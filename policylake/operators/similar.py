@@ -52,21 +52,57 @@ def dedupe_rules(rules: Column, text_of: Callable[[Column], Column], threshold:
 
 # --- candidate blocks --------------------------------------------------------------
 
+SKETCH = [f"s{i}" for i in range(8)]
+
+
+def _sketch(words: Column) -> Column:
+    """Struct of eight 64-bit maps with one bit set per word."""
+    one = F.lit(1).cast("long")
+
+    def bits(hashes: Column, part: int) -> Column:
+        def add(acc: Column, h: Column) -> Column:
+            bit = F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))
+            return F.when(F.shiftright(h, 6).bitwiseAND(F.lit(7)) == part, acc.bitwiseOR(bit)).otherwise(acc)
+        return F.aggregate(hashes, F.lit(0).cast("long"), add)
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda hashes: F.struct(*[
+        bits(hashes, i).alias(name) for i, name in enumerate(SKETCH)]))
+
+
 def _prefix_blocks(sets: DataFrame, scope: list[str], overlap: float) -> DataFrame:
-    """(scope, sid, size, word) for the rarest words of each set, enough for ``overlap``."""
-    exploded = sets.select(*scope, "sid", F.size("words").alias("size"), F.explode("words").alias("word"))
+    """(scope, sid, size, word, sketch) for the rarest words of each set, enough for ``overlap``."""
+    exploded = sets.select(*scope, "sid", F.explode("words").alias("word"))
     frequency = exploded.groupBy("word").agg(F.count("*").alias("freq"))
-    ranked = exploded.join(frequency, "word").groupBy(*scope, "sid", "size").agg(
+    ranked = exploded.join(frequency, "word").groupBy(*scope, "sid").agg(
         F.array_sort(F.collect_list(F.struct("freq", "word"))).alias("ordered"))
+    size = F.size("ordered")
     # A hair below the exact product, so rounding can only lengthen the prefix.
-    needed = F.ceil(F.col("size") * F.lit(overlap) - F.lit(1e-9)).cast("int")
-    prefix = F.transform(F.slice("ordered", F.lit(1), F.col("size") - needed + 1), lambda x: x["word"])
-    return ranked.select(*scope, "sid", "size", F.explode(prefix).alias("word"))
+    needed = F.ceil(size * F.lit(overlap) - F.lit(1e-9)).cast("int")
+    prefix = F.transform(F.slice("ordered", F.lit(1), size - needed + 1), lambda x: x["word"])
+    words = F.transform("ordered", lambda x: x["word"])
+    return ranked.select(*scope, "sid", size.alias("size"), _sketch(words).alias("k"), prefix.alias("prefix")).select(
+        *scope, "sid", "size", "k.*", F.explode("prefix").alias("word"))
+
+
+def _side(blocks: DataFrame, scope: list[str], name: str) -> DataFrame:
+    """Block rows with their columns named for one side of a pair."""
+    return blocks.select(*scope, "word", F.col("sid").alias(name), F.col("size").alias(f"{name}_size"),
+                         *[F.col(c).alias(f"{name}_{c}") for c in SKETCH])
 
 
-def _fits(a: Column, b: Column, overlap: float) -> Column:
-    """Sizes far apart cannot reach the overlap."""
-    return (a >= b * F.lit(overlap) - F.lit(1e-9)) & (b >= a * F.lit(overlap) - F.lit(1e-9))
+def _may_overlap(a: str, b: str, overlap: float) -> Column:
+    """What sizes and sketches do not rule out.
+
+    Sizes far apart cannot reach the overlap, and every bit in which the
+    sketches differ stands for a word that is not shared. Nothing that reaches
+    the overlap is lost.
+    """
+    na, nb = F.col(f"{a}_size"), F.col(f"{b}_size")
+    sized = (na >= nb * F.lit(overlap) - F.lit(1e-9)) & (nb >= na * F.lit(overlap) - F.lit(1e-9))
+    differing = F.lit(0)
+    for c in SKETCH:
+        differing = differing + F.bit_count(F.col(f"{a}_{c}").bitwiseXOR(F.col(f"{b}_{c}")))
+    return sized & (differing <= (na + nb) * F.lit((1 - overlap) / (1 + overlap)) + F.lit(1e-9))
 
 
 def jaccard_pairs(df: DataFrame, id_col: str, text: Column, threshold: float = 0.85,
@@ -81,10 +117,8 @@ def jaccard_pairs(df: DataFrame, id_col: str, text: Column, threshold: float = 0
         df.select(*scope, F.col(id_col).alias("_id"), word_set(text).alias("words")).where(F.size("words") > 0)
         .groupBy(*scope, "words").agg(F.min("_id").alias("sid"), F.count("*").alias("members")))
     blocks = _prefix_blocks(sets, scope, threshold)
-    left = blocks.select(*scope, "word", F.col("sid").alias("a"), F.col("size").alias("na"))
-    right = blocks.select(*scope, "word", F.col("sid").alias("b"), F.col("size").alias("nb"))
-    candidates = left.join(right, [*scope, "word"]).where(
-        (F.col("a") < F.col("b")) & _fits(F.col("na"), F.col("nb"), threshold)).select(*scope, "a", "b").distinct()
+    candidates = _side(blocks, scope, "a").join(_side(blocks, scope, "b"), [*scope, "word"]).where(
+        (F.col("a") < F.col("b")) & _may_overlap("a", "b", threshold)).select(*scope, "a", "b").distinct()
     wa = sets.select(*scope, F.col("sid").alias("a"), F.col("words").alias("wa"), F.col("members").alias("members_a"))
     wb = sets.select(*scope, F.col("sid").alias("b"), F.col("words").alias("wb"), F.col("members").alias("members_b"))
     scored = candidates.join(wa, [*scope, "a"]).join(wb, [*scope, "b"]).withColumn(
@@ -117,10 +151,10 @@ def _greedy_rounds(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame],
         known = (
             undecided.groupBy("sid").agg(F.count("*").alias("n"))
             .join(leaders.groupBy("sid").agg(F.count("*").alias("m")), "sid").where("n = m").select("sid"))
-        earlier = leaders.select("word", F.col("sid").alias("earlier"), F.col("size").alias("earlier_size"))
-        candidates = open_items.join(earlier, "word").where(
-            (F.col("earlier") < F.coalesce("bound", "sid")) & _fits(F.col("size"), F.col("earlier_size"), overlap)
-        ).select("sid", "earlier").distinct()
+        items = _side(open_items, ["bound"], "item")
+        candidates = items.join(_side(leaders, [], "earlier"), "word").where(
+            (F.col("earlier") < F.coalesce("bound", "item")) & _may_overlap("item", "earlier", overlap)
+        ).select(F.col("item").alias("sid"), "earlier").distinct()
         similar = checkpointed(verify(candidates))
         kept = checkpointed(known.join(similar.select("sid").distinct(), "sid", "left_anti"))
         found = checkpointed(
@@ -129,7 +163,7 @@ def _greedy_rounds(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame],
             .select("sid", F.col("hit.earlier").alias("dup_of"), F.col("hit.similarity").alias("similarity")))
         hits = found if hits is None else hits.unionByName(found)
         remaining = open_items.join(kept, "sid", "left_anti").join(found, "sid", "left").select(
-            "word", "sid", "size", F.least("bound", "dup_of").alias("bound"))
+            "word", "sid", "size", *SKETCH, F.least("bound", "dup_of").alias("bound"))
         # A dropped item is done when nothing undecided in its blocks precedes its match.
         first_open = remaining.where("bound is null").groupBy("word").agg(F.min("sid").alias("first_open"))
         waiting = (remaining.where("bound is not null").join(first_open, "word")
@@ -157,18 +191,24 @@ def near_duplicates(docs: DataFrame, id_col: str, text: str, threshold: float =
     # Equal eligible texts share one outcome. An ineligible copy may come before or after its original is kept.
     alone = F.when(~F.col("eligible"), F.col("id")).alias("alone")
     folded = checkpointed(plain.groupBy("plain", "eligible", alone).agg(F.min("id").alias("sid")).select(
-        "sid", "eligible", "plain", word_set(F.col("plain")).alias("words")))
+        "sid", "eligible", "plain", F.length("plain").alias("length"), word_set(F.col("plain")).alias("words"),
+    ).withColumn("numbers", F.transform("words", lambda w: F.xxhash64(w))))
     blocks = _prefix_blocks(folded.where(F.size("words") > 0), ["eligible"], word_overlap)
 
     def verify(candidates: DataFrame) -> DataFrame:
-        new = folded.select("sid", F.col("plain").alias("new"), F.col("words").alias("wn"))
-        old = folded.select(F.col("sid").alias("earlier"), F.col("plain").alias("old"), F.col("words").alias("wo"))
-        ln, lo = F.length("new"), F.length("old")
+        def side(name: str, *columns: str) -> DataFrame:
+            return folded.select(F.col("sid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+        # Pairs are settled on word numbers and lengths; texts are fetched for the few that remain.
+        measured = candidates.join(side("sid", "numbers", "length"), "sid").join(
+            side("earlier", "numbers", "length"), "earlier")
+        shared = F.size(F.array_intersect("sid_numbers", "earlier_numbers"))
+        either = F.size("sid_numbers") + F.size("earlier_numbers") - shared
         # The shorter text can match at most in full.
-        fits = F.least(ln, lo) * 2 >= (ln + lo) * F.lit(threshold) - F.lit(1e-9)
-        near = candidates.join(new, "sid").join(old, "earlier").where(
-            fits & (jaccard(F.col("wn"), F.col("wo")) >= word_overlap))
-        return near.select("sid", "earlier", sequence_ratio("new", "old").alias("similarity")).where(
+        fits = F.least("sid_length", "earlier_length") * 2 >= (
+            F.col("sid_length") + F.col("earlier_length")) * F.lit(threshold) - F.lit(1e-9)
+        near = measured.where(fits & (shared >= either * F.lit(word_overlap))).select("sid", "earlier")
+        return near.join(side("sid", "plain"), "sid").join(side("earlier", "plain"), "earlier").select(
+            "sid", "earlier", sequence_ratio("sid_plain", "earlier_plain").alias("similarity")).where(
             F.col("similarity") >= threshold)
 
     outcome = _greedy_rounds(blocks, verify, front, word_overlap)
@@ -195,10 +235,8 @@ def similar_policies(policies: DataFrame, content: str, threshold: float = 0.85,
         F.count_distinct("policy_id").alias("policies")))
     sets = folded.select(payer, F.md5("content").alias("sid"), word_set(F.col("content")).alias("words"))
     blocks = _prefix_blocks(sets.where(F.size("words") > 0), [payer], word_overlap)
-    left = blocks.select(payer, "word", F.col("sid").alias("a"), F.col("size").alias("na"))
-    right = blocks.select(payer, "word", F.col("sid").alias("b"), F.col("size").alias("nb"))
-    candidates = left.join(right, [payer, "word"]).where(
-        (F.col("a") != F.col("b")) & _fits(F.col("na"), F.col("nb"), word_overlap)).select(payer, "a", "b").distinct()
+    candidates = _side(blocks, [payer], "a").join(_side(blocks, [payer], "b"), [payer, "word"]).where(
+        (F.col("a") != F.col("b")) & _may_overlap("a", "b", word_overlap)).select(payer, "a", "b").distinct()
 
     def side(name: str) -> DataFrame:
         return folded.select(payer, F.md5("content").alias(name), F.col("content").alias(f"content_{name}"),
