@@ -178,7 +178,7 @@ def _greedy_rounds(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame],
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text: str, threshold: float = 0.8,
-                    word_overlap: float = 0.5, front: int = 32, eligible: Column | None = None) -> DataFrame:
+                    word_overlap: float = 0.5, front: int = 128, eligible: Column | None = None) -> DataFrame:
     """(id, dup_of, similarity): documents resembling an earlier kept one, in id order.
 
     Two documents are compared when their word sets overlap by ``word_overlap``

@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 from policylake.functions import answers as A
 from policylake.functions import chunk as C
 from policylake.functions import extract as E
-from policylake.functions import score as S
 from policylake.functions import text as X
 from policylake.operators import embed as EM
 from policylake.operators import retrieval as RT
 from policylake.operators import similar as M
 from policylake.registry.base import any_contains, first_case, py_strip, query, with_docs
 from policylake.registry.scores import ASK_PAYERS, ASK_SCOPES, _topic_sql
-from policylake.registry.extracts import POLICIES_SQL, policies
+from policylake.registry.extracts import policies
 from policylake.sources.policy_docs import policy_docs, table
 
 
