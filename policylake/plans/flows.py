@@ -23,6 +23,7 @@ from policylake.operators import pages as PG
 from policylake.operators import reports as RP
 from policylake.operators import retrieval as RT
 from policylake.operators import similar as M
+from policylake.session import checkpointed
 
 
 def rule_fields(docs: DataFrame, payers: Mapping[str, Sequence[str]] = vocab.PAYERS_EXTRACTION,
@@ -83,8 +84,9 @@ def policy_flow(docs: DataFrame, as_of: str, load_model: Callable[[], H.Model] |
                              F.col("policy_type").isNotNull().cast("int").alias("policies"))
     nothing = F.array().cast("array<string>")
     content = produced.where("policy_type is not null").withColumns({"requirements": nothing, "procedures": nothing})
-    identified = L.policy_identity(content.drop("reply", "rule"))
-    return L.replay_arrivals(identified.drop("text", "requirements", "procedures"), as_of), status
+    # Extraction is the costly part and its narrow result is read several times.
+    identified = checkpointed(L.policy_identity(content.drop("reply", "rule")).drop("text", "requirements", "procedures"))
+    return L.replay_arrivals(identified, as_of), status
 
 
 def hybrid_extract(docs: DataFrame, load_model: Callable[[], H.Model] | None = None, threshold: float = 0.75,

@@ -14,6 +14,7 @@ from policylake.operators import similar as M
 from policylake.registry.base import any_contains, py_strip, q, query, with_docs
 from policylake.registry.scores import TYPE_COUNTS
 from policylake.registry.base import argmax_case
+from policylake.session import checkpointed
 from policylake.sources.policy_docs import policy_docs, table
 
 FORMATS = "['%m/%d/%Y', '%m-%d-%Y', '%B %d, %Y', '%b %d, %Y']"
@@ -49,6 +50,11 @@ def policies(spark, sf):
     return L.policy_identity(policy_docs(spark, sf).withColumnRenamed("url", "source_pdf"))
 
 
+def stored(spark, sf):
+    """The same without their texts, kept once for queries that read them several times."""
+    return checkpointed(policies(spark, sf).drop("text"))
+
+
 @query(with_docs(f"select doc_id, {ID_SQL} as explicit_id from policy_docs"))
 def explicit_id(spark, sf):
     return policy_docs(spark, sf).select("doc_id", E.explicit_id(F.col("text")).alias("explicit_id"))

@@ -11,7 +11,7 @@ from policylake.operators import lifecycle as L
 from policylake.operators import merge as G
 from policylake.operators import reports as RP
 from policylake.registry.base import AS_OF, query, with_docs
-from policylake.registry.extracts import POLICIES_SQL, policies
+from policylake.registry.extracts import POLICIES_SQL, policies, stored
 from policylake.sources.policy_docs import policy_docs, table
 
 CURRENT = f"""(case when effective_date is null then crawl_timestamp >= date '{AS_OF}' - interval 730 day
@@ -35,7 +35,7 @@ def current_versions(spark, sf):
 
 @query(with_docs(f"select {SHOWN_SQL} from policies where policy_id not in (select policy_id from current_rows)", VERSIONS_SQL))
 def expired_policies(spark, sf):
-    return shown(L.expired_policies(policies(spark, sf), AS_OF))
+    return shown(L.expired_policies(stored(spark, sf), AS_OF))
 
 
 @query(with_docs(f"""
@@ -80,7 +80,7 @@ select {SHOWN_SQL} from policies o where crawl_timestamp < date '{SPLIT}' and no
   select 1 from policies n where n.crawl_timestamp >= date '{SPLIT}' and n.payer_name = o.payer_name and n.policy_type = o.policy_type
     and n.policy_id <> o.policy_id and (o.end_date < date '1997-06-01' or o.end_date < n.effective_date))""", POLICIES_SQL))
 def replaced_policies_removed(spark, sf):
-    rows = policies(spark, sf)
+    rows = stored(spark, sf)
     before = F.col("crawl_timestamp") < F.lit(SPLIT).cast("date")
     return shown(L.remove_replaced(rows.where(before), rows.where(~before), "1997-06-01"))
 
@@ -91,7 +91,7 @@ select {SHOWN_SQL} from (select *, row_number() over (partition by payer_name, p
       rows between 1 following and unbounded following) as rival from policies)
 where rn = 1 and not coalesce(rival is not null and (end_date < date '1997-06-01' or end_date < rival), false)""", POLICIES_SQL))
 def arrivals_replayed(spark, sf):
-    return shown(L.replay_arrivals(policies(spark, sf), "1997-06-01"))
+    return shown(L.replay_arrivals(stored(spark, sf), "1997-06-01"))
 
 
 EDGES_SQL = """
@@ -103,12 +103,12 @@ edges as (select distinct a.payer_name, a.policy_id, b.policy_id as superseded_i
 
 @query(with_docs("select * from edges", POLICIES_SQL, EDGES_SQL))
 def supersession_edges(spark, sf):
-    return L.supersession_edges(policies(spark, sf))
+    return L.supersession_edges(stored(spark, sf))
 
 
 @query(with_docs(f"select {SHOWN_SQL} from policies where policy_id not in (select superseded_id from edges)", POLICIES_SQL, EDGES_SQL))
 def superseded_dropped(spark, sf):
-    return shown(L.drop_superseded(policies(spark, sf)))
+    return shown(L.drop_superseded(stored(spark, sf)))
 
 
 @query(with_docs("""
@@ -128,7 +128,7 @@ select policy_id, case when o.policy_id is null then 'added' when n.policy_id is
 where o.policy_hash is distinct from n.policy_hash""", POLICIES_SQL,
     _state_sql("old_state", "crawl_timestamp < date '2000-01-01'"), _state_sql("new_state", "crawl_timestamp >= date '1997-01-01'")))
 def change_feed(spark, sf):
-    rows = policies(spark, sf)
+    rows = stored(spark, sf)
 
     def state(condition):
         return rows.where(condition).groupBy("policy_id").agg(

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from policylake.operators.lifecycle import remove_replaced, replay_arrivals
 from policylake.operators.merge import skip_known_content
+from policylake.session import checkpointed
 from policylake.sources.files import exists
 from policylake.sources.sinks import read_snapshot, write_snapshot
 
@@ -63,7 +64,8 @@ def maintain_current(stream: DataFrame, active: str, checkpoint: str, as_of: str
     """
     def update(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = prepare(batch)
+        # The batch is read several times below; what was extracted from it is kept once.
+        new = checkpointed(prepare(batch))
         survivors = replay_arrivals(new, as_of, arrival, tie)
         old = read_snapshot(spark, active, before=number)
         if old is not None:
