@@ -1 +1,8 @@
 """Spark-native analytics over payer policy documents."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the workers by value, so these need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
