@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policylake.llm import mixing, quality_model, urls
+from policylake.llm import jaccard, mixing, quality_model, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,16 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, urls.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict", "pattern")
 
 
+@query
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of Jaccard similarity 0.85 or more on 4-word shingles."""
+    linked = jaccard.jaccard_groups(read(spark, sf_dir, "documents"), words=4, percent=85)
+    sets = linked.withColumn("c", F.coalesce("group", "node"))
+    least = sets.where("node is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
+    return sets.join(least, "c", "left").select(
+        "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
 @query
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document, learned from the labelled rows that are not held out."""
