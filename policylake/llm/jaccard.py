@@ -115,9 +115,9 @@ def _segments(docs: DataFrame, samples: DataFrame, words: int, bands: np.ndarray
 
 def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id",
                    text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, node, group): one row per row of ``docs``; group is null where a set is linked with none.
+    """(doc_id, copy, n_shingles, node, group): one row per row of ``docs``; group is null where a set is linked with none.
 
-    node names the set itself, group the least node reachable by links.
+    copy is the hash of the text, node names the set itself, group the least node reachable by links.
     """
     spark = docs.sparkSession
     bands = _bands(docs, text, words)
@@ -148,5 +148,5 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str
                      comparable=f"100 * least(p.size, m.size) >= {percent} * greatest(p.size, m.size)")
     marked = groups.select(F.col("id").alias("node"), F.col("least").alias("group"))
     marked = marked.unionByName(marked.select(F.col("group").alias("node"), "group").distinct())
-    return sets.select("doc_id", F.col("n").alias("n_shingles"), "node").join(marked, "node", "left") \
-        .select("doc_id", "n_shingles", "node", "group")
+    return sets.select("doc_id", "copy", F.col("n").alias("n_shingles"), "node").join(marked, "node", "left") \
+        .select("doc_id", "copy", "n_shingles", "node", "group")

@@ -39,10 +39,10 @@ def pfair_cycle(weights: DataFrame, cycle: int = CYCLE) -> DataFrame:
     Weights are rounded to whole shares of about ``cycle`` slots, at least one each; the period is their sum.
     One row holds all sources: the table of weights is bounded by what an operator lists, not by the data.
     """
-    total = weights.agg(F.sum(F.greatest("weight", F.lit(0.0))).alias("_total"))
-    shares = weights.join(total, F.lit(True)).select("source", F.greatest(F.lit(1), F.round(
-        F.coalesce(F.col("weight") / F.col("_total"), F.lit(0.0)) * cycle).cast("int")).alias("share"))
-    packed = shares.agg(F.sort_array(F.collect_list(F.struct("share", "source")), asc=False).alias("list")) \
+    share = "greatest(1, cast(round(coalesce(greatest(x.weight, 0) / total, 0) * {}) as int))".format(cycle)
+    packed = weights.agg(F.collect_list(F.struct("weight", "source")).alias("given")) \
+        .withColumn("total", F.expr("aggregate(given, 0.0D, (n, x) -> n + greatest(x.weight, 0))")) \
+        .withColumn("list", F.expr(f"sort_array(transform(given, x -> named_struct('share', {share}, 'source', x.source)), false)")) \
         .withColumn("period", F.expr("aggregate(list, 0, (n, x) -> n + x.share)")).where("period > 0")
     # done[i] blocks of source i are placed; of those released by slot t the one due first is next.
     due = ("array_min(filter(transform(list, (x, i) -> named_struct("

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policylake.llm import jaccard, mixing, quality_model, urls
+from policylake.llm import decontaminate, jaccard, line_dedup, mixing, quality_model, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,12 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, urls.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict", "pattern")
 
 
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in which a passage of the benchmark is found, with the item and the place."""
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under links of Jaccard similarity 0.85 or more on 4-word shingles."""
@@ -50,6 +56,14 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with repeated and nearly repeated lines cut; documents that lose all their words stay, empty."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.with_lines_cut(docs).select(
+        "doc_id", "text", "lines_cut", (F.coalesce("lines_left_worded", F.lit(1)) == 0).alias("emptied"))
+
+
 @query
 def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every document in the mixture of all sources."""

@@ -33,7 +33,7 @@ SITE_RULES = (
 PATTERNS = (
     ("^casino^", BLOCK), ("^poker^", BLOCK), ("^pills^", BLOCK), ("^viagra^", BLOCK), ("^porn^", BLOCK),
     ("^xxx^", BLOCK), ("^torrent^", BLOCK), ("^warez^", BLOCK), ("^login^", BLOCK), ("^cart^", BLOCK),
-    ("^checkout^", BLOCK), ("*.exe", BLOCK), ("*.zip", BLOCK),
+    ("^checkout^", BLOCK), (".exe^", BLOCK), (".zip^", BLOCK),
 )
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -84,19 +84,16 @@ def judged_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> Data
     distinct = urls.select(F.col(url_col).alias("_url")).where(F.col("_url").isNotNull()).distinct()
     parts = distinct.withColumn("_place", F.concat(url_host(F.col("_url")), url_path(F.col("_url")))) \
         .withColumn("_lower", ascii_lower(F.col("_place")))
-    tokened = parts.withColumn("_token", F.explode(F.array_distinct(
-        F.regexp_extract_all("_lower", F.lit(r"[a-z0-9]+"), 0))))
-    rule_tokens = known.select("rule", F.explode("tokens").alias("_token"))
+    tokened = parts.withColumn("_token", F.explode(F.array_distinct(F.concat(
+        F.regexp_extract_all("_lower", F.lit(r"[a-z0-9]+"), 0), F.array(F.lit(""))))))
+    rule_tokens = known.select("rule", F.explode(
+        F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))).alias("_token"))
     counts = tokened.join(rule_tokens.select("_token").distinct(), "_token").groupBy("_token").agg(
         F.count(F.lit(1)).alias("_urls"))
     rarest = rule_tokens.join(counts, "_token", "left").groupBy("rule").agg(
         F.min(F.struct(F.coalesce("_urls", F.lit(0)).alias("n"), F.col("_token").alias("t"))).alias("_rarest"))
     indexed = known.join(rarest, "rule").select("rule", "action", "site", "regex", F.col("_rarest.t").alias("_token"))
-    candidates = tokened.join(indexed, "_token")
-    unindexed = parts.join(known.where(F.size("tokens") == 0).select("rule", "action", "site", "regex"), F.lit(True))
-    wanted = ["_url", "_place", "_lower", "rule", "action", "site", "regex"]
-    hits = candidates.select(*wanted).unionByName(unindexed.select(*wanted)).where(
-        F.expr("if(site, _place, _lower) rlike regex"))
+    hits = tokened.join(indexed, "_token").where(F.expr("if(site, _place, _lower) rlike regex"))
     order = F.struct("site", F.length("rule").alias("n"), (F.col("action") == BLOCK).alias("b"), F.col("rule"))
     return hits.groupBy("_url").agg(F.max_by(F.struct("rule", "action", "site"), order).alias("_best"))
 
