@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policylake.llm import decontaminate, jaccard, line_dedup, mixing, quality_model, urls
+from policylake.llm import decontaminate, jaccard, line_dedup, mixing, quality_model, quality_rules, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,13 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document."""
+    return quality_rules.judged(read(spark, sf_dir, "documents")).select(
+        "doc_id", *quality_rules.STATS, "base_failed", "kept", "distance")
+
+
 @query
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document, learned from the labelled rows that are not held out."""
