@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policylake.llm import decontaminate, jaccard, line_dedup, mixing, quality_model, quality_rules, urls
+from policylake.llm import decontaminate, jaccard, line_dedup, mixing, pii, quality_model, quality_rules, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,9 @@ select page_id, host, path, rule, {verdict} as verdict, pattern from both_kinds"
 
 
 ORACLES["op1_url_filters"] = _url_sql()
+
+
+@query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.span_digest(read(spark, sf_dir, "documents"))
