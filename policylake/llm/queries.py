@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policylake.llm import decontaminate, jaccard, line_dedup, mixing, pii, quality_model, quality_rules, urls
+from policylake.llm import decontaminate, jaccard, line_dedup, mixing, pii, quality_model, quality_rules, substring_dedup, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,6 +71,15 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "text", "lines_cut", (F.coalesce("lines_left_worded", F.lit(1)) == 0).alias("emptied"))
 
 
+@query
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat an earlier string of 100 bytes."""
+    cut = substring_dedup.without_repeats(read(spark, sf_dir, "documents"))
+    return cut.select(
+        F.col("doc").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every document in the mixture of all sources."""
