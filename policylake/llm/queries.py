@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policylake.llm import decontaminate, jaccard, line_dedup, mixing, pii, quality_model, quality_rules, substring_dedup, urls
+from policylake.llm import decontaminate, html_layout, jaccard, line_dedup, mixing, pii, quality_model, quality_rules, substring_dedup, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,13 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
+@query
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title and visible text of every page."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "html")
+    return html_layout.extract_text(pages).select("page_id", "title", "text")
+
+
 @query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
