@@ -55,7 +55,9 @@ _ENDS = {
     "tfoot": (_ROWS | _set("tr td th caption colgroup"), _set("table")),
     "body": (_set("head"), _set("html")),
 }
+_P = _set("p")
 _SCOPE = _set("table td th caption button object")
+_GRID = _ROWS | _set("table tr td th caption")
 
 
 class Node:
@@ -100,6 +102,16 @@ def tree(html: str) -> Node:
         if found:
             pop_to(found)
 
+    def end_nearest(tag: str) -> None:
+        """Close the nearest open element of this tag, unless a cell or table lies between."""
+        stop = frozenset(("table",)) if tag in _GRID else _SCOPE
+        for k in range(len(open_) - 1, 0, -1):
+            if open_[k].tag == tag:
+                return pop_to(k)
+            if open_[k].tag in stop:
+                return None
+        return None
+
     at, size = 0, len(html)
     while at < size:
         m = _TOKEN.search(html, at)
@@ -116,7 +128,7 @@ def tree(html: str) -> Node:
             if tag == "br":
                 push("br", {})
             elif counts.get(tag):
-                end(frozenset((tag,)), _SCOPE - {tag})
+                end_nearest(tag)
             elif tag == "p":
                 push("p", {})
                 pop_to(len(open_) - 1)
@@ -124,7 +136,7 @@ def tree(html: str) -> Node:
         if tag in ("html", "body") and (tag == "html" or counts.get("body")):
             continue
         if tag in CLOSES_P:
-            end(frozenset("p"), _SCOPE)
+            end(_P, _SCOPE)
         if tag in _ENDS:
             end(*_ENDS[tag])
         if tag in ("td", "th") and counts.get("table") and open_[-1].tag in ("table", *_ROWS):
@@ -353,5 +365,5 @@ def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
                 [*(part.column(c) for c in kept), pa.array([t for t, _ in found], pa.string()),
                  pa.array([t for _, t in found], pa.string())], [*kept, "title", "text"])
 
-    schema = rows.drop("_html").select("*", F.lit("").alias("title"), F.lit("").alias("text")).schema
+    schema = rows.drop("_html").schema.add("title", "string").add("text", "string")
     return rows.mapInArrow(run, schema)
