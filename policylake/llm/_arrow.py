@@ -48,12 +48,28 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndar
     return flat.filter(real), before[bounds]
 
 
-def word_codes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(index of each word in the distinct ones, 64-bit hash of each distinct word)."""
-    coded = words.dictionary_encode()
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()),
-                         np.uint64, len(coded.dictionary))
-    return coded.indices.to_numpy(zero_copy_only=False), hashes
+LONG_WORD = 64
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hash of every word, eight bytes at a time; the few longer than ``LONG_WORD`` bytes are hashed one by one."""
+    raw, offsets = text_bytes(words)
+    starts, left = offsets[:-1], np.diff(offsets)
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)]).tobytes()
+    chunks = np.ndarray((len(raw) + 1,), "<u8", padded, 0, (1,))
+    out = left.astype(np.uint64)
+    live = np.flatnonzero((left > 0) & (left <= LONG_WORD))
+    at, rest = starts[live], left[live]
+    with np.errstate(over="ignore"):
+        while len(live):
+            few = np.minimum(rest, 8).astype(np.uint64)
+            chunk = chunks[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * few))
+            out[live] = mixed(out[live] * np.uint64(0x9E3779B97F4A7C15) + chunk)
+            more = rest > 8
+            live, at, rest = live[more], at[more] + 8, rest[more] - 8
+    for k in np.flatnonzero(left > LONG_WORD).tolist():
+        out[k] = xxhash.xxh64_intdigest(raw[offsets[k]:offsets[k + 1]].tobytes())
+    return out
 
 
 def row_of(offsets: np.ndarray) -> np.ndarray:
@@ -70,31 +86,39 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def sorted_within(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The values of each text sorted; short vector sorts beat one sort by two keys."""
+    out = values.copy()
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        if b - a > 1:
+            out[a:b].sort()
+    return out
+
+
 def shingle_hashes(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes of each text, offsets); fewer words than n make one shingle of all."""
     words, bounds = split_words(texts, lower=True)
-    codes, hashes = word_codes(words)
-    values = hashes[codes] if len(codes) else np.zeros(0, np.uint64)
+    values = word_hashes(words)
     counts = np.diff(bounds)
-    total = np.zeros(len(values), np.uint64)
+    sizes = np.maximum(counts - n + 1, np.minimum(counts, 1))
+    ends = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=ends[1:])
+    at = np.arange(ends[-1]) + np.repeat(bounds[:-1] - ends[:-1], sizes)
+    short = np.repeat(counts < n, sizes)
+    total = np.zeros(len(at), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(n):
-            # Words past the end of a text count as zero, so a short text is one shingle of all its words.
-            shifted = np.zeros(len(values), np.uint64)
-            shifted[:max(0, len(values) - k)] = values[k:]
-            if k:
-                left = np.repeat(bounds[1:], counts) - np.arange(len(values))
-                shifted[left <= k] = 0
-            total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + shifted + np.uint64(k + 1))
-    rows = row_of(bounds)
-    place = np.arange(len(values)) - bounds[rows]
-    keep = place < np.maximum(counts - n + 1, np.minimum(counts, 1))[rows]
-    rows, total = rows[keep], total[keep]
-    order = np.lexsort((total, rows))
-    rows, total = rows[order], total[order]
-    first = np.ones(len(rows), bool)
-    first[1:] = (rows[1:] != rows[:-1]) | (total[1:] != total[:-1])
-    rows, total = rows[first], total[first]
-    offsets = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum(np.bincount(rows, minlength=len(texts)), out=offsets[1:])
-    return total, offsets
+            # Linear in well mixed word hashes, with a factor for each place; words past the end count as zero.
+            total *= np.uint64(0x9E3779B97F4A7C15)
+            if not short.any():
+                total += values[k:][at] if k else values[at]
+            else:
+                inside = ~short | (k < np.repeat(counts, sizes))
+                total[inside] += values[at[inside] + k]
+    total = sorted_within(total, ends)
+    first = np.ones(len(total), bool)
+    first[1:] = total[1:] != total[:-1]
+    first[ends[:-1][sizes > 0]] = True
+    kept = np.zeros(len(total) + 1, np.int64)
+    np.cumsum(first, out=kept[1:])
+    return total[first], kept[ends]

@@ -31,6 +31,21 @@ def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
+def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A stored narrow table, marked for broadcast if it is counted to be at most ``rows``; else joined by shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def partnered(shared: DataFrame, condition: str, few: int = 256) -> DataFrame:
+    """Of rows (bucket, id, n, ...), those in a bucket of more than ``few``, and those with a partner by ``condition``.
+
+    Chance meetings fill small buckets; there all pairs are looked at, as they are bounded. condition: on p and m.
+    """
+    little = shared.where(F.col("n") <= few)
+    met = little.alias("p").join(little.alias("m"), F.expr(f"p.bucket = m.bucket and p.id <> m.id and {condition}"), "left_semi")
+    return met.unionByName(shared.where(F.col("n") > few)).drop("n")
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(id, least): the least id reachable by links (a, b); ids that are least themselves are left out.
 
@@ -60,9 +75,9 @@ def grouped(spark: SparkSession, buckets: DataFrame, tested: Callable[[DataFrame
             comparable: str = "true", hint: str | None = None) -> DataFrame:
     """(id, least) for every id in a bucket with others that is linked to a smaller one, over any number of links.
 
-    buckets: (bucket, id, size), stored. tested: from pairs (a, b) to those that are linked. comparable: a condition
-    on sizes ``p.size`` and ``m.size`` that linked pairs meet. hint: a condition choosing a few buckets per id with
-    which to begin; it decides the work, never the result.
+    buckets: (bucket, id) and more, stored. tested: from stored pairs (a, b) to those that are linked. comparable: a
+    condition on the columns of pivot p and member m, which linked pairs meet in a bucket they share. hint: a condition
+    choosing a few buckets per id with which to begin; it decides the work, never the result.
     """
     groups: DataFrame | None = None
     rounds = 0
@@ -91,10 +106,10 @@ def grouped(spark: SparkSession, buckets: DataFrame, tested: Callable[[DataFrame
             spot = F.shiftrightunsigned(F.xxhash64("id"), 32).cast("double") / F.lit(float(2 ** 32))
             pivots = live.where((spot * F.col("n") < float(4 ** rounds))
                                 & (spot * F.col("n") >= (float(4 ** (rounds - 1)) if rounds > 1 else 0.0)))
-        p, m = pivots.select("bucket", "id", "size", "g").alias("p"), live.select("bucket", "id", "size", "g").alias("m")
-        pairs = p.join(m, (F.col("p.bucket") == F.col("m.bucket")) & F.expr(f"p.g <> m.g and {comparable}")) \
+        p, m = pivots.alias("p"), live.alias("m")
+        pairs = p.join(m, F.expr(f"p.bucket = m.bucket and p.g <> m.g and {comparable}")) \
             .select(F.least("p.id", "m.id").alias("a"), F.greatest("p.id", "m.id").alias("b")).distinct()
-        links = tested(pairs).select("a", "b")
+        links = tested(stored(pairs, "pairs")).select("a", "b")
         if groups is not None:
             left = groups.select(F.col("id").alias("a"), F.col("least").alias("ga"))
             right = groups.select(F.col("id").alias("b"), F.col("least").alias("gb"))

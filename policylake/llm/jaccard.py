@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from policylake.llm._arrow import row_of, shingle_hashes, sliced
-from policylake.llm._links import grouped, stored
+from policylake.llm._arrow import row_of, shingle_hashes, sliced, sorted_within
+from policylake.llm._links import grouped, partnered, small, stored
 
 SLOT_BITS = 22
 NOTED = 8
@@ -58,8 +58,7 @@ def _ordered(grams: np.ndarray, offsets: np.ndarray, bands: np.ndarray) -> tuple
     rows = row_of(offsets)
     band = bands[(grams >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64)
     place = (band << np.uint64(57)) | (grams >> np.uint64(7))  # a positive long
-    order = np.lexsort((place, rows))
-    return rows[order], place[order]
+    return rows, sorted_within(place, offsets)
 
 
 def _node(grams: np.ndarray) -> int:
@@ -67,24 +66,27 @@ def _node(grams: np.ndarray) -> int:
 
 
 def gram_sets(docs: DataFrame, key: str, text: str, words: int, percent: int, bands: np.ndarray) -> DataFrame:
-    """(doc_id, copy, n, node, prefix): hash of the text, size of its set, the set's hash (null if empty), its first n-grams."""
+    """(doc_id, copy, n, node, head): hash of the text, size of its set, the set's hash (null if empty), its first n-grams.
+
+    The head is the prefix in which linked sets meet, and a twentieth of the set more.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches):
             grams, offsets = shingle_hashes(part.column("text"), words)
             sizes = np.diff(offsets)
             _, place = _ordered(grams, offsets, bands)
-            firsts = np.where(sizes > 0, sizes - -(-percent * sizes // 100) + 1, 0)
+            firsts = np.where(sizes > 0, np.minimum(sizes - -(-percent * sizes // 100) + 1 + sizes // 20, sizes), 0)
             keep = np.arange(len(place)) - np.repeat(offsets[:-1], sizes) < np.repeat(firsts, sizes)
             ends = np.concatenate([[0], np.cumsum(firsts)]).astype(np.int32)
             nodes = [_node(grams[a:b]) if b > a else None for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_id"), part.column("copy"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(place[keep].astype(np.int64)))],
-                ["doc_id", "copy", "n", "node", "prefix"])
+                ["doc_id", "copy", "n", "node", "head"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, copy long, n long, node long, prefix array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, copy long, n long, node long, head array<long>")
 
 
 def _segments(docs: DataFrame, samples: DataFrame, words: int, bands: np.ndarray) -> DataFrame:
@@ -108,9 +110,7 @@ def _segments(docs: DataFrame, samples: DataFrame, words: int, bands: np.ndarray
     chosen = samples.select(F.col("doc_id").alias("_id"), "copy", "node")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("copy"))
     found = docs.join(chosen, same).select("text", "node")
-    # Repeated rows give equal segments; one of them is kept.
-    return found.mapInArrow(run, "node long, fragment int, grams array<long>").groupBy("node", "fragment").agg(
-        F.first("grams").alias("grams"))
+    return found.mapInArrow(run, "node long, fragment int, grams array<long>")
 
 
 def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id",
@@ -123,29 +123,45 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     bands = _bands(docs, text, words)
     sets = stored(gram_sets(docs, key, text, words, percent, bands), "sets")
     nodes = sets.where("node is not null").groupBy("node").agg(
-        F.first("n").alias("size"), F.first("prefix").alias("prefix"), F.min(F.struct("doc_id", "copy")).alias("sample"))
-    listed = nodes.select("node", "size", F.explode("prefix").alias("bucket"))
-    shared = listed.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("_n > 1")
-    first = F.row_number().over(Window.partitionBy("node").orderBy("bucket"))
-    buckets = stored(shared.select("bucket", F.col("node").alias("id"), "size", first.alias("rank")), "buckets")
-    # One row that holds each set is read again, only for sets that share a bucket.
-    samples = nodes.select("node", "sample.*").join(buckets.select(F.col("id").alias("node")).distinct(), "node")
-    segments = stored(_segments(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), samples, words, bands),
+        F.first("n").alias("size"), F.first("head").alias("head"), F.min(F.struct("doc_id", "copy")).alias("sample"))
+    prefix = F.slice("head", F.lit(1), F.expr(f"cast(size - ceil({percent} * size / 100) + 1 as int)"))
+    listed = nodes.select("node", "size", F.posexplode(prefix).alias("pos", "bucket"))
+    shared = listed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1") \
+        .withColumnRenamed("node", "id")
+    # A pair's first common n-gram leaves at most the shorter rest to be shared; it must do for the overlap needed.
+    may = (f"100 * least(p.size, m.size) >= {percent} * greatest(p.size, m.size) and "
+           f"{100 + percent} * least(p.size - p.pos, m.size - m.pos) >= {percent} * (p.size + m.size)")
+    first = F.row_number().over(Window.partitionBy("id").orderBy("bucket"))
+    buckets = stored(partnered(stored(shared, "shared"), may).withColumn("rank", first), "buckets")
+    # One row that holds each set is read again, only for sets that may have a partner.
+    meant = buckets.select(F.col("id").alias("node")).distinct()
+    chosen = stored(nodes.join(meant, "node").select("node", "size", "head", "sample.*"), "heads")
+    heads, samples = chosen.select("node", "size", "head"), chosen.select("node", "doc_id", "copy")
+    segments = stored(_segments(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), small(samples), words, bands),
                       "segments")
-    sizes = buckets.select("id", "size").distinct()
+
+    def sides(table: DataFrame, pairs: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+        meant = small(pairs)
+        return tuple(table.join(meant, F.col("node") == F.col(x)).select(
+            "a", "b", *(F.col(c) if c == "fragment" else F.col(c).alias(f"{c}_{x}") for c in columns)) for x in "ab")
 
     def tested(pairs: DataFrame) -> DataFrame:
-        left = segments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("ga"))
-        right = segments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("gb"))
-        partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select(
-            "a", "b", F.size(F.array_intersect("ga", "gb")).cast("long").alias("both"))
-        overlap = partial.groupBy("a", "b").agg(F.sum("both").alias("both"))
-        return overlap.join(sizes.select(F.col("id").alias("a"), F.col("size").alias("na")), "a") \
-            .join(sizes.select(F.col("id").alias("b"), F.col("size").alias("nb")), "b") \
-            .where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
-
-    groups = grouped(spark, buckets, tested, hint="rank <= 2",
-                     comparable=f"100 * least(p.size, m.size) >= {percent} * greatest(p.size, m.size)")
+        # The first fragment, the heads, goes before the rest: what it leaves over bounds the overlap.
+        left, right = sides(heads, pairs, "size", "head")
+        needed = F.expr(f"ceil({percent} * (size_a + size_b) / {100 + percent})")
+        rest = F.greatest(F.col("size_a") - F.size("head_a"), F.col("size_b") - F.size("head_b"))
+        hopeful = stored(left.join(right, ["a", "b"]).where(
+            F.size(F.array_intersect("head_a", "head_b")) + rest >= needed).select("a", "b", "size_a", "size_b"), "hopeful")
+        left, right = sides(segments, hopeful.select("a", "b"), "fragment", "grams")
+        partial = left.join(right, ["a", "b", "fragment"]).select(
+            "a", "b", "fragment", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("both"))
+        # Repeated rows give a segment twice.
+        once = partial.groupBy("a", "b", "fragment").agg(F.max("both").alias("both"))
+        overlap = once.groupBy("a", "b").agg(F.sum("both").alias("both"))
+        return hopeful.join(overlap, ["a", "b"]).where(
+            100 * F.col("both") >= percent * (F.col("size_a") + F.col("size_b") - F.col("both"))).select("a", "b")
+
+    groups = grouped(spark, buckets, tested, comparable=may, hint="rank <= 2")
     marked = groups.select(F.col("id").alias("node"), F.col("least").alias("group"))
     marked = marked.unionByName(marked.select(F.col("group").alias("node"), "group").distinct())
     return sets.select("doc_id", "copy", F.col("n").alias("n_shingles"), "node").join(marked, "node", "left") \

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from policylake.llm._arrow import row_of, sliced, split_words, text_bytes, word_codes
+from policylake.llm._arrow import row_of, sliced, sorted_within, split_words, text_bytes, word_hashes
 
 SAMPLE = 6000
 WORDS = 1 << 15
@@ -58,14 +58,17 @@ def _features(texts: pa.Array, n_chars: pa.Array, n_words: int) -> tuple[np.ndar
     """(row, word feature, value, statistics) of a slice."""
     raw, offsets = text_bytes(texts)
     words, bounds = split_words(texts)
-    codes, hashes = word_codes(words)
+    hashes = word_hashes(words)
     rows, n = row_of(bounds), np.diff(bounds).astype(float)
-    size = len(hashes) + 1
-    pairs, counts = np.unique(rows * size + codes, return_counts=True)
-    distinct = np.bincount(pairs // size, minlength=len(texts))
-    again = np.zeros(len(codes), bool)
-    again[1:] = (codes[1:] == codes[:-1]) & (rows[1:] == rows[:-1])
+    again = np.zeros(len(hashes), bool)
+    again[1:] = (hashes[1:] == hashes[:-1]) & (rows[1:] == rows[:-1])
     repeats = np.bincount(rows, again, minlength=len(texts))
+    hashes = sorted_within(hashes, bounds)
+    first = np.ones(len(hashes), bool)
+    first[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
+    row, word = rows[first], hashes[first]
+    counts = np.diff(np.flatnonzero(np.concatenate([first, [True]])))
+    distinct = np.bincount(row, minlength=len(texts))
     bytes_, any_words = np.diff(offsets).astype(float), np.maximum(n, 1)
     some = np.maximum(bytes_, 1)
 
@@ -78,9 +81,9 @@ def _features(texts: pa.Array, n_chars: pa.Array, n_words: int) -> tuple[np.ndar
         distinct / any_words, share(bytes(range(128, 192))),
         np.log1p(np.maximum(pc.fill_null(n_chars, 0).cast(pa.float64()).to_numpy(zero_copy_only=False), 0)),
     ], axis=1)
-    row, value = pairs // size, np.log1p(counts)
+    value = np.log1p(counts)
     length = np.sqrt(np.bincount(row, value * value, minlength=len(texts)))
-    return row, (hashes[pairs % size] % np.uint64(n_words)).astype(np.int64), value / length[row], stats
+    return row, (word % np.uint64(n_words)).astype(np.int64), value / length[row], stats
 
 
 def _featured(sample: DataFrame) -> DataFrame:
