@@ -200,7 +200,7 @@ def all_requirements(text: Column) -> Column:
     return F.transform(bullets, lambda s: strip(F.ltrim(s, F.lit("-•* "))))
 
 
-def key_requirements(text: Column, max_items: int | None = 5) -> Column:
+def key_requirements(text: Column, max_items: int | None = None) -> Column:
     found = all_requirements(text)
     return found if max_items is None else F.slice(found, 1, max_items)
 
@@ -279,7 +279,7 @@ def first_rule_type(piece: Column, rules: Sequence[tuple[str, str]] = vocab.FIRS
     return first_hit((piece.rlike(rx(p, ignore_case=True)), name) for name, p in rules)
 
 
-def rules_first_match(text: Column, max_chars: int | None = 500) -> Column:
+def rules_first_match(text: Column, max_chars: int | None = None) -> Column:
     """array<struct<pos, type, text, confidence>>: each sentence under its first matching type."""
     typed = F.transform(sentence_pieces(text), lambda s, i: F.struct(
         i.alias("pos"), first_rule_type(s).alias("type"), head(strip(s), max_chars).alias("text"),
@@ -320,9 +320,9 @@ def section_windows(text: Column, section: str, window: int = vocab.WINDOW_LINES
     return let(lines(text), windows)
 
 
-def section_text(text: Column, section: str, budget: int | None = vocab.SECTION_TEXT_BUDGET,
+def section_text(text: Column, section: str, budget: int | None = None,
                  window: int = vocab.WINDOW_LINES, min_chars: int = vocab.WINDOW_MIN_CHARS) -> Column:
-    """Evidence for a section: its windows one after another, up to ``budget`` characters.
+    """Evidence for a section: its windows one after another, up to ``budget`` characters if one is given.
 
     Every window is longer than ``min_chars``, so only the first
     ``budget / min_chars`` of them can reach the result.
@@ -335,7 +335,7 @@ def section_text(text: Column, section: str, budget: int | None = vocab.SECTION_
     return nullif_empty(head(joined, budget))
 
 
-def section_headers(text: Column, max_items: int | None = 20) -> Column:
+def section_headers(text: Column, max_items: int | None = None) -> Column:
     """Header lines by position (capitals, SECTION/CHAPTER n, numbered)."""
     def of_pattern(order: int, pattern: str) -> Column:
         return F.transform(matches_with_offsets(without_marks(text), pattern, multiline=True), lambda m: F.struct(

@@ -174,9 +174,9 @@ def drop_boilerplate_lines(text: Column, repeat: int = 3, skip_after_table: int
 
 # --- titles, names ------------------------------------------------------------
 
-def extract_title(text: Column, max_chars: int = 200) -> Column:
+def extract_title(text: Column, max_chars: int | None = None) -> Column:
     first = F.regexp_extract(strip(text), r"^[^\n-\r\x1c-\x1e\x85\x{2028}\x{2029}]*", 0)
-    return F.substring(strip(first), 1, max_chars)
+    return strip(first) if max_chars is None else F.substring(strip(first), 1, max_chars)
 
 
 def url_path(url: Column) -> Column:

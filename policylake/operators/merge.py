@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,20 +80,31 @@ def skip_known_content(new: DataFrame, known: DataFrame, order: list[str], conte
                        payer: str = "payer_name") -> DataFrame:
     """New documents whose (payer, content hash) is neither stored nor seen earlier in the batch.
 
-    Copies are folded before the stored hashes are consulted, so a group of
-    identical copies crosses the shuffle as one row per map task.
+    The choice is made on hashes and order columns, so documents' bodies take
+    no part in it; the chosen rows are found again by their order columns.
     """
-    hashed = new.withColumn("content_hash", F.md5(F.col(content)))
-    first = hashed.groupBy(payer, "content_hash").agg(F.min_by(F.struct(*new.columns), F.struct(*order)).alias("_row"))
+    first = _first_copies(new, [payer], order, content)
     fresh = first.join(known.select(payer, "content_hash").distinct(), [payer, "content_hash"], "left_anti")
-    return fresh.select("_row.*", "content_hash")
+    return _chosen(new, fresh, [payer], order, content)
 
 
 def dedupe_bytes(docs: DataFrame, order: list[str], content: str = "content") -> DataFrame:
     """One document per distinct content: the first in ``order``."""
-    first = docs.groupBy(F.md5(F.col(content)).alias("content_hash")).agg(
-        F.min_by(F.struct(*docs.columns), F.struct(*order)).alias("_row"))
-    return first.select("_row.*", "content_hash")
+    return _chosen(docs, _first_copies(docs, [], order, content), [], order, content)
+
+
+def _first_copies(docs: DataFrame, scope: list[str], order: list[str], content: str) -> DataFrame:
+    hashed = docs.select(*scope, F.md5(F.col(content)).alias("content_hash"), F.struct(*order).alias("_order"))
+    return hashed.groupBy(*scope, "content_hash").agg(F.min("_order").alias("_order"))
+
+
+def _chosen(docs: DataFrame, first: DataFrame, scope: list[str], order: list[str], content: str) -> DataFrame:
+    keys = [*scope, "content_hash", "_order"]
+    hashed = docs.withColumns({"content_hash": F.md5(F.col(content)), "_order": F.struct(*order)})
+    wanted = first.select(*(F.col(k).alias(f"_wanted_{i}") for i, k in enumerate(keys)))
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_wanted_{i}")) for i, k in enumerate(keys)))
+    # Rows equal in all keys are repeats of one another.
+    return hashed.join(wanted, same, "left_semi").dropDuplicates(keys).drop("_order")
 
 
 def select_payers(df: DataFrame, names: list[str] | None = None, payer: str = "payer_name") -> DataFrame:

@@ -224,19 +224,21 @@ def target_sections(parsed: DataFrame, targets: Mapping[str, Sequence[str]] = vo
         *rest, "section_type", "kind", "position", "label", "href")
 
 
-def detailed_pages(targets: DataFrame, links: DataFrame, pages: DataFrame, per_type: int = 3,
+def detailed_pages(targets: DataFrame, links: DataFrame, pages: DataFrame, per_type: int | None = None,
                    page_id: str = "page_id",
                    indicators: Mapping[str, Sequence[str]] = vocab.RULE_INDICATORS) -> DataFrame:
-    """Rules of the stored pages behind the first matched links of each page and section type."""
-    chosen = first_n_per_key(targets.where("kind = 'link'"), [page_id, "section_type"], [F.asc("position")], per_type)
+    """Rules of the stored pages behind the matched links, or the first ``per_type`` of each page and section type."""
+    chosen = targets.where("kind = 'link'")
+    if per_type is not None:
+        chosen = first_n_per_key(chosen, [page_id, "section_type"], [F.asc("position")], per_type)
     linked = chosen.join(links.select(page_id, "position", "link_url"), [page_id, "position"]).select(
         page_id, "section_type", "link_url")
     stored = pages.withColumnRenamed("url", "link_url").withColumnRenamed(page_id, "target_page_id")
     return page_rules(linked.join(stored, "link_url"), F.col("section_type"), indicators)
 
 
-def relevant_documents(links: DataFrame, direct: DataFrame | None = None, limit: int = 20) -> DataFrame:
-    """The best documents by relevance; direct addresses enter with a fixed score."""
+def relevant_documents(links: DataFrame, direct: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Relevant documents, or the ``limit`` best by relevance; direct addresses enter with a fixed score."""
     score = S.document_relevance(F.col("text"), F.col("filename"))
     found = links.withColumn("relevance_score", score).where("relevance_score > 0").select(
         "url", "text", "filename", "relevance_score")
@@ -244,6 +246,8 @@ def relevant_documents(links: DataFrame, direct: DataFrame | None = None, limit:
         found = found.unionByName(direct.select(
             "url", F.lit("Direct PDF").alias("text"), basename(url_path(F.col("url"))).alias("filename"),
             F.lit(vocab.DIRECT_DOCUMENT_SCORE).alias("relevance_score")))
+    if limit is None:
+        return found
     return found.orderBy(F.desc("relevance_score"), "url", "text").limit(limit)
 
 

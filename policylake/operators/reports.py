@@ -96,7 +96,7 @@ def category_counts(analysed: DataFrame) -> DataFrame:
         F.count("*").alias("n")).orderBy(F.desc("n"), "primary_category")
 
 
-def top_relevant(analysed: DataFrame, id_col: str, k: int = 5) -> DataFrame:
+def top_relevant(analysed: DataFrame, id_col: str, k: int) -> DataFrame:
     """The most relevant documents."""
     return analysed.where("quality.is_relevant").select(
         id_col, "title", F.col("quality.primary_category").alias("primary_category"),
@@ -104,12 +104,17 @@ def top_relevant(analysed: DataFrame, id_col: str, k: int = 5) -> DataFrame:
     ).orderBy(F.desc("relevance_score"), id_col).limit(k)
 
 
-def duplicate_listing(members: DataFrame, id_col: str, groups: int = 3, shown: int = 2) -> DataFrame:
-    """The first duplicate groups with their first members and how many more there are."""
-    first = (members.select("content_hash", "group_size", "first_member").distinct()
-             .orderBy("first_member").limit(groups))
-    listed = first_n_per_key(members.join(first.select("content_hash"), "content_hash", "left_semi"),
-                             ["content_hash"], [F.asc(id_col)], shown)
+def duplicate_listing(members: DataFrame, id_col: str, groups: int | None = None,
+                      shown: int | None = None) -> DataFrame:
+    """Duplicate groups (or the first ``groups``) with their members (or the first ``shown``) and how many more there are."""
+    listed = members
+    if groups is not None:
+        first = (members.select("content_hash", "group_size", "first_member").distinct()
+                 .orderBy("first_member").limit(groups))
+        listed = members.join(first.select("content_hash"), "content_hash", "left_semi")
+    if shown is None:
+        return listed.select("content_hash", "group_size", id_col, F.lit(0).alias("more"))
+    listed = first_n_per_key(listed, ["content_hash"], [F.asc(id_col)], shown)
     return listed.select("content_hash", "group_size", id_col,
                          F.greatest(F.col("group_size") - shown, F.lit(0)).alias("more"))
 

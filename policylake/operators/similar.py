@@ -226,9 +226,10 @@ def near_duplicates(docs: DataFrame, id_col: str, text: str, threshold: float =
 
 def similar_policies(policies: DataFrame, content: str, threshold: float = 0.85, word_overlap: float = 0.5,
                      payer: str = "payer_name") -> DataFrame:
-    """Pairs of distinct contents within a payer whose ratio reaches ``threshold``.
+    """Pairs of contents within a payer whose ratio reaches ``threshold``.
 
-    Policies of one content are folded into a row with their number; each pair
+    Policies of one content are folded into a row with their number; a content
+    that several policies share is paired with itself, once. Each other pair
     appears in both directions, because the ratio is not symmetric.
     """
     folded = checkpointed(policies.groupBy(payer, F.col(content).alias("content")).agg(
@@ -241,11 +242,15 @@ def similar_policies(policies: DataFrame, content: str, threshold: float = 0.85,
     def side(name: str) -> DataFrame:
         return folded.select(payer, F.md5("content").alias(name), F.col("content").alias(f"content_{name}"),
                              F.col("policies").alias(f"policies_{name}"))
-    return (candidates.join(side("a"), [payer, "a"]).join(side("b"), [payer, "b"])
+    equal = folded.where("policies > 1").select(
+        payer, F.col("content").alias("content_a"), F.col("content").alias("content_b"),
+        F.col("policies").alias("policies_a"), F.col("policies").alias("policies_b"), F.lit(1.0).alias("similarity"))
+    alike = (candidates.join(side("a"), [payer, "a"]).join(side("b"), [payer, "b"])
             .where(jaccard(word_set(F.col("content_a")), word_set(F.col("content_b"))) >= word_overlap)
             .withColumn("similarity", sequence_ratio("content_a", "content_b"))
             .where(F.col("similarity") >= threshold)
             .select(payer, "content_a", "content_b", "policies_a", "policies_b", "similarity"))
+    return alike.unionByName(equal)
 
 
 def exact_duplicate_groups(docs: DataFrame, id_col: str, text: str) -> DataFrame:

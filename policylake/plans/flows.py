@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from policylake import vocab
@@ -46,16 +46,20 @@ def rule_fields(docs: DataFrame, payers: Mapping[str, Sequence[str]] = vocab.PAY
 def section_chunks(docs: DataFrame, size: int = vocab.SENTENCE_CHUNK[0], overlap: int = vocab.SENTENCE_CHUNK[1],
                    compat: bool = False) -> DataFrame:
     """Chunk records of ``docs(filename, payer, text)``: sections, cut further where they are long."""
-    parts = docs.select("filename", "payer", F.posexplode(C.split_sections(F.col("text"), compat)).alias("part", "s")).select(
-        "filename", "payer", "part", F.col("s.section").alias("section"), F.col("s.content").alias("content"))
-    # A text without headers is always cut; a section only when it is too long.
-    cut = (F.col("section") == "General") | (F.length("content") > size)
-    pieces = F.when(cut, C.chunk_sentence(F.col("content"), size, overlap)).otherwise(
-        F.array(F.struct(F.lit(0).alias("chunk_idx"), F.col("content").alias("chunk"))))
-    rows = parts.select("filename", "payer", "part", "section", F.inline(pieces))
-    in_file = Window.partitionBy("filename").orderBy("part", "chunk_idx")
-    return rows.withColumn("number", F.row_number().over(in_file) - 1).select(
-        F.concat("filename", F.lit("_"), F.col("number").cast("string")).alias("chunk_id"),
+    def pieces(s: Column) -> Column:
+        # A text without headers is always cut; a section only when it is too long.
+        cut = (s["section"] == "General") | (F.length(s["content"]) > size)
+        texts = F.when(cut, F.transform(C.chunk_sentence(s["content"], size, overlap), lambda c: c["chunk"])).otherwise(
+            F.array(s["content"]))
+        return F.transform(texts, lambda t: F.struct(s["section"].alias("section"), t.alias("chunk")))
+
+    # Chunks are numbered inside their document, so that a text needs no shuffle and equal file names don't mix.
+    numbered = F.flatten(F.transform(C.split_sections(F.col("text"), compat), pieces))
+    own = [c for c in ("doc_id",) if c in docs.columns]
+    rows = docs.select(*own, "filename", "payer", F.posexplode(numbered).alias("number", "c")).select(
+        *own, "filename", "payer", "number", "c.section", "c.chunk")
+    return rows.select(
+        *own, F.concat("filename", F.lit("_"), F.col("number").cast("string")).alias("chunk_id"),
         F.col("chunk").alias("text"), "section", S.topics(F.col("chunk")).alias("topics"),
         F.coalesce("payer", F.lit("unknown")).alias("payer"), F.coalesce("filename", F.lit("unknown")).alias("source_file"),
         F.length("chunk").alias("char_count"))
@@ -80,12 +84,13 @@ def policy_flow(docs: DataFrame, as_of: str, load_model: Callable[[], H.Model] |
     found = asked.select(*docs.columns, reply.alias("reply"), rule.alias("rule"))
     produced = found.withColumn("policy_type", F.coalesce(
         F.get_json_object("reply", "$.policy_type"), F.col("rule.policy_type")))
-    status = produced.select("doc_id", F.when(F.col("policy_type").isNotNull(), "success").otherwise("failed").alias("status"),
-                             F.col("policy_type").isNotNull().cast("int").alias("policies"))
+    # The model and the patterns run once; both results are read from what they gave.
     nothing = F.array().cast("array<string>")
-    content = produced.where("policy_type is not null").withColumns({"requirements": nothing, "procedures": nothing})
-    # Extraction is the costly part and its narrow result is read several times.
-    identified = checkpointed(L.policy_identity(content.drop("reply", "rule")).drop("text", "requirements", "procedures"))
+    identity = L.policy_identity(produced.drop("reply", "rule").withColumns({"requirements": nothing, "procedures": nothing}))
+    once = checkpointed(identity.drop("text", "requirements", "procedures"))
+    known = F.col("policy_type").isNotNull()
+    status = once.select("doc_id", F.when(known, "success").otherwise("failed").alias("status"), known.cast("int").alias("policies"))
+    identified = once.where(known)
     return L.replay_arrivals(identified, as_of), status
 
 
@@ -159,7 +164,7 @@ def quality_analysis(docs: DataFrame) -> dict[str, DataFrame]:
     return {
         "rejected": gated.where("rejected is not null").groupBy("rejected").agg(F.count("*").alias("n")),
         "documents": analysed, "summary": RP.quality_summary(analysed), "flags": RP.quality_flag_counts(analysed),
-        "categories": RP.category_counts(analysed), "top": RP.top_relevant(analysed, "doc_id"),
+        "categories": RP.category_counts(analysed), "top": RP.top_relevant(analysed, "doc_id", 5),
         "duplicates": RP.duplicate_listing(members, "doc_id"),
     }
 
@@ -216,14 +221,14 @@ def manual_extract(docs: DataFrame, load_model: Callable[[], H.Model], template:
     prompt = F.concat(F.replace(F.lit(before), F.lit("{section}"), F.col("section")), F.col("evidence"), F.lit(after))
     replied = H.model_extract(parts.where(usable), prompt, load_model)
     reply = E.clean_model_json(F.col("model_output"))
-    rows = None
+    # One pass over the replies: the fields asked for depend on the section.
+    items = F.array().cast("array<struct<field:string,items:array<string>>>")
     for section, fields in vocab.SECTION_FIELDS.items():
-        one = replied.where(F.col("section") == section).withColumn("f", E.section_fields(reply, section))
-        items = F.array(*[F.struct(F.lit(n).alias("field"), (
-            E.validate_deadlines(F.col(f"f.{n}"), F.col("evidence")) if n == "deadlines" else F.col(f"f.{n}")).alias("items"))
-            for n in fields])
-        listed = one.select("doc_id", "section", F.inline(items)).select("doc_id", "section", "field", F.explode("items").alias("item"))
-        rows = listed if rows is None else rows.unionByName(listed)
+        found = E.section_fields(reply, section)
+        listed = F.array(*[F.struct(F.lit(n).alias("field"), (
+            E.validate_deadlines(found[n], F.col("evidence")) if n == "deadlines" else found[n]).alias("items")) for n in fields])
+        items = F.when(F.col("section") == section, listed).otherwise(items)
+    rows = replied.select("doc_id", "section", F.inline(items)).select("doc_id", "section", "field", F.explode("items").alias("item"))
     heads = titled.select("doc_id", "payer", "policy_type", "title", "summary", "dates.*")
     return heads.join(rows, "doc_id", "left")
 

@@ -134,8 +134,7 @@ rules as (select k.doc_id, k.rule_type, k.requirement, p.payer_name as payer, 'm
 
 def rule_store(spark, sf):
     """Extracted rules with payer and document."""
-    owners = policy_docs(spark, sf).select("doc_id", F.col("payer_name").alias("payer"))
-    return document_rules(spark, sf).select("doc_id", F.inline("rules")).join(owners, "doc_id").withColumn(
+    return document_rules(spark, sf).select("doc_id", F.col("payer_name").alias("payer"), F.inline("rules")).withColumn(
         "document", F.concat(F.lit("manual-"), (F.col("doc_id") % 500).cast("string"), F.lit(".pdf")))
 
 
@@ -177,7 +176,7 @@ def distinct_payers(spark, sf):
 
 @query(with_docs(f"""
 select case when doc_id % 2 = 0 then doc_id end as rule_id, policy_kind as rule_type, case when doc_id % 2 = 0 then 'T' || doc_id end as title,
-  substring(text, 1, 40) as content, case when doc_id % 2 = 0 then (doc_id % 40)::int end as page_number,
+  text as content, case when doc_id % 2 = 0 then (doc_id % 40)::int end as page_number,
   case when doc_id % 2 = 0 then 0.8::double end as confidence, payer_name as payer, 'f' || doc_id || '.pdf' as document,
   case when doc_id % 2 <> 0 then '2024-01-01' end as effective_date
 from (select *, case when doc_id % 3 = 0 then 'appeals' else 'claims' end as policy_kind from policy_docs)"""))
@@ -185,7 +184,7 @@ def rules_normalised(spark, sf):
     docs = policy_docs(spark, sf)
     kind = F.when(F.col("doc_id") % 3 == 0, "appeals").otherwise("claims").alias("rule_type")
     name = F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".pdf"))
-    body = F.substring("text", 1, 40)
+    body = F.col("text")
     a = docs.where("doc_id % 2 = 0").select(
         F.col("doc_id").alias("rule_id"), kind, F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("rule_title"),
         body.alias("rule_content"), (F.col("doc_id") % 40).alias("page_number"), F.lit("0.8000").alias("confidence_score"),

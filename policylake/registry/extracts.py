@@ -258,7 +258,7 @@ def section_windows(spark, sf):
 
 
 @query(with_docs("""
-select doc_id, section, md5(substring(string_agg(window_text, chr(10) || chr(10) order by line), 1, 15000)) as text_md5
+select doc_id, section, md5(string_agg(window_text, chr(10) || chr(10) order by line)) as text_md5
 from (select h.doc_id, h.section, h.line, string_agg(m.line, chr(10) order by m.pos) as window_text
   from hits h join manual_lines m on h.doc_id = m.doc_id and m.pos between h.line and h.line + 199 group by all) group by all""", WINDOWS_SQL))
 def section_evidence(spark, sf):
@@ -377,8 +377,8 @@ def document_rules(spark, sf):
     rated = F.transform(valid, lambda r: F.struct(
         r["rule_type"].alias("rule_type"), r["requirement"].alias("requirement"), r["full_context"].alias("full_context"),
         S.rule_confidence(r["full_context"], r["rule_type"]).alias("confidence"), r["ord"].alias("ord"), r["start"].alias("start")))
-    return policy_docs(spark, sf).select("doc_id", "text", rated.alias("found")).select(
-        "doc_id", "text", M.dedupe_rules(F.col("found"), lambda r: r["requirement"]).alias("rules"))
+    return policy_docs(spark, sf).select("doc_id", "payer_name", "text", rated.alias("found")).select(
+        "doc_id", "payer_name", "text", M.dedupe_rules(F.col("found"), lambda r: r["requirement"]).alias("rules"))
 
 
 # At most a handful of rules per document: drop a rule when an earlier one resembles it and was kept itself.

@@ -156,12 +156,12 @@ def question_search(spark, sf):
     return RT.search_with_fallback(asked(spark, sf), store(spark, sf).select("id", "embedding", *FACETS), 3, FACETS)
 
 
-TITLE = f"substring({py_strip(f'''regexp_extract({py_strip('text')}, '^[^\\n]*')''')}, 1, 200)"
+TITLE = py_strip(f"regexp_extract({py_strip('text')}, '^[^\\n]*')")
 
 
 @query(f"""with {ASKED_SQL},
 lines as (select qid, rank, source, payer_name, title, lang, rank || ') ' || coalesce(nullif(title, ''), 'Policy rule') || ' — ' || payer_name || ' (' || geographic_scope || ')'
-    || case when body = '' then '' else chr(10) || '    ' || case when length(body) > 320 then regexp_replace(substring(body, 1, 320), '\\s+$', '') || '...' else body end end as line
+    || case when body = '' then '' else chr(10) || '    ' || body end as line
   from (select h.*, s.source, s.payer_name, s.geographic_scope, s.lang, {py_strip('s.text')} as body, {TITLE.replace('text', 's.text')} as title from hits h join store s using (id)))
 select a.qid, a.question, case when n is null then 'No relevant rules found for your query.'
   else 'Answer based on top ' || n || ' rule(s):' || chr(10) || '(See linked sources below for documents)' || chr(10) || listed end as answer,
@@ -184,6 +184,17 @@ def answer_contexts(spark, sf):
                         F.get("hits.filename", F.lit(0)).alias("first_source"))
 
 
+@query(f"""with {ASKED_SQL}
+select qid, string_agg('Payer: ' || payer_name || chr(10) || 'Rule Type: ' || lang || chr(10) || 'Title: ' || md5(text) || chr(10) || 'Document: ' || source
+  || '.pdf (page 1)' || chr(10) || 'Content: ' || md5(text) || chr(10), chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank) as context
+from hits join store using (id) group by 1""")
+def rule_contexts(spark, sf):
+    s = store(spark, sf)
+    hits = RT.search_with_fallback(asked(spark, sf), s.select("id", "embedding", *FACETS), 3, FACETS)
+    named = s.withColumns({"title": F.md5("content"), "content": F.md5("content")})
+    return RT.ranked_hits(hits, named).select("qid", A.rule_context(F.col("hits")).alias("context"))
+
+
 @query("""
 select conv_id, turn, case when m = '' or contains(lower(m), 'not sure') or contains(lower(m), 'insufficient') then 'retrieved' else m end as answer
 from (select conv_id, turn, case turn % 4 when 0 then '' when 1 then 'I am Not Sure' when 2 then 'insufficient context' else text end as m from conversations)""")

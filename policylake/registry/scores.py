@@ -110,7 +110,7 @@ select * from (
   from policy_docs
   union all
   select 'https://files.example.com/' || n_name || '.pdf', 'Direct PDF', n_name || '.pdf', 10 from nation)
-where relevance_score > 0 order by relevance_score desc, url, text limit 20"""))
+where relevance_score > 0"""))
 def relevant_documents(spark, sf):
     docs = policy_docs(spark, sf)
     links = docs.select("url", X.extract_title(F.col("text")).alias("text"), X.basename(F.col("url")).alias("filename"))
@@ -269,7 +269,7 @@ def quality_metrics(spark, sf):
 @query(with_docs("""select doc_id, title, primary_category, relevance_score from quality where is_relevant
 order by relevance_score desc, doc_id limit 5""", QUALITY_SQL))
 def top_relevant_documents(spark, sf):
-    return RP.top_relevant(analysed_docs(spark, sf), "doc_id")
+    return RP.top_relevant(analysed_docs(spark, sf), "doc_id", 5)
 
 
 # The derived documents are shorter than the thresholds expect, so they are read five times over.

@@ -118,7 +118,7 @@ def line_classes(spark, sf):
 
 
 @query(f"""
-select doc_id, substring({py_strip(f"regexp_extract({py_strip('text')}, '^[^\\n-\\r\\x1c-\\x1e\\x85\\x{{2028}}\\x{{2029}}]*')")}, 1, 200) as title
+select doc_id, {py_strip(f"regexp_extract({py_strip('text')}, '^[^\\n-\\r\\x1c-\\x1e\\x85\\x{{2028}}\\x{{2029}}]*')")} as title
 from documents""")
 def document_title(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.extract_title(F.col("text")).alias("title"))

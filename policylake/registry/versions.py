@@ -12,6 +12,8 @@ from policylake.operators import merge as G
 from policylake.operators import reports as RP
 from policylake.registry.base import AS_OF, query, with_docs
 from policylake.registry.extracts import POLICIES_SQL, policies, stored
+from policylake.session import new_path
+from policylake.sources import files as FL
 from policylake.sources.policy_docs import policy_docs, table
 
 CURRENT = f"""(case when effective_date is null then crawl_timestamp >= date '{AS_OF}' - interval 730 day
@@ -248,9 +250,12 @@ def rules_filtered(spark, sf):
     return kept.select("policy_id", F.col("effective_date").cast("string").alias("effective_date"))
 
 
-@query(with_docs("select payer_name, count(*) as n from policies where 1 = 0 group by all", POLICIES_SQL))
+@query(with_docs("select payer_name, count(*) as n, 0::bigint as matched from policies group by all", POLICIES_SQL))
 def rules_filtered_unknown_column(spark, sf):
-    return RP.count_by(G.filter_eq(policies(spark, sf), {"no_such_column": "x"}), "payer_name")
+    rows = policies(spark, sf)
+    matched = RP.count_by(G.filter_eq(rows, {"no_such_column": "x"}), "payer_name").withColumnRenamed("n", "matched")
+    return RP.count_by(rows, "payer_name").join(matched, "payer_name", "left").select(
+        "payer_name", "n", F.coalesce("matched", F.lit(0).cast("long")).alias("matched"))
 
 
 @query("""
@@ -266,16 +271,16 @@ def exact_duplicate_groups(spark, sf):
 @query("""
 with normal as (select doc_id, md5(regexp_replace(regexp_replace(trim(lower(text), chr(9) || chr(10) || ' '), '[\\t-\\r\\x1c-\\x1f\\x85\\p{Z}]+', ' ', 'g'),
   '[^\\p{L}\\p{N}_\\t-\\r\\x1c-\\x1f\\x85\\p{Z}]', '', 'g')) as content_hash from documents),
-g as (select *, count(*) over (partition by content_hash) as group_size, min(doc_id) over (partition by content_hash) as first_member,
-  row_number() over (partition by content_hash order by doc_id) as rn from normal),
-chosen as (select distinct content_hash, first_member from g where group_size > 1 order by first_member limit 3)
-select content_hash, group_size, doc_id, greatest(group_size - 2, 0) as more from g where rn <= 2 and content_hash in (select content_hash from chosen)""")
+g as (select *, count(*) over (partition by content_hash) as group_size from normal)
+select content_hash, group_size, doc_id, 0 as more from g where group_size > 1""")
 def duplicate_listing(spark, sf):
     from policylake.operators.similar import exact_duplicate_groups as groups
     return RP.duplicate_listing(groups(table(spark, sf, "documents"), "doc_id", "text"), "doc_id")
 
 
-@query(with_docs(f"select regexp_extract(url, '[^/]*$') as name, round(strlen(text) / 1048576.0, 5)::double as size_mb from policy_docs where payer_name = 'FURNITURE'"))
+@query(with_docs("select payer_name, regexp_extract(url, '[^/]*$') as name from policy_docs where payer_name = 'FURNITURE'"))
 def documents_listed(spark, sf):
-    return policy_docs(spark, sf).where("payer_name = 'FURNITURE'").select(
-        X.basename(F.col("url")).alias("name"), F.round(F.octet_length("text") / 1048576.0, 5).cast("double").alias("size_mb"))
+    path = new_path(spark, "documents")
+    policy_docs(spark, sf).select("payer_name", X.basename(F.col("url")).alias("name"), F.octet_length("text").alias("size")) \
+        .write.partitionBy("payer_name").parquet(path)
+    return FL.list_documents(spark.read.parquet(path), "FURNITURE")

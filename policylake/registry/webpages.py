@@ -78,6 +78,17 @@ def target_sections(spark, sf):
     return PG.target_sections(parsed(spark, sf), TARGETS, LINK_TERMS)
 
 
+@query(f"""with {ANCHORS_SQL} select page_id, position, text, href from (select page_id, position, text, href || case when position % 2 = 0 then '.PDF' else '' end as href
+  from anchors) where regexp_matches(lower(href), '\\.(pdf|doc|docx|xls|xlsx)')""")
+def downloads_listed(spark, sf):
+    """Every other link is taken to lead to a file."""
+    pages = parsed(spark, sf)
+    named = F.transform("page.links", lambda x, i: x.withField("href", F.concat(
+        x["href"], F.when(i % 2 == 0, ".PDF").otherwise(""))))
+    found = PG.page_downloads(pages.withColumn("page", F.col("page").withField("links", named)))
+    return found.select("page_id", "position", "text", "href")
+
+
 # The stored pages do not link to each other, so each link is taken to lead to the page of the same position.
 @query()
 def detailed_page_rules(spark, sf):

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from policylake import vocab
+
 POLICY_DOCS_SQL = r"""
 select o_orderkey as doc_id,
   c_mktsegment as payer_name,
   o_orderdate as crawl_timestamp,
   concat('https://providers.example.com/docs/',
-    substring('ALAKAZARCACOCTDEFLGAHIIDILINIAKSKYLAMEMDMAMIMNMSMOMTNENVNHNJNMNYNCNDOHOKORPARISCSDTNTXUTVTVAWAWVWIWYDCPRVIGU', cast(o_orderkey % 54 as int) * 2 + 1, 2),
+    substring('STATE_CODES', cast(o_orderkey % 54 as int) * 2 + 1, 2),
     case cast(o_orderkey % 6 as int) when 0 then '_CAID_ProviderManual' when 1 then '_prior-auth-list' when 2 then '_marketing-brochure'
       when 3 then '_timely_filing_sample' when 4 then '_general' else '_appeals-claims-guide' end,
     '-', cast(o_orderkey as string), '.pdf') as url,
@@ -39,7 +41,7 @@ select o_orderkey as doc_id,
     'For internal reference: order priority ', o_orderpriority, ' status ', o_orderstatus, chr(10),
     'repeated footer line', chr(10), 'repeated footer line', chr(10), 'repeated footer line') as text
 from orders join customer on o_custkey = c_custkey
-"""
+""".replace("STATE_CODES", "".join(vocab.STATES))
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ micro-batch under its number, so a repeated batch replaces its own output.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from policylake.operators.lifecycle import remove_replaced, replay_arrivals
 from policylake.operators.merge import skip_known_content
 from policylake.session import checkpointed
 from policylake.sources.files import exists
-from policylake.sources.sinks import read_snapshot, write_snapshot
+from policylake.sources.sinks import read_snapshot, was_written, write_snapshot
 
 
 def file_stream(spark: SparkSession, folder: str, glob: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -57,21 +58,27 @@ def dedupe_stream(stream: DataFrame, time: str, lateness: str, content: str = "c
 def maintain_current(stream: DataFrame, active: str, checkpoint: str, as_of: str,
                      prepare: Callable[[DataFrame], DataFrame] = lambda df: df, arrival: str = "crawl_timestamp",
                      tie: str = "source_pdf") -> StreamingQuery:
-    """Keep the active policies as batches arrive; snapshot ``n`` is the state after batch ``n``.
+    """Keep the active policies as batches arrive; each batch writes the next snapshot of the store.
 
     What the batch writes again is overwritten, what it replaces is removed, and
-    inside the batch arrivals replace one another in order.
+    inside the batch arrivals replace one another in order. A batch that was
+    committed before is not applied again, whatever was written since.
     """
+    stream_name = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+
     def update(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        writer = f"batch-{stream_name}-{number}"
+        if was_written(spark, active, writer):
+            return
         # The batch is read several times below; what was extracted from it is kept once.
         new = checkpointed(prepare(batch))
         survivors = replay_arrivals(new, as_of, arrival, tie)
-        old = read_snapshot(spark, active, before=number)
+        old = read_snapshot(spark, active)
         if old is not None:
             untouched = old.join(new.select("policy_id").distinct(), "policy_id", "left_anti").select(*old.columns)
             survivors = remove_replaced(untouched, new, as_of).unionByName(survivors)
-        write_snapshot(survivors, active, number)
+        write_snapshot(survivors, active, writer)
 
     return (stream.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -179,9 +179,11 @@ def test_rules_deduped_in_order(spark):
 
 def test_similar_policies_both_directions(spark):
     df = spark.createDataFrame([("a1", "P", "one two three four five"), ("a2", "P", "one two three four five six"),
-                                ("b1", "Q", "one two three four five")], "policy_id string, payer_name string, content string")
+                                ("b1", "Q", "one two three four five"), ("b2", "Q", "one two three four five"),
+                                ("b2", "Q", "one two three four five")], "policy_id string, payer_name string, content string")
     got = M.similar_policies(df, "content").collect()
-    assert sorted(r.content_a for r in got) == ["one two three four five", "one two three four five six"]
+    assert sorted(r.content_a for r in got if r.payer_name == "P") == ["one two three four five", "one two three four five six"]
+    assert [(r.content_a, r.policies_a, r.similarity) for r in got if r.payer_name == "Q"] == [("one two three four five", 2, 1.0)]
 
 
 def test_search_equals_numpy(spark):
@@ -320,15 +322,48 @@ def test_stores_and_cleanup(spark):
     _, df = random_policies(spark, 120, 5)
     path = new_path(spark, "store")
     SK.write_policies(df, path)
-    stored = FL.scan_policies
     assert spark.read.parquet(path).count() == df.select("policy_id").distinct().count()
     active, archive, reports = (new_path(spark, n) for n in ("active", "archive", "reports"))
-    SK.write_snapshot(df, active, 0)
+    assert SK.write_snapshot(df, active) == 0
     stats = SK.scheduled_cleanup(spark, active, archive, reports, "2023-01-01").first()
     assert SK.latest_version(spark, active) == 1
     assert SK.read_snapshot(spark, active).count() == stats.current_policies == L.current_versions(df, "2023-01-01").count()
     assert spark.read.parquet(archive).count() == stats.archived_policies
-    assert stored is not None
+
+
+def test_stream_and_cleanup_share_a_store(spark):
+    """A batch after a cleanup starts from what it left; a repeated batch changes nothing; old snapshots may go."""
+    rows, df = random_policies(spark, 120, 9)
+    folder, reports, archive = (new_path(spark, n) for n in ("shared", "reports", "archive"))
+    active, ordered = f"{folder}-active", sorted(rows, key=lambda r: (r[5], r[6]))
+
+    def arrive(part, state):
+        spark.createDataFrame(part, POLICY).coalesce(1).write.mode("append").parquet(folder)
+        ST.maintain_current(ST.file_stream(spark, folder, "*.parquet", df.schema), active, f"{folder}-{state}", "2022-06-01").awaitTermination()
+
+    arrive(ordered[:60], "a")
+    SK.scheduled_cleanup(spark, active, archive, reports, "2022-06-01")
+    cleaned = {r.policy_id for r in SK.read_snapshot(spark, active).collect()}
+    assert SK.latest_version(spark, active) == 1
+    arrive(ordered[60:], "a")
+    after = {r.policy_id for r in SK.read_snapshot(spark, active).collect()}
+    arrived = {r.policy_id for r in spark.createDataFrame(ordered[60:], POLICY).collect()}
+    assert after <= cleaned | arrived and SK.latest_version(spark, active) == 2
+    writers = [w for w in SK._commits(spark, active).values() if w.startswith("batch-")]
+    assert len(writers) == 2 and all(SK.was_written(spark, active, w) for w in writers)
+    assert SK.expire_snapshots(spark, active, 1) == [0, 1]
+    assert {r.policy_id for r in SK.read_snapshot(spark, active).collect()} == after
+
+
+def test_gaps_in_the_numbers_lose_nothing(spark):
+    active = new_path(spark, "gaps")
+    _, df = random_policies(spark, 20, 3)
+    for _ in range(3):
+        SK.write_snapshot(df, active)
+    SK.expire_snapshots(spark, active, 1)
+    assert SK.read_snapshot(spark, active, before=5).count() == 20
+    df.write.parquet(SK.snapshot_path(active, 7))  # never committed
+    assert SK.latest_version(spark, active) == 2
 
 
 def test_files_and_exports(spark, tmp_path):
