@@ -97,7 +97,7 @@ def _matches(text: Column, kind: str, pattern: str, base: bool) -> Column:
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, kind, base, start, end, match, left, right): every match in every text; base: a valid base span."""
-    plain = docs.select(F.xxhash64(key, text).alias("row"), F.col(text).alias("t")).where(F.col("t").rlike("[0-9]|at[)\\]]"))
+    plain = docs.select(F.xxhash64(key, text).alias("row"), F.col(text).alias("t")).where(F.col("t").rlike(r"[0-9@]|at[)\]]"))
     lists = [_matches(F.col("t"), k, p, True) for k, p in BASE.items()] + \
         [_matches(F.col("t"), k, p, False) for k, p in MORE.items()]
     none = F.expr("cast(array() as array<struct<kind:int,base:boolean,n:int,gap:int,match:string,left:string,right:string>>)")

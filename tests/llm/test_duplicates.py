@@ -3,7 +3,6 @@
 import hashlib
 import random
 import re
-from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
@@ -95,7 +94,6 @@ def test_connected_long_chain(spark):
 
 def test_lines(spark, edge_docs, edge_rows, no_docs):
     long = [prose(900 + i, 40) for i in range(5)]
-    near = long[0].replace(long[0].split()[3], "changed", 1)
     rows = [(5, "\n".join([long[0], long[1], "", "tail one"])), (3, "\n".join([long[1].upper() + " !", long[2]])),
             (9, long[2] + "\n" + long[3] + "\n" + long[3]), (10, long[2]), (11, None), (12, "\n\n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -106,7 +104,6 @@ def test_lines(spark, edge_docs, edge_rows, no_docs):
     assert got[10].text == "" and got[11].text is None and got[12].text == "\n\n"
     left = {r.doc_id for r in line_dedup.dedup_lines(docs).collect()}
     assert left == {3, 5, 9, 11, 12}
-    assert SequenceMatcher(None, near, long[0]).ratio() > 0.9
     assert line_dedup.with_lines_cut(edge_docs).count() == len(edge_rows)
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
