@@ -3,7 +3,7 @@
 ``grouped`` takes buckets (the candidates: two items may be linked only if they share one) and a function that tests
 pairs. It works in rounds. Each round picks pivots in every bucket that still holds more than one group, tests them
 against the members of *other* groups only, and merges groups along the links found. Pivots are the members whose hash
-lies in a share of the hash space that grows fourfold per round, relative to the bucket's size, until every member has
+lies in a share of the hash space that grows sixteenfold per round, relative to the bucket's size, until every member has
 been one; so all pairs of a bucket that aren't known to be connected get tested in the end, whatever its size, while a
 bucket of thousands of alike items is settled by a few pivots.
 """
@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from policylake.session import shared_dir
 
 
+#: Growth of the number of pivots in a bucket per round.
+GROWTH = 16
+
+
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, and is there if an executor is lost."""
     spark = df.sparkSession
@@ -46,29 +50,32 @@ def partnered(shared: DataFrame, condition: str, few: int = 256) -> DataFrame:
     return met.unionByName(shared.where(F.col("n") > few)).drop("n")
 
 
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("root")).union(
+        edges.select("v", F.lit(0), F.lit(1)))
+    return is_empty(ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("root").alias("root")).where(
+        "out > 1 or (out = 1 and root = 1)"))
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(id, least): the least id reachable by links (a, b); ids that are least themselves are left out.
 
     Alternating stars: every node's larger neighbours are hung on its least neighbour, then its smaller ones, until
-    nothing changes; a logarithmic number of rounds, each an aggregate and a join.
+    the links are a forest of stars; a logarithmic number of rounds, each an aggregate and a join.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = stored(edges, "edges")
-    mark = None
-    while True:
+    while not _is_forest_of_stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = large.where("u <> v")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v") \
+        hung = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v") \
             .union(down.select("u", F.col("m").alias("v"))).distinct()
-        edges = stored(small, "edges")
-        # A star forest maps every id to one root that is no id itself; the state is settled when it stays the same.
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000003)).first()
-        if now == mark:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("least"))
-        mark = now
+        edges = stored(hung, "edges")
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("least"))
 
 
 def grouped(spark: SparkSession, buckets: DataFrame, tested: Callable[[DataFrame], DataFrame],
@@ -87,12 +94,12 @@ def grouped(spark: SparkSession, buckets: DataFrame, tested: Callable[[DataFrame
         if groups is None:
             member = level.withColumn("g", F.col("id"))
         else:
-            member = level.join(groups.withColumnRenamed("least", "g"), "id", "left") \
+            member = level.join(small(groups).withColumnRenamed("least", "g"), "id", "left") \
                 .withColumn("g", F.coalesce("g", "id"))
         state = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head"),
                                              F.min("g").alias("low"), F.max("g").alias("high"))
-        # A bucket of at most 4 ** (rounds - 1) members is settled: each has been a pivot.
-        open_ = state.where("low <> high").where(F.col("n") > (4 ** (rounds - 1) if rounds else 1))
+        # A bucket of at most GROWTH ** (rounds - 1) members is settled: each has been a pivot.
+        open_ = state.where("low <> high").where(F.col("n") > (GROWTH ** (rounds - 1) if rounds else 1))
         live = stored(member.join(open_.drop("low", "high"), "bucket"), "live")
         if is_empty(live):
             if not first:
@@ -102,17 +109,17 @@ def grouped(spark: SparkSession, buckets: DataFrame, tested: Callable[[DataFrame
         if rounds == 0:
             pivots = live.where("id = head")
         else:
-            # The share of pivots grows fourfold; those of earlier rounds were tested against all other groups.
+            # The share of pivots grows; those of earlier rounds were tested against all other groups.
             spot = F.shiftrightunsigned(F.xxhash64("id"), 32).cast("double") / F.lit(float(2 ** 32))
-            pivots = live.where((spot * F.col("n") < float(4 ** rounds))
-                                & (spot * F.col("n") >= (float(4 ** (rounds - 1)) if rounds > 1 else 0.0)))
+            pivots = live.where((spot * F.col("n") < float(GROWTH ** rounds))
+                                & (spot * F.col("n") >= (float(GROWTH ** (rounds - 1)) if rounds > 1 else 0.0)))
         p, m = pivots.alias("p"), live.alias("m")
         pairs = p.join(m, F.expr(f"p.bucket = m.bucket and p.g <> m.g and {comparable}")) \
             .select(F.least("p.id", "m.id").alias("a"), F.greatest("p.id", "m.id").alias("b")).distinct()
         links = tested(stored(pairs, "pairs")).select("a", "b")
         if groups is not None:
-            left = groups.select(F.col("id").alias("a"), F.col("least").alias("ga"))
-            right = groups.select(F.col("id").alias("b"), F.col("least").alias("gb"))
+            left = small(groups).select(F.col("id").alias("a"), F.col("least").alias("ga"))
+            right = small(groups).select(F.col("id").alias("b"), F.col("least").alias("gb"))
             links = links.join(left, "a", "left").join(right, "b", "left").select(
                 F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b"))
         found = stored(links.distinct(), "links")
@@ -123,7 +130,7 @@ def grouped(spark: SparkSession, buckets: DataFrame, tested: Callable[[DataFrame
             else:
                 # Groups' heads that moved take their members along.
                 heads = moved.select(F.col("id").alias("least"), F.col("least").alias("new"))
-                kept = groups.join(heads, "least", "left").select("id", F.coalesce("new", "least").alias("least"))
+                kept = groups.join(small(heads), "least", "left").select("id", F.coalesce("new", "least").alias("least"))
                 groups = stored(kept.unionByName(moved), "groups")
         if first:
             first = False

@@ -354,7 +354,7 @@ def page_text(html: str | None) -> tuple[str | None, str]:
 
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """All columns of ``pages`` but the markup, with title and text."""
-    own = {"title", "text"}
+    own = {"title", "text", "_html"}
     kept = [c for c in pages.columns if c not in own and c != html]
     rows = pages.select(*(F.col(f"`{c}`") for c in kept), F.col(html).cast("string").alias("_html"))
 

@@ -5,7 +5,9 @@ is cut into fragments; a document's set falls into one segment per fragment, seg
 fragment by fragment, apart from each other, and the partial overlaps are summed per pair. The sums decide exactly.
 
 Which pairs are counted: two sets with 100 * both >= percent * either share an n-gram among the first
-size - ceil(percent * size / 100) + 1 of each in the global order, and their sizes differ by no more than percent.
+size - ceil(percent * size / 100) + 1 of each in the global order, and their sizes differ by no more than percent. This
+is applied twice: by the order of all documents to find candidates, and by the exact counts among these, where a set
+whose n-grams are mostly its own drops out, before pairs are looked at.
 Equal sets are folded into one node first. Links are then followed by pivots (``_links.grouped``), which tests every
 candidate pair that isn't connected already and never lists all pairs of a group of copies.
 
@@ -113,6 +115,28 @@ def _segments(docs: DataFrame, samples: DataFrame, words: int, bands: np.ndarray
     return found.mapInArrow(run, "node long, fragment int, grams array<long>")
 
 
+def _rare_buckets(segments: DataFrame, sizes: DataFrame, percent: int, may: str) -> DataFrame:
+    """(bucket, id, size, pos, rank): the n-grams in which linked sets meet, in the exact order among candidates.
+
+    Among the candidates an n-gram's count can be taken exactly. A set that shares fewer than percent of its n-grams with
+    any other candidate goes; the rest are ordered by their counts among what is left, those of no other set first.
+    """
+    def shared(rows: DataFrame) -> DataFrame:
+        grams = rows.select("node", F.explode("grams").alias("gram")).repartition("gram").dropDuplicates(["gram", "node"])
+        return grams.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("n > 1")
+
+    held = shared(segments).groupBy("node").agg(F.count(F.lit(1)).alias("held"))
+    alive = stored(sizes.join(held, "node").where(100 * F.col("held") >= percent * F.col("size")).select("node", "size"), "alive")
+    again = shared(segments.join(small(alive.select("node")), "node")).join(small(alive), "node")
+    of_set = Window.partitionBy("node")
+    placed = again.withColumns({"place": F.row_number().over(of_set.orderBy("n", "gram")), "held": F.count(F.lit(1)).over(of_set)}) \
+        .withColumn("pos", F.col("size") - F.col("held") + F.col("place") - 1)
+    prefix = placed.where(F.col("pos") <= F.col("size") - F.ceil(percent * F.col("size") / 100)).select(
+        F.col("gram").alias("bucket"), F.col("node").alias("id"), "size", "pos", F.col("place").alias("rank"))
+    met = prefix.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1")
+    return stored(partnered(stored(met, "met"), may), "buckets")
+
+
 def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id",
                    text: str = "text") -> DataFrame:
     """(doc_id, copy, n_shingles, node, group): one row per row of ``docs``; group is null where a set is linked with none.
@@ -131,15 +155,16 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     # A pair's first common n-gram leaves at most the shorter rest to be shared; it must do for the overlap needed.
     may = (f"100 * least(p.size, m.size) >= {percent} * greatest(p.size, m.size) and "
            f"{100 + percent} * least(p.size - p.pos, m.size - m.pos) >= {percent} * (p.size + m.size)")
-    first = F.row_number().over(Window.partitionBy("id").orderBy("bucket"))
-    buckets = stored(partnered(stored(shared, "shared"), may).withColumn("rank", first), "buckets")
+    hopeful_sets = partnered(stored(shared, "shared"), may)
     # One row that holds each set is read again, only for sets that may have a partner.
-    meant = buckets.select(F.col("id").alias("node")).distinct()
+    meant = hopeful_sets.select(F.col("id").alias("node")).distinct()
     chosen = stored(nodes.join(meant, "node").select("node", "size", "head", "sample.*"), "heads")
     heads, samples = chosen.select("node", "size", "head"), chosen.select("node", "doc_id", "copy")
     segments = stored(_segments(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), small(samples), words, bands),
                       "segments")
 
+    buckets = _rare_buckets(segments, heads.select("node", "size"), percent, may)
+
     def sides(table: DataFrame, pairs: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
         meant = small(pairs)
         return tuple(table.join(meant, F.col("node") == F.col(x)).select(
@@ -158,7 +183,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str
         # Repeated rows give a segment twice.
         once = partial.groupBy("a", "b", "fragment").agg(F.max("both").alias("both"))
         overlap = once.groupBy("a", "b").agg(F.sum("both").alias("both"))
-        return hopeful.join(overlap, ["a", "b"]).where(
+        return overlap.join(small(hopeful), ["a", "b"]).where(
             100 * F.col("both") >= percent * (F.col("size_a") + F.col("size_b") - F.col("both"))).select("a", "b")
 
     groups = grouped(spark, buckets, tested, comparable=may, hint="rank <= 2")

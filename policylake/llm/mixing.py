@@ -82,10 +82,11 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, block_chars:
     targets = listed.join(known, F.col("source").eqNullSafe(F.col("_w")), "left") \
         .select("source", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     plan = pfair_cycle(targets, cycle)
-    inside = Window.partitionBy("_s", "_b").orderBy("_o", F.col(f"`{key}`"), "_n") \
+    inside = Window.partitionBy("_s", "_b").orderBy("_o", F.col(f"_row.`{key}`"), "_n") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    placed = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(source).alias("_s"), bucket.alias("_b"),
-                         order.alias("_o"), _chars(F.col(text)).alias("_n")) \
+    # The input's columns travel in a struct, where their names can't clash.
+    placed = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row"), F.col(source).alias("_s"),
+                         bucket.alias("_b"), order.alias("_o"), _chars(F.col(text)).alias("_n")) \
         .withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))) \
         .join(offsets, F.col("_s").eqNullSafe(F.col("_os")) & (F.col("_b") == F.col("_ob"))) \
         .withColumn("_start", F.col("_base") + F.col("_inside")) \
@@ -95,7 +96,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, block_chars:
     timed = placed.join(sizes, F.col("_s").eqNullSafe(F.col("_ps"))) \
         .join(turns, F.col("_s").eqNullSafe(F.col("_ts")) & (F.col("_block") % F.col("share") == F.col("_turn")))
     return timed.select(
-        *(F.col(f"`{c}`") for c in kept), F.col("_block").alias("mix_block"),
+        *(F.col(f"_row.`{c}`").alias(c) for c in kept), F.col("_block").alias("mix_block"),
         (F.floor(F.col("_block") / F.col("share")).cast("long") * F.col("period") + F.col("_slot")).alias("mix_slot"),
         (F.col("_start") % F.lit(block_chars)).alias("mix_offset"))
 

@@ -13,8 +13,7 @@ A shard joins its segments (whole anchors, about ``SHARD_BYTES``) and builds the
 the permuted common prefixes (``suffixes``). Neighbours in order that share LENGTH bytes form classes; in each, all
 windows but the earliest are repeats. Together with the segments folded before, they give the ranges to remove.
 
-Texts are kept once in a table bucketed by document in the shared folder, so that both times they're needed, to cut
-segments and to remove ranges, only small rows are shuffled to them.
+Texts meet small rows by document twice, to cut segments and to remove ranges; these two joins are all that moves texts.
 
 Defined cases: null text is empty; texts shorter than LENGTH lose nothing; a null id is the smallest; rows of one id
 are one document's, told apart by a 14-bit hash of their texts when ranges are applied; repeated rows are one row and
@@ -24,7 +23,6 @@ get equal results. Extra columns pass by.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +33,10 @@ from pyspark.sql import functions as F
 from policylake.llm._arrow import mixed, row_of, sliced, text_bytes
 from policylake.llm._links import stored
 from policylake.llm.suffixes import joined, permuted_prefixes, suffix_array
-from policylake.session import shared_dir
 
 LENGTH = 100
 GRAM = 32
 SHARD_BYTES = 2 << 20
-BUCKETS = 32
 _SPAN, _TAG = 7, 14  # bits: windows in a segment less one; hash of the text
 
 
@@ -220,19 +216,10 @@ def _shards(cut: DataFrame, kind: str) -> DataFrame:
         run, f"doc {kind}, tag long, first long, past long")
 
 
-def _bucketed(docs: DataFrame) -> DataFrame:
-    """The texts in a table bucketed by ``key``, in the shared folder."""
-    spark = docs.sparkSession
-    name = f"texts_{uuid.uuid4().hex}"
-    docs.write.bucketBy(BUCKETS, "key").format("parquet").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
-
-
 def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(texts, ranges): texts (key, doc, text) bucketed by key, and per key its byte ranges (tag, first, past)."""
+    """(texts, ranges): texts (key, doc, text), and per key its byte ranges (tag, first, past)."""
     plain = docs.select(F.xxhash64(key).alias("key"), F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
     kind = plain.schema["doc"].dataType.simpleString()
-    texts = _bucketed(plain)
     place = F.struct("doc", F.shiftright("at", _SPAN + _TAG).alias("start"))
     by_anchor, by_segment = Window.partitionBy("anchor"), Window.partitionBy("anchor", "segment")
     met = _occurrences(plain, kind).withColumn("n", F.count(F.lit(1)).over(by_anchor)).where("n > 1") \
@@ -242,14 +229,14 @@ def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     met = stored(met.where("differ or not first").select("anchor", "doc", "at", "differ", "first"), "segments")
     wanted = met.where("differ and first").dropDuplicates(["anchor", "doc", "at"]).groupBy(F.xxhash64("doc").alias("key")).agg(
         F.collect_list(F.struct("anchor", "at")).alias("places"))
-    found = _shards(_cut(texts, wanted, kind), kind)
+    found = _shards(_cut(plain, wanted, kind), kind)
     start = F.shiftright("at", _SPAN + _TAG)
     folded = met.where("not first").select(
         "doc", F.col("at").bitwiseAND((1 << _TAG) - 1).alias("tag"), start.alias("first"),
         (start + F.shiftright("at", _TAG).bitwiseAND((1 << _SPAN) - 1) + LENGTH).alias("past"))
     ranges = found.unionByName(folded).groupBy(F.xxhash64("doc").alias("key")).agg(
         F.collect_set(F.struct("tag", "first", "past")).alias("ranges"))
-    return texts, ranges
+    return plain, ranges
 
 
 def _merged(ranges: np.ndarray) -> np.ndarray:
