@@ -26,9 +26,13 @@ from pyspark.sql import functions as F
 from policylake.llm._arrow import sliced
 
 PAD = 40
+#: As in browsers a quote opens a value only after the name's ``=``; elsewhere it is a character of a name or a bare value.
+_NAME, _BARE = r"[^\s/>][^\s/>=]*+", r"[^\s\"'>][^\s>]*+"
+_PLAIN = rf"(?:[\s/]++|{_NAME}(?!\s*+=\s*+[\"'])(?:\s*+=\s*+(?:{_BARE})?+)?+)++"
+_QUOTED = rf"{_NAME}\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+')"
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'){0,512}+)>", re.S)
-_ATTR = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+    rf"<!--(?:.*?-->|.*)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:{_PLAIN}|{_QUOTED}){{0,512}}+)>", re.S)
+_ATTR = re.compile(rf"({_NAME})(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|({_BARE}))?+)?+")
 _BLANKS = re.compile(r"[ \t\n\r\f\v]+")
 _NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
@@ -55,6 +59,8 @@ _ENDS = {
     "tfoot": (_ROWS | _set("tr td th caption colgroup"), _set("table")),
     "body": (_set("head"), _set("html")),
 }
+#: What may stand in the head; the first other tag, or text, ends it.
+_IN_HEAD = _set("base basefont bgsound link meta title style script noscript noframes template")
 _P = _set("p")
 _SCOPE = _set("table td th caption button object")
 _GRID = _ROWS | _set("table tr td th caption")
@@ -112,14 +118,19 @@ def tree(html: str) -> Node:
                 return None
         return None
 
+    def write(text: str) -> None:
+        if open_[-1].tag == "head" and text.strip(" \t\n\r\f"):
+            pop_to(len(open_) - 1)
+        open_[-1].children.append(text)
+
     at, size = 0, len(html)
     while at < size:
         m = _TOKEN.search(html, at)
         if m is None:
-            open_[-1].children.append(unescape(html[at:]))
+            write(unescape(html[at:]))
             break
         if m.start() > at:
-            open_[-1].children.append(unescape(html[at:m.start()]))
+            write(unescape(html[at:m.start()]))
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
@@ -135,6 +146,8 @@ def tree(html: str) -> Node:
             continue
         if tag in ("html", "body") and (tag == "html" or counts.get("body")):
             continue
+        if open_[-1].tag == "head" and tag not in _IN_HEAD:
+            pop_to(len(open_) - 1)
         if tag in CLOSES_P:
             end(_P, _SCOPE)
         if tag in _ENDS:

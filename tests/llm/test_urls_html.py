@@ -80,6 +80,21 @@ def test_broken_and_deep_markup():
     assert len(page_text("<table><tr><td>x" * 2000)[1].split()) == 2000
 
 
+def test_head_ends_without_its_tags():
+    assert page_text("<head><title>T</title><p>Hello <b>you</b>") == ("T", "Hello you")
+    assert page_text("<html><head>\n<meta charset=x><link rel=y><style>s</style>\n Hello<p>there</html>") == (None, "Hello\n\nthere")
+    assert page_text("<head><noscript><img src=x>no</noscript><script>no</script><title>T</title></head><div>a") == ("T", "a")
+    assert page_text("<head><template><p>no</template>&nbsp;<title>T")[1].strip() == ""
+
+
+def test_quotes_open_values_only():
+    assert page_text("<p class=\"x\"\">one</p><p>two \"q\"")[1] == "one\n\ntwo \"q\""
+    assert page_text("<a title=it's>one</a> it's <b>two</b>")[1] == "one it's two"
+    assert page_text("<a href=/x?a=\"b>one</a> <i>\"two\"</i>")[1] == "one \"two\""
+    assert page_text("<p title = 'a > b' id=\"c > d\"x>one<p don't>two<p =\"x>three")[1] == "one\n\ntwo\n\nthree"
+    assert page_text("<p class=\"x\"\" style='display:none'>no</p><p hidden=>no</p><p a=b/ " + "x " * 2000 + ">yes")[1] == "yes"
+
+
 def test_pages_with_clashing_columns(spark):
     pages = spark.createDataFrame([(1, None, "t", "x"), (None, "<p>a", "t", "x"), (1, "<p>a", "t", "x")],
                                   "page_id long, html string, text string, title string")
