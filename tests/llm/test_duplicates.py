@@ -108,6 +108,14 @@ def test_lines(spark, edge_docs, edge_rows, no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
+def test_repeated_rows_of_several_lines_are_judged_as_one(spark):
+    a, b, c = (prose(950 + i, 40) for i in range(3))
+    docs = spark.createDataFrame([(9, f"{a}\n{b}\n{c}")] * 3 + [(1, b)], "doc_id long, text string")
+    rows = line_dedup.with_lines_cut(docs).collect()
+    assert sorted((r.doc_id, r.text, r.lines_cut, r.lines_left_worded) for r in rows) == \
+        [(1, b, 0, None)] + [(9, f"{a}\n{c}", 1, 2)] * 3
+
+
 def test_near_lines_by_brute_force(spark):
     """Lines are grouped exactly if their sketches lie within 3 bits and their texts are similar enough."""
     lines = [t for k in range(6) for t in near_copies(12 + k, 60, 1)] + [prose(k, 30) for k in range(40)]
