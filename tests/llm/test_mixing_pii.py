@@ -133,3 +133,11 @@ def test_pipeline_stages_on_edges(spark, edge_rows, no_docs, sf):
         assert stage(spark, edge, sf).count() <= len(edge_rows), name
     gone = corpus_pipeline.near_duplicates(spark, edge, sf)
     assert {4} == {r.doc_id for r in gone.collect() if r.text == edge_rows[5][1] and r.doc_id is not None}
+
+
+def test_near_duplicates_keep_one_row_of_a_group(spark, no_docs, sf):
+    a, b = prose(70, 60), prose(71, 60)
+    rows = [(4, a, "en", "s", 1)] * 3 + [(4, a.upper(), "en", "s", 1), (5, a, "en", "s", 1), (None, a, "en", "s", 1)] + \
+        [(6, b, "en", "s", 1), (7, None, "en", "s", 1), (7, "", "en", "s", 1)] + [(None, prose(72, 60), "en", "s", 1)] * 2
+    left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, no_docs.schema), sf).collect()
+    assert sorted(str(r.doc_id) for r in left) == ["4", "6", "7", "7", "None"]
