@@ -8,8 +8,9 @@ is rejected if its squared Mahalanobis distance from the estimate exceeds ``CUTO
 
 Everything runs on a narrow table of statistics: a step is two aggregates with partial sums (the share's quantile, the
 moments) and a join with one small row per group, so a group of a third of all rows costs no task more than another.
-The 5 x 5 algebra is done on the rows of groups, in tasks. Each variance has a floor (``FLOOR``, squared), so a group
-of few or equal texts rejects nothing for want of spread.
+The 5 x 5 algebra is done on the rows of groups, in tasks. A variance below the measuring precision (``FLOOR``,
+squared) counts as that, so a group of equal texts rejects nothing for want of spread; a larger one is not touched. Usual
+variances weigh in as ``USUAL_TEXTS`` texts would, since the spread of a dozen texts in five dimensions is no evidence.
 
 Defined cases: null text counts as empty, so it fails the limits; null lang and source are groups of their own; without
 any row there is no group; equal rows get equal verdicts. Output columns replace input columns of the same name.
@@ -31,7 +32,11 @@ from policylake.llm._links import stored
 CORE = 0.75
 CONSISTENCY = 1.41  # 0.75 / P(chi2 with 7 degrees <= the 0.75 quantile of chi2 with 5): the core's spread, as if whole
 CUTOFF = 27.9  # chi2 with 5 degrees, probability 0.99996
-FLOOR = (1.0, 0.15, 0.05, 0.7, 0.12)
+#: About what one word, one character, one symbol, one repeated line and one repeated triple change in a text of 50 words.
+FLOOR = (0.02, 0.005, 0.06, 0.7, 0.25)
+#: Usual deviations, which count as this many texts: a small group alone cannot tell its spread, a large one outweighs them.
+USUAL = (1.0, 0.15, 0.05, 0.7, 0.12)
+USUAL_TEXTS = 10
 STEPS = 3
 ACCURACY = 10000
 NAMES = ("x0", "x1", "x2", "x3", "x4")
@@ -139,7 +144,8 @@ def _estimates(moments: DataFrame, by: list[str]) -> DataFrame:
                 cov = np.zeros((5, 5))
                 for i, j in _triangle():
                     cov[i, j] = cov[j, i] = row[f"q{i}{j}"] / row["n"] - mean[i] * mean[j]
-                cov = CONSISTENCY * cov + np.diag(np.square(FLOOR))
+                cov = (CONSISTENCY * row["n"] * cov + USUAL_TEXTS * np.diag(np.square(USUAL))) / (row["n"] + USUAL_TEXTS)
+                cov += np.diag(np.maximum(np.square(FLOOR) - np.diag(cov), 0))
                 values, vectors = np.linalg.eigh(cov)
                 values = np.maximum(values, min(FLOOR) ** 2 / 2)
                 back = (vectors / values) @ vectors.T
@@ -177,7 +183,7 @@ def _median_start(rows: DataFrame, by: list[str]) -> DataFrame:
     medians = rows.groupBy(*by).agg(*(F.percentile_approx(x, 0.5, ACCURACY).alias(f"m{i}") for i, x in enumerate(NAMES)))
     off = _with(rows, medians, by).select(*by, *NAMES, *(F.abs(F.col(x) - F.col(f"m{i}")).alias(f"a{i}") for i, x in enumerate(NAMES)))
     spread = off.groupBy(*by).agg(*(F.percentile_approx(f"a{i}", 0.5, ACCURACY).alias(f"b{i}") for i in range(5)))
-    scaled = sum((F.col(f"a{i}") / (1.4826 * F.col(f"b{i}") + FLOOR[i])) ** 2 for i in range(5))
+    scaled = sum((F.col(f"a{i}") / F.greatest(1.4826 * F.col(f"b{i}"), F.lit(FLOOR[i]))) ** 2 for i in range(5))
     far = _with(off, spread, by).withColumn("d", scaled).select(*by, *NAMES, "d")
     limits = far.groupBy(*by).agg(F.percentile_approx("d", CORE, ACCURACY).alias("limit"))
     return stored(_estimates(_moments(_with(far, limits, by).where("d <= limit"), by), by), "estimate")

@@ -80,6 +80,18 @@ def test_outliers_go_and_ordinary_texts_stay(spark):
     assert all(kept[i] for i, *_ in ordinary) and not any(kept[i] for i, *_ in odd)
 
 
+def test_moderate_outliers_of_a_tight_group_go(spark):
+    """Twice the mean word length, and three times the words, are far from texts that differ by a few words."""
+    tight = [(i, prose(i, 190 + i % 20)) for i in range(300)]
+    odd = [(1000 + i, " ".join(w * 2 for w in prose(i + 500, 200).split())) for i in range(5)] + \
+        [(2000 + i, prose(i + 700, 600)) for i in range(5)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in tight + odd], "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality_rules.judged(docs).collect()}
+    assert all(kept[i] for i, _ in tight) and not any(kept[i] for i, _ in odd)
+    equal = spark.createDataFrame([(i, tight[0][1], "en", "s") for i in range(20)], docs.schema)
+    assert all(r.kept for r in quality_rules.judged(equal).collect())
+
+
 def test_estimate_equals_a_plain_one(spark):
     """A C-step's core and moments, against numpy."""
     random = np.random.default_rng(5)
