@@ -116,6 +116,12 @@ def test_repeated_rows_of_several_lines_are_judged_as_one(spark):
         [(1, b, 0, None)] + [(9, f"{a}\n{c}", 1, 2)] * 3
 
 
+def test_edit_budget_is_whole(spark):
+    """Two of ten characters are a similarity of exactly 0.8, three of fourteen less."""
+    docs = spark.createDataFrame([(1, "abcdefg xy"), (2, "abcdefg zw"), (3, "qrstuvwxyz abc"), (4, "qrstuvwxyz def")], "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.dedup_lines(docs).collect()} == {1, 3, 4}
+
+
 def test_near_lines_by_brute_force(spark):
     """Lines are grouped exactly if their sketches lie within 3 bits and their texts are similar enough."""
     lines = [t for k in range(6) for t in near_copies(12 + k, 60, 1)] + [prose(k, 30) for k in range(40)]
