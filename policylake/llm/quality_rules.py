@@ -32,8 +32,8 @@ from policylake.llm._links import stored
 CORE = 0.75
 CONSISTENCY = 1.41  # 0.75 / P(chi2 with 7 degrees <= the 0.75 quantile of chi2 with 5): the core's spread, as if whole
 CUTOFF = 27.9  # chi2 with 5 degrees, probability 0.99996
-#: About what one word, one character, one symbol, one repeated line and one repeated triple change in a text of 50 words.
-FLOOR = (0.02, 0.005, 0.06, 0.7, 0.25)
+#: About what one word, one character, one symbol and one repeated line change in a text of 50 words, and a few repeated words.
+FLOOR = (0.02, 0.005, 0.05, 0.7, 0.12)
 #: Usual deviations, which count as this many texts: a small group alone cannot tell its spread, a large one outweighs them.
 USUAL = (1.0, 0.15, 0.05, 0.7, 0.12)
 USUAL_TEXTS = 10
