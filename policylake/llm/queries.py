@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policylake.llm import decontaminate, html_layout, jaccard, line_dedup, mixing, pii, quality_model, quality_rules, substring_dedup, urls
+from policylake.functions.text import let
+from policylake.llm import (
+    conversations, decontaminate, html_layout, jaccard, line_dedup, mixing, periodic, pii, quality_model, quality_rules,
+    substring_dedup, topk, urls)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +127,86 @@ ORACLES["op1_url_filters"] = _url_sql()
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.span_digest(read(spark, sf_dir, "documents"))
+
+
+# --- structure repair: damaged conversations -----------------------------------------
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows with the faults that the hash of conversation and turn deals out: a fifth and a twentieth of them."""
+    def shown(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    dealt = rows.select("conv_id", "turn", shown("role").alias("role"), shown("text").alias("text"),
+                        (F.crc32(F.concat(shown("conv_id"), F.lit(":"), shown("turn"))) % 20).alias("fault")).where("fault <> 0")
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    times = F.explode(F.array_repeat(F.lit(0), F.when(F.col("fault") == 3, 2).otherwise(1)))
+    return dealt.select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("copy")).drop("copy")
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    rows = read(spark, sf_dir, "conversations")
+    found = conversations.repair(damaged(rows))
+    known = found.digests().select(F.col("key").alias("k"), "digest")
+    report = found.report.join(known, F.col("key").eqNullSafe(F.col("k"))).drop("k")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return rows.select("conv_id").distinct().join(report, F.col("conv_id").eqNullSafe(F.col("key")), "left").select(
+        "conv_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+# --- periodic runs: texts with planted loops -------------------------------------------
+
+def looped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): the words of every text; in a tenth of the texts, by the hash of the id, those from one place on loop."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    split = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+
+    def loop(w: Column) -> Column:
+        n, g = F.size(w), F.floor(F.col("h") / 10)
+
+        def placed(at: Column) -> Column:
+            a, p = at["a"], at["p"]
+            return F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + (i - a) % p).cast("int"))))
+
+        start = (g % F.greatest(n, F.lit(1))).alias("a")
+        return F.when(n > 0, let(let(start, lambda a: F.struct(
+            a.alias("a"), (1 + F.floor((n - a) / (3 + g % 8))).alias("p"))), placed)).otherwise(w)
+
+    return split.select("doc_id", F.when(F.col("h") % 10 == 0, F.array_join(let(words, loop), " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, a tenth of which loop."""
+    found = periodic.with_periodic_runs(looped(read(spark, sf_dir, "documents")))
+    longest = F.expr("reduce(runs, cast(null as struct<start: long, length: long, period: long>), (best, r) -> "
+                     "case when best is null or r.length * best.period > best.length * r.period then r else best end)")
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("top"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(F.lit("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", F.col("top.start").alias("start"), F.col("top.length").alias("length"), F.col("top.period").alias("period"),
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@query
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest by inner product of every fiftieth vector."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = read(spark, sf_dir, "embeddings").where(F.col("embedding").isNotNull() & finite).select(
+        "vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("embedding"))
+    return topk.top_k(rows, F.col("vec_id") % 50 == 0, 5).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+ORACLES["op13_exact_topk"] = """
+with whole as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+    where vec_id is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+    from whole q join whole c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from scored)
+select query_id, cast(place as integer) as rank, vec_id, score from ranked where place <= 5"""
