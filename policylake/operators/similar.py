@@ -1,8 +1,9 @@
 """Similar and duplicate texts without comparing everything with everything.
 
-Candidates come from an exact prefix filter: with words ordered from rare to
+Word sets: candidates come from an exact prefix filter: with words ordered from rare to
 common, two sets whose overlap reaches ``t`` must share one of their first
-``n - ceil(t n) + 1`` words. Equal texts are folded first, so a group of copies
+``n - ceil(t n) + 1`` words. Character ratios: candidates share a block key that no pair can do without
+(``ratio_blocks``). Equal texts are folded first, so a group of copies
 is one candidate. Greedy de-duplication then compares against a bounded front of
 each block per round, never all pairs of a block.
 """
@@ -19,13 +20,22 @@ from pyspark.sql import types as T
 
 from policylake.functions.extract import word_set
 from policylake.functions.text import content_hash, let, similarity_text
+from policylake.operators.ratio_blocks import GramCounts, histogram, may_match, ratio_blocks, ratio_kind
 from policylake.session import checkpointed
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(new: pd.Series, existing: pd.Series) -> pd.Series:
-    """Matching-blocks ratio of two texts; not symmetric, so the newer text comes first."""
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(new, existing)])
+def ratio_from(new: Column, existing: Column, threshold: float) -> Column:
+    """Matching-blocks ratio of two texts where it reaches ``threshold``, else null; not symmetric, so the newer text comes first.
+
+    Texts with too few q-grams in common aren't aligned.
+    """
+    @F.pandas_udf(T.DoubleType())
+    def ratios(news: pd.Series, olds: pd.Series) -> pd.Series:
+        counts = GramCounts(threshold)
+        found = (SequenceMatcher(None, a, b).ratio() if counts.may_reach(a, b) else None for a, b in zip(news, olds))
+        return pd.Series([r if r is not None and r >= threshold else None for r in found], dtype="float64")
+
+    return ratios(new, existing)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -127,34 +137,63 @@ def jaccard_pairs(df: DataFrame, id_col: str, text: Column, threshold: float = 0
         *scope, "a", "b", "members_a", "members_b", "similarity")
 
 
-# --- greedy de-duplication ------------------------------------------------------------
+# --- ratio of matching characters ------------------------------------------------------
 
-def _greedy_rounds(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], front: int,
-                   overlap: float) -> DataFrame:
+def _live(rows: DataFrame) -> DataFrame:
+    """(word, sid, offers) at which an earlier text meets another.
+
+    A key of one text alone, or without an offer, compares nothing. Of its offers a text needs all but the ``need`` - 1
+    most frequent ones to meet each that may reach the threshold; one that has fewer left meets none as the earlier text.
+    """
+    dealt = rows.repartition("word")  # one shuffle for the counts and the join
+    shared = dealt.groupBy("word").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.max("offers").alias("offered"),
+                                       F.count(F.lit(1)).alias("n")).where("low <> high and offered")
+    met = checkpointed(dealt.join(shared.select("word", "n").hint("shuffle_hash"), "word"))
+    often = Window.partitionBy("sid").orderBy(F.desc("n"), "word")
+    firm = checkpointed(met.where("offers").withColumn("rank", F.row_number().over(often)).where("rank >= need").select("word", "sid"))
+    words = firm.groupBy("word").agg(F.min("sid").alias("low"), F.max("sid").alias("high"))
+    asks = met.join(words, "word").where("sid <> low or sid <> high").select("word", "sid", F.lit(False).alias("offers"))
+    return asks.unionByName(firm.withColumn("offers", F.lit(True))).groupBy("word", "sid").agg(F.max("offers").alias("offers"))
+
+
+def _ratios(candidates: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(sid, earlier, similarity) of the pairs that reach the threshold. texts: sid, length, counts, plain."""
+    def side(name: str, *columns: str) -> DataFrame:
+        return texts.select(F.col("sid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+
+    # Pairs are settled on lengths and character counts; texts are fetched for the few that remain.
+    measured = candidates.join(side("sid", "length", "counts"), "sid").join(side("earlier", "length", "counts"), "earlier")
+    fits = F.least("sid_length", "earlier_length") * 2 >= (F.col("sid_length") + F.col("earlier_length")) * F.lit(threshold) - F.lit(1e-9)
+    near = measured.where(fits).where(may_match(
+        F.col("sid_counts"), F.col("earlier_counts"), F.col("sid_length"), F.col("earlier_length"), threshold)).select("sid", "earlier")
+    return near.join(side("sid", "plain"), "sid").join(side("earlier", "plain"), "earlier").select(
+        "sid", "earlier", ratio_from(F.col("sid_plain"), F.col("earlier_plain"), threshold).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def _greedy_rounds(rows: DataFrame, items: DataFrame, verify: Callable[[DataFrame], DataFrame], front: int) -> DataFrame:
     """(sid, dup_of, similarity) of the items that resemble an earlier kept one.
 
-    A round compares every open item only with the first ``front`` undecided
-    items of its blocks. An item within the front of all its blocks has met
-    everything before it, so it is kept once none of that is both similar and
-    undecided; what resembles a kept item is dropped. A dropped item stays open
-    as long as something undecided before its match could turn out to be an
-    earlier match. The first undecided item is always decided, and so is most
-    of a crowded block. An item that is not ``eligible`` is compared but never
-    kept.
+    rows(word, sid, offers): an item is compared with what others offer at its keys. A round compares every
+    open item only with the first ``front`` undecided offers of each of its keys. An item that no key has more of before
+    it has met everything before it, so it is kept once none of that is both similar and undecided; what
+    resembles a kept item is dropped. A dropped item stays open as long as something undecided before its match could turn out
+    to be an earlier match. The first undecided item is always decided, and so is most of a crowded key. An item
+    that is not ``eligible`` (in ``items``) is compared but never kept.
     """
-    open_items = checkpointed(blocks.withColumn("bound", F.when(~F.col("eligible"), F.col("sid"))).drop("eligible"))
+    status = checkpointed(items.select("sid", F.when(~F.col("eligible"), F.col("sid")).alias("bound")).join(
+        rows.select("sid").distinct(), "sid", "left_semi"))
     hits = None
-    while not open_items.isEmpty():
-        undecided = open_items.where("bound is null")
+    while not status.isEmpty():
+        undecided = status.where("bound is null").select("sid")
+        asks = rows.join(status, "sid").select("word", "sid", "bound")
+        offers = rows.where("offers").join(undecided, "sid", "left_semi")
         by_order = Window.partitionBy("word").orderBy("sid")
-        leaders = undecided.withColumn("_rank", F.row_number().over(by_order)).where(F.col("_rank") <= front)
-        known = (
-            undecided.groupBy("sid").agg(F.count("*").alias("n"))
-            .join(leaders.groupBy("sid").agg(F.count("*").alias("m")), "sid").where("n = m").select("sid"))
-        items = _side(open_items, ["bound"], "item")
-        candidates = items.join(_side(leaders, [], "earlier"), "word").where(
-            (F.col("earlier") < F.coalesce("bound", "item")) & _may_overlap("item", "earlier", overlap)
-        ).select(F.col("item").alias("sid"), "earlier").distinct()
+        leaders = offers.withColumn("rank", F.row_number().over(by_order)).where(F.col("rank") <= front).select(
+            "word", F.col("sid").alias("earlier"), "rank")
+        last = leaders.where(F.col("rank") == front).select("word", F.col("earlier").alias("last"))
+        late = asks.where("bound is null").join(last, "word").where(F.col("sid") > F.col("last")).select("sid").distinct()
+        known = undecided.join(late, "sid", "left_anti")
+        candidates = asks.join(leaders, "word").where(F.col("earlier") < F.coalesce("bound", "sid")).select("sid", "earlier").distinct()
         similar = checkpointed(verify(candidates))
         kept = checkpointed(known.join(similar.select("sid").distinct(), "sid", "left_anti"))
         found = checkpointed(
@@ -162,60 +201,44 @@ def _greedy_rounds(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame],
             .groupBy("sid").agg(F.min(F.struct("earlier", "similarity")).alias("hit"))
             .select("sid", F.col("hit.earlier").alias("dup_of"), F.col("hit.similarity").alias("similarity")))
         hits = found if hits is None else hits.unionByName(found)
-        remaining = open_items.join(kept, "sid", "left_anti").join(found, "sid", "left").select(
-            "word", "sid", "size", *SKETCH, F.least("bound", "dup_of").alias("bound"))
-        # A dropped item is done when nothing undecided in its blocks precedes its match.
-        first_open = remaining.where("bound is null").groupBy("word").agg(F.min("sid").alias("first_open"))
-        waiting = (remaining.where("bound is not null").join(first_open, "word")
-                   .where("first_open < bound").select("sid").distinct())
-        open_items = checkpointed(
-            remaining.where("bound is null").unionByName(
-                remaining.where("bound is not null").join(waiting, "sid", "left_semi")))
+        remaining = status.join(kept, "sid", "left_anti").join(found, "sid", "left").select(
+            "sid", F.least("bound", "dup_of").alias("bound"))
+        # A dropped item is done when nothing undecided at its keys precedes its match.
+        open_ = remaining.where("bound is null")
+        first_open = rows.where("offers").join(open_, "sid", "left_semi").groupBy("word").agg(F.min("sid").alias("first_open"))
+        bounded = rows.join(remaining.where("bound is not null"), "sid")
+        waiting = bounded.join(first_open, "word").where("first_open < bound").select("sid").distinct()
+        status = checkpointed(open_.unionByName(remaining.where("bound is not null").join(waiting, "sid", "left_semi")))
     if hits is None:
-        return blocks.select("sid", F.col("sid").alias("dup_of"), F.lit(0.0).alias("similarity")).limit(0)
+        return items.select("sid", F.col("sid").alias("dup_of"), F.lit(0.0).alias("similarity")).limit(0)
     return hits.groupBy("sid").agg(F.min(F.struct("dup_of", "similarity")).alias("hit")).select(
         "sid", "hit.dup_of", "hit.similarity")
 
 
-def near_duplicates(docs: DataFrame, id_col: str, text: str, threshold: float = 0.8,
-                    word_overlap: float = 0.5, front: int = 128, eligible: Column | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str, text: str, threshold: float = 0.8, front: int = 128,
+                    eligible: Column | None = None) -> DataFrame:
     """(id, dup_of, similarity): documents resembling an earlier kept one, in id order.
 
-    Two documents are compared when their word sets overlap by ``word_overlap``
-    and count as duplicates when the ratio of the normalised texts reaches
-    ``threshold``. Others have a null ``dup_of``; of these the ``eligible`` ones
+    Two documents are duplicates when the ratio of their normalised texts reaches ``threshold``; the block keys
+    (``ratio_blocks``) lose no such pair. Others have a null ``dup_of``; of these the ``eligible`` ones
     (all, by default) are kept and are what later documents are compared with.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), similarity_text(F.col(text)).alias("plain"),
                         (F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))).alias("eligible"))
+    hashed = checkpointed(plain.withColumn("hash", F.md5("plain")))
     # Equal eligible texts share one outcome. An ineligible copy may come before or after its original is kept.
     alone = F.when(~F.col("eligible"), F.col("id")).alias("alone")
-    folded = checkpointed(plain.groupBy("plain", "eligible", alone).agg(F.min("id").alias("sid")).select(
-        "sid", "eligible", "plain", F.length("plain").alias("length"), word_set(F.col("plain")).alias("words"),
-    ).withColumn("numbers", F.transform("words", lambda w: F.xxhash64(w))))
-    blocks = _prefix_blocks(folded.where(F.size("words") > 0), ["eligible"], word_overlap)
-
-    def verify(candidates: DataFrame) -> DataFrame:
-        def side(name: str, *columns: str) -> DataFrame:
-            return folded.select(F.col("sid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
-        # Pairs are settled on word numbers and lengths; texts are fetched for the few that remain.
-        measured = candidates.join(side("sid", "numbers", "length"), "sid").join(
-            side("earlier", "numbers", "length"), "earlier")
-        shared = F.size(F.array_intersect("sid_numbers", "earlier_numbers"))
-        either = F.size("sid_numbers") + F.size("earlier_numbers") - shared
-        # The shorter text can match at most in full.
-        fits = F.least("sid_length", "earlier_length") * 2 >= (
-            F.col("sid_length") + F.col("earlier_length")) * F.lit(threshold) - F.lit(1e-9)
-        near = measured.where(fits & (shared >= either * F.lit(word_overlap))).select("sid", "earlier")
-        return near.join(side("sid", "plain"), "sid").join(side("earlier", "plain"), "earlier").select(
-            "sid", "earlier", sequence_ratio("sid_plain", "earlier_plain").alias("similarity")).where(
-            F.col("similarity") >= threshold)
-
-    outcome = _greedy_rounds(blocks, verify, front, word_overlap)
-    decided = folded.select("sid", "eligible", F.md5("plain").alias("_text")).join(outcome, "sid", "left")
+    firsts = hashed.groupBy("hash", "eligible", alone).agg(F.min("id").alias("sid")).select("sid")
+    first = hashed.join(firsts, F.col("id") == F.col("sid"), "left_semi").dropDuplicates(["id"]).fillna("", ["plain"])
+    texts = checkpointed(first.select(
+        F.col("id").alias("sid"), "eligible", "hash", "plain", F.length("plain").alias("length"), F.lit(0).cast("long").alias("scope"),
+        ratio_kind(F.col("plain"), threshold).alias("kind"), histogram(F.col("plain")).alias("counts")))
+    rows = checkpointed(_live(ratio_blocks(texts, threshold)))
+    outcome = _greedy_rounds(rows, texts.select("sid", "eligible"), lambda pairs: _ratios(pairs, texts, threshold), front)
+    decided = texts.select("sid", "eligible", "hash").join(outcome, "sid", "left")
     originals = decided.where("eligible").drop("eligible")
     # A copy of a kept text repeats that text; a copy of a dropped one shares its match.
-    copies = plain.where("eligible").select("id", F.md5("plain").alias("_text")).join(originals, "_text")
+    copies = hashed.where("eligible").select("id", "hash").join(originals, "hash")
     copy = F.col("dup_of").isNull() & (F.col("id") != F.col("sid"))
     return copies.select(
         "id",
@@ -224,32 +247,30 @@ def near_duplicates(docs: DataFrame, id_col: str, text: str, threshold: float =
     ).unionByName(decided.where("not eligible").select(F.col("sid").alias("id"), "dup_of", "similarity"))
 
 
-def similar_policies(policies: DataFrame, content: str, threshold: float = 0.85, word_overlap: float = 0.5,
-                     payer: str = "payer_name") -> DataFrame:
+def similar_policies(policies: DataFrame, content: str, threshold: float = 0.85, payer: str = "payer_name") -> DataFrame:
     """Pairs of contents within a payer whose ratio reaches ``threshold``.
 
     Policies of one content are folded into a row with their number; a content
     that several policies share is paired with itself, once. Each other pair
     appears in both directions, because the ratio is not symmetric.
     """
-    folded = checkpointed(policies.groupBy(payer, F.col(content).alias("content")).agg(
-        F.count_distinct("policy_id").alias("policies")))
-    sets = folded.select(payer, F.md5("content").alias("sid"), word_set(F.col("content")).alias("words"))
-    blocks = _prefix_blocks(sets.where(F.size("words") > 0), [payer], word_overlap)
-    candidates = _side(blocks, [payer], "a").join(_side(blocks, [payer], "b"), [payer, "word"]).where(
-        (F.col("a") != F.col("b")) & _may_overlap("a", "b", word_overlap)).select(payer, "a", "b").distinct()
-
-    def side(name: str) -> DataFrame:
-        return folded.select(payer, F.md5("content").alias(name), F.col("content").alias(f"content_{name}"),
-                             F.col("policies").alias(f"policies_{name}"))
-    equal = folded.where("policies > 1").select(
-        payer, F.col("content").alias("content_a"), F.col("content").alias("content_b"),
+    keyed = policies.select("policy_id", F.col(payer), F.col(content).alias("plain"), F.xxhash64(payer).alias("scope"),
+                            F.md5(F.concat_ws("\x1f", F.col(payer), F.col(content))).alias("sid"))
+    counted = keyed.where("plain is not null").groupBy("sid").agg(
+        F.count_distinct("policy_id").alias("policies"), F.first(payer).alias(payer), F.first("scope").alias("scope"), F.first("plain").alias("plain"))
+    texts = checkpointed(counted.withColumns({
+        "length": F.length("plain"), "kind": ratio_kind(F.col("plain"), threshold), "counts": histogram(F.col("plain"))}))
+    rows = checkpointed(_live(ratio_blocks(texts, threshold)))
+    candidates = rows.select("word", "sid").join(rows.where("offers").select("word", F.col("sid").alias("earlier")), "word").where(
+        F.col("sid") != F.col("earlier")).select("sid", "earlier").distinct()
+
+    def side(name: str, key: str) -> DataFrame:
+        return texts.select(F.col("sid").alias(key), F.col("plain").alias(f"content_{name}"), F.col("policies").alias(f"policies_{name}"))
+    equal = texts.where("policies > 1").select(
+        payer, F.col("plain").alias("content_a"), F.col("plain").alias("content_b"),
         F.col("policies").alias("policies_a"), F.col("policies").alias("policies_b"), F.lit(1.0).alias("similarity"))
-    alike = (candidates.join(side("a"), [payer, "a"]).join(side("b"), [payer, "b"])
-            .where(jaccard(word_set(F.col("content_a")), word_set(F.col("content_b"))) >= word_overlap)
-            .withColumn("similarity", sequence_ratio("content_a", "content_b"))
-            .where(F.col("similarity") >= threshold)
-            .select(payer, "content_a", "content_b", "policies_a", "policies_b", "similarity"))
+    alike = _ratios(candidates, texts, threshold).join(side("a", "sid"), "sid").join(side("b", "earlier"), "earlier").join(
+        texts.select("sid", payer), "sid").select(payer, "content_a", "content_b", "policies_a", "policies_b", "similarity")
     return alike.unionByName(equal)
 
 

@@ -120,8 +120,7 @@ def hybrid_extract(docs: DataFrame, load_model: Callable[[], H.Model] | None = N
     return sure.unionByName(merged)
 
 
-def quality_funnel(docs: DataFrame, max_docs: int | None = None, threshold: float = 0.8,
-                   word_overlap: float = 0.5) -> DataFrame:
+def quality_funnel(docs: DataFrame, max_docs: int | None = None, threshold: float = 0.8) -> DataFrame:
     """(doc_id, url, stage, reason, dup_of) for every input.
 
     ``docs(doc_id, url, pages)``. Addresses are scored first; the accepted ones,
@@ -140,7 +139,7 @@ def quality_funnel(docs: DataFrame, max_docs: int | None = None, threshold: floa
     judged = cleaned.select("doc_id", "url", F.col("c.full_text").alias("text"), S.assess_content(
         F.col("c.full_text"), F.col("c.content_length"), F.col("c.word_count"),
         F.size(E.content_sections(F.col("c.full_text")))).alias("a"))
-    repeats = M.near_duplicates(judged, "doc_id", "text", threshold, word_overlap,
+    repeats = M.near_duplicates(judged, "doc_id", "text", threshold,
                                 eligible=F.col("a.recommendation") == "accept")
     decided = judged.select("doc_id", "url", "a.recommendation", "a.reason").join(
         repeats.select(F.col("id").alias("doc_id"), "dup_of"), "doc_id", "left")

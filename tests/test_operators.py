@@ -19,6 +19,7 @@ from policylake.operators import lifecycle as L
 from policylake.operators import linkgraph as LG
 from policylake.operators import merge as G
 from policylake.operators import pages as PG
+from policylake.operators import ratio_blocks as RB
 from policylake.operators import retrieval as RT
 from policylake.operators import similar as M
 from policylake.plans import flows as W
@@ -109,18 +110,14 @@ def texts_with_copies(seed, n):
     return out
 
 
-def greedy_by_loop(items, threshold, overlap):
+def greedy_by_loop(items, threshold):
     """items: (id, text, eligible) with normalised texts."""
     kept, out = [], {}
     for i, text, eligible in items:
         hit = None
         for j, other in kept:
-            a, b = set(text.split()), set(other.split())
-            if text == other:
-                hit = (j, 1.0)
-            elif a and b and len(a & b) / len(a | b) >= overlap:
-                ratio = SequenceMatcher(None, text, other).ratio()
-                hit = (j, ratio) if ratio >= threshold else None
+            ratio = 1.0 if text == other else SequenceMatcher(None, text, other).ratio()
+            hit = (j, ratio) if ratio >= threshold else None
             if hit:
                 break
         out[i] = hit or (None, None)
@@ -137,11 +134,90 @@ def test_near_duplicates_equal_a_loop(spark):
         for eligible in (F.col("ok") if by else None,):
             got = {r.id: (r.dup_of, r.similarity) for r in M.near_duplicates(df, "id", "t", front=front, eligible=eligible).collect()}
             items = [(i, plain[i], eligible is None or i % 3 != 0) for i in sorted(plain)]
-            assert got == greedy_by_loop(items, .8, .5)
+            assert got == greedy_by_loop(items, .8)
 
 
-def test_near_duplicates_of_prose_need_no_word_gate(spark, sf):
-    """On the prose table the loop without the word gate finds the same."""
+def altered(text, rng, share):
+    """The text with a letter changed, dropped or added in that share of its words."""
+    out = []
+    for word in text.split():
+        if rng.random() < share:
+            at, letter = rng.randrange(len(word)), rng.choice("abcdefghijklmnopqrstuvwxyz")
+            word = rng.choice([word[:at] + letter + word[at + 1:], word[:at] + word[at + 1:], word[:at] + letter + word[at:]])
+        out.append(word)
+    return " ".join(out)
+
+
+def texts_altered_by_letters(seed, n):
+    """Texts of 1 to 900 characters; most are another with a letter altered in many of its words."""
+    rng = random.Random(seed)
+    letters = "eeeeetttaaaoooiiinnnssshhrrdllcumwfgypbvkjxqz0123456789"
+    out = ["alpha bravo candle dollar engine farmer", "alphas bravos candles dollars engines farmers", "ab", "axb", "a", "b"]
+    while len(out) < n:
+        if rng.random() < .65:
+            out.append(altered(rng.choice(out), rng, rng.choice([.2, .5, .9])))
+        else:
+            words = rng.choice([1, 2, 4, 12, 45, 60, 150])
+            out.append(" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(words)))
+    return out
+
+
+def test_texts_that_differ_by_a_letter_in_most_words(spark):
+    """No shared words are needed: the loop over all pairs finds the same, for short and for long texts."""
+    for seed, front in ((5, 128), (6, 3)):
+        texts = [t for t in texts_altered_by_letters(seed, 110) if t]
+        df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+        plain = {r.id: r.p for r in df.select("id", similarity_text(F.col("t")).alias("p")).collect()}
+        got = {r.id: (r.dup_of, r.similarity) for r in M.near_duplicates(df, "id", "t", front=front).collect()}
+        want = greedy_by_loop([(i, plain[i], True) for i in sorted(plain)], .8)
+        assert got == want
+        apart = [(i, j) for i, (j, _) in want.items() if j is not None and not set(plain[i].split()) & set(plain[j].split())]
+        assert (1, 0) in apart and len(apart) > 3
+
+
+def test_bounds_behind_the_ratio_blocks():
+    """What is promised of pairs that reach the threshold holds for all of them."""
+    texts = [t for t in texts_altered_by_letters(9, 260) if t]
+    texts += [t * 3 + u for t, u in zip(texts[::3], texts[1::3])]
+    counts, long_pairs = RB.GramCounts(.8), 0
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            m = SequenceMatcher(None, a, b)
+            if m.real_quick_ratio() < .8 or m.quick_ratio() < .8 or m.ratio() < .8:
+                continue
+            assert counts.may_reach(a, b)
+            kind = RB._kind(b, .8)
+            blocks = [x for x in m.get_matching_blocks() if x.size]
+            if len(b) >= RB.LONG:
+                assert len(blocks) <= RB._blocks(b, .8)[1]
+            if kind > RB.BIGRAMS:
+                long_pairs += 1
+                q, w = next((q, w) for s, q, w in RB.STRETCHES if s == kind)
+                assert max(x.size for x in blocks) >= kind
+                (mine, most), (theirs, _) = RB.fingerprints(b, q, w), RB.fingerprints(a, q, w)
+                matching, most_blocks = RB._blocks(b, .8)
+                assert len(np.intersect1d(mine, theirs)) >= -(-(matching - (kind - 1) * most_blocks) // (w * most))
+            elif kind == RB.BIGRAMS:
+                assert len(set(RB._numbered(a, 2)) & set(RB._numbered(b, 2))) >= max(RB.common_bigrams(len(a), .8), RB.common_bigrams(len(b), .8))
+    assert long_pairs > 10
+
+
+def test_similar_policies_equal_all_pairs(spark):
+    texts = [t for t in texts_altered_by_letters(12, 90) if t]
+    df = spark.createDataFrame([(f"p{i}", "PQ"[i % 2], t) for i, t in enumerate(texts)], "policy_id string, payer_name string, content string")
+    got = {(r.payer_name, r.content_a, r.content_b): r.similarity for r in M.similar_policies(df, "content").collect() if r.content_a != r.content_b}
+    want = {}
+    for payer in (0, 1):
+        own = sorted(set(texts[payer::2]))
+        for a in own:
+            for b in own:
+                ratio = SequenceMatcher(None, a, b).ratio() if a != b else 0
+                if ratio >= .85:
+                    want["PQ"[payer], a, b] = ratio
+    assert got == want and len(want) > 10
+
+
+def test_near_duplicates_of_prose(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r.id: r.dup_of for r in M.near_duplicates(docs, "doc_id", "text").collect()}
     kept, want = [], {}
