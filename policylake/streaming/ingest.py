@@ -1,7 +1,7 @@
 """Incremental ingest and upkeep of the current policies.
 
-Both jobs keep their state in tables under the shared folder and write each
-micro-batch under its number, so a repeated batch replaces its own output.
+Both jobs keep their state in a ``Store``, which knows the last batch of every stream: a repeated batch changes nothing, and a new
+stream on an old store goes on from what it holds.
 """
 
 from __future__ import annotations
@@ -16,8 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from policylake.operators.lifecycle import remove_replaced, replay_arrivals
 from policylake.operators.merge import skip_known_content
 from policylake.session import checkpointed
-from policylake.sources.files import exists
-from policylake.sources.sinks import read_snapshot, was_written, write_snapshot
+from policylake.sources.store import Store
 
 
 def file_stream(spark: SparkSession, folder: str, glob: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -28,21 +27,28 @@ def file_stream(spark: SparkSession, folder: str, glob: str, schema, files_per_b
     return reader.parquet(folder)
 
 
+def _stream_name(checkpoint: str) -> str:
+    return hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+
+
+def _values(df: DataFrame, column: str) -> list:
+    return [r[0] for r in df.select(column).distinct().collect()]
+
+
 def ingest_stream(stream: DataFrame, out: str, checkpoint: str, order: list[str], content: str = "content",
                   payer: str = "payer_name") -> StreamingQuery:
     """Append documents whose (payer, content hash) was never stored before.
 
-    Exact over all time: a batch is checked against the hashes of the other
-    batches, of which only two columns are read.
+    Exact over all time: a batch is checked against the hashes its payers have in the store, of which only two columns are read.
     """
     def store(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if exists(spark, out):
-            known = spark.read.parquet(out).where(F.col("batch") < number)
-        else:
-            known = batch.select(payer, F.md5(content).alias("content_hash")).limit(0)
-        fresh = skip_known_content(batch, known, order, content, payer)
-        fresh.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        arrived = checkpointed(batch)
+
+        def fresh(old: DataFrame | None) -> DataFrame:
+            known = arrived.select(payer, F.md5(content).alias("content_hash")).limit(0) if old is None else old
+            return skip_known_content(arrived, known, order, content, payer)
+
+        Store(batch.sparkSession, out, payer).commit(_stream_name(checkpoint), _values(arrived, payer), fresh, number, append=True)
 
     return (stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -57,28 +63,27 @@ def dedupe_stream(stream: DataFrame, time: str, lateness: str, content: str = "c
 
 def maintain_current(stream: DataFrame, active: str, checkpoint: str, as_of: str,
                      prepare: Callable[[DataFrame], DataFrame] = lambda df: df, arrival: str = "crawl_timestamp",
-                     tie: str = "source_pdf") -> StreamingQuery:
-    """Keep the active policies as batches arrive; each batch writes the next snapshot of the store.
+                     tie: str = "source_pdf", keep: int = 32) -> StreamingQuery:
+    """Keep the active policies as batches arrive; a batch rewrites the payers it concerns.
 
     What the batch writes again is overwritten, what it replaces is removed, and
     inside the batch arrivals replace one another in order. A batch that was
-    committed before is not applied again, whatever was written since.
+    committed before is not applied again. The newest ``keep`` versions stay readable.
     """
-    stream_name = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
-
     def update(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        writer = f"batch-{stream_name}-{number}"
-        if was_written(spark, active, writer):
-            return
+        store = Store(batch.sparkSession, active)
         # The batch is read several times below; what was extracted from it is kept once.
         new = checkpointed(prepare(batch))
         survivors = replay_arrivals(new, as_of, arrival, tie)
-        old = read_snapshot(spark, active)
-        if old is not None:
-            untouched = old.join(new.select("policy_id").distinct(), "policy_id", "left_anti").select(*old.columns)
-            survivors = remove_replaced(untouched, new, as_of).unionByName(survivors)
-        write_snapshot(survivors, active, writer)
+
+        def changed(old: DataFrame | None) -> DataFrame:
+            if old is None:
+                return survivors
+            untouched = old.join(new.select("payer_name", "policy_id").distinct(), ["payer_name", "policy_id"], "left_anti").select(*old.columns)
+            return remove_replaced(untouched, new, as_of).unionByName(survivors)
+
+        store.commit(_stream_name(checkpoint), _values(new, "payer_name"), changed, number)
+        store.expire(keep)
 
     return (stream.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -27,6 +27,7 @@ from policylake.session import new_path
 from policylake.sources import files as FL
 from policylake.sources import sinks as SK
 from policylake.sources.policy_docs import policy_docs
+from policylake.sources.store import Store, Version, part_of
 from policylake.streaming import ingest as ST
 
 POLICY = ("policy_id string, payer_name string, policy_type string, effective_date date, end_date date, "
@@ -400,46 +401,110 @@ def test_stores_and_cleanup(spark):
     SK.write_policies(df, path)
     assert spark.read.parquet(path).count() == df.select("policy_id").distinct().count()
     active, archive, reports = (new_path(spark, n) for n in ("active", "archive", "reports"))
-    assert SK.write_snapshot(df, active) == 0
+    store = Store(spark, active)
+    assert store.read() is None
+    assert store.commit("load", payers_of(df), lambda old: df) == 0
     stats = SK.scheduled_cleanup(spark, active, archive, reports, "2023-01-01").first()
-    assert SK.latest_version(spark, active) == 1
-    assert SK.read_snapshot(spark, active).count() == stats.current_policies == L.current_versions(df, "2023-01-01").count()
+    assert store.latest().number == 1
+    assert store.read().count() == stats.current_policies == L.current_versions(df, "2023-01-01").count()
     assert spark.read.parquet(archive).count() == stats.archived_policies
+    again = SK.scheduled_cleanup(spark, active, archive, reports, "2023-01-01").first()
+    assert store.latest().number == 1 and again.current_policies == stats.current_policies
+
+
+def payers_of(df):
+    return [r.payer_name for r in df.select("payer_name").distinct().collect()]
 
 
 def test_stream_and_cleanup_share_a_store(spark):
-    """A batch after a cleanup starts from what it left; a repeated batch changes nothing; old snapshots may go."""
+    """A batch after a cleanup starts from what it left; a repeated batch changes nothing; old versions may go."""
     rows, df = random_policies(spark, 120, 9)
     folder, reports, archive = (new_path(spark, n) for n in ("shared", "reports", "archive"))
     active, ordered = f"{folder}-active", sorted(rows, key=lambda r: (r[5], r[6]))
+    store = Store(spark, active)
 
-    def arrive(part, state):
+    def arrive(part):
         spark.createDataFrame(part, POLICY).coalesce(1).write.mode("append").parquet(folder)
-        ST.maintain_current(ST.file_stream(spark, folder, "*.parquet", df.schema), active, f"{folder}-{state}", "2022-06-01").awaitTermination()
+        ST.maintain_current(ST.file_stream(spark, folder, "*.parquet", df.schema), active, f"{folder}-state", "2022-06-01").awaitTermination()
 
-    arrive(ordered[:60], "a")
+    arrive(ordered[:60])
     SK.scheduled_cleanup(spark, active, archive, reports, "2022-06-01")
-    cleaned = {r.policy_id for r in SK.read_snapshot(spark, active).collect()}
-    assert SK.latest_version(spark, active) == 1
-    arrive(ordered[60:], "a")
-    after = {r.policy_id for r in SK.read_snapshot(spark, active).collect()}
+    cleaned = {r.policy_id for r in store.read().collect()}
+    assert store.latest().number == 1
+    arrive(ordered[60:])
+    after = {r.policy_id for r in store.read().collect()}
     arrived = {r.policy_id for r in spark.createDataFrame(ordered[60:], POLICY).collect()}
-    assert after <= cleaned | arrived and SK.latest_version(spark, active) == 2
-    writers = [w for w in SK._commits(spark, active).values() if w.startswith("batch-")]
-    assert len(writers) == 2 and all(SK.was_written(spark, active, w) for w in writers)
-    assert SK.expire_snapshots(spark, active, 1) == [0, 1]
-    assert {r.policy_id for r in SK.read_snapshot(spark, active).collect()} == after
+    assert after <= cleaned | arrived and store.latest().number == 2
+    (stream, number), = store.latest().applied.items()
+    assert store.commit(stream, payers_of(df), lambda old: df.limit(0), number) == 2  # a repeated batch
+    assert store.expire(1) == [0, 1]
+    assert {r.policy_id for r in store.read().collect()} == after
+    assert store.commit(stream, payers_of(df), lambda old: df.limit(0), number) == 2
+
+
+ROW = "payer_name string, policy_id string, n long"
+
+
+def test_two_writers_of_one_number_lose_nothing(spark):
+    """The second writer finds the number taken: it starts again if its payers were changed, else it only publishes again."""
+    path = new_path(spark, "rivals")
+    first, second, calls = Store(spark, path), Store(spark, path), []
+
+    def one(payer, n):
+        return spark.createDataFrame([(payer, f"{payer}{n}", n)], ROW)
+
+    def added(store, payer, n, between=None):
+        def change(old):
+            calls.append((payer, n))
+            if between and calls.count((payer, n)) == 1:
+                between()  # the rival commits after this writer has read its base
+            return one(payer, n) if old is None else old.unionByName(one(payer, n))
+        return store.commit(f"w{payer}{n}", [payer], change)
+
+    assert added(first, "A", 0) == 0
+    assert added(first, "A", 1, lambda: added(second, "A", 2)) == 2
+    assert calls.count(("A", 1)) == 2
+    assert added(first, "A", 3, lambda: added(second, "B", 4)) == 4
+    assert calls.count(("A", 3)) == 1
+    assert added(first, None, 5) == 5
+    got = sorted((r.n for r in first.read().collect()))
+    assert got == [0, 1, 2, 3, 4, 5]
+    assert Version(**json.loads(json.dumps(vars(first.version(4))))) == first.version(4)
+
+
+def test_a_batch_rewrites_its_payers_only(spark):
+    store = Store(spark, new_path(spark, "parts"))
+    df = spark.createDataFrame([(p, f"{p}{i}", i) for p in "ABC" for i in range(4)], ROW)
+    store.commit("load", "ABC", lambda old: df)
+    before = store.latest().parts
+    store.commit("b", "B", lambda old: old.where("n > 1"))
+    after = store.latest().parts
+    assert {p for p in before if before[p] != after[p]} == {part_of("B")}
+    store.commit("c", "C", lambda old: old.limit(0))
+    assert set(store.latest().parts) == {part_of("A"), part_of("B")} and store.read().count() == 6
+    assert store.read(store.version(0)).count() == 12
+    try:
+        store.commit("wrong", "A", lambda old: df)
+        raise AssertionError("rows of other payers were taken")
+    except ValueError:
+        assert store.latest().number == 2
+    store.expire(1)
+    assert store.versions() == [2] and store.read().count() == 6
+
+
+def test_a_new_stream_goes_on_from_an_old_store(spark):
+    """A new checkpoint on the same store starts at batch 0 again: nothing stored is replaced or stored twice."""
+    folder, out = new_path(spark, "docs"), new_path(spark, "out")
+    schema = "doc_id long, payer_name string, content string"
 
+    def arrive(rows, state):
+        df = spark.createDataFrame(rows, schema)
+        df.coalesce(1).write.mode("append").parquet(folder)
+        ST.ingest_stream(ST.file_stream(spark, folder, "*.parquet", df.schema), out, f"{out}-{state}", ["doc_id"]).awaitTermination()
 
-def test_gaps_in_the_numbers_lose_nothing(spark):
-    active = new_path(spark, "gaps")
-    _, df = random_policies(spark, 20, 3)
-    for _ in range(3):
-        SK.write_snapshot(df, active)
-    SK.expire_snapshots(spark, active, 1)
-    assert SK.read_snapshot(spark, active, before=5).count() == 20
-    df.write.parquet(SK.snapshot_path(active, 7))  # never committed
-    assert SK.latest_version(spark, active) == 2
+    arrive([(1, "P", "a"), (2, "P", "b")], "one")
+    arrive([(3, "P", "b"), (4, "Q", "a")], "two")  # reads all files again
+    assert sorted((r.doc_id, r.payer_name) for r in Store(spark, out).read().collect()) == [(1, "P"), (2, "P"), (4, "Q")]
 
 
 def test_files_and_exports(spark, tmp_path):
@@ -477,7 +542,7 @@ def test_stream_of_policies_equals_one_replay(spark):
         active, state = f"{folder}-active", f"{folder}-state"
         stream = ST.file_stream(spark, folder, "*.parquet", df.schema)
         ST.maintain_current(stream, active, state, "2022-06-01").awaitTermination()
-    got = {r.policy_id: r.source_pdf for r in SK.read_snapshot(spark, active).collect()}
+    got = {r.policy_id: r.source_pdf for r in Store(spark, active).read().collect()}
     assert got == {r.policy_id: r.source_pdf for r in L.replay_arrivals(df, "2022-06-01").collect()}
 
 
@@ -489,7 +554,7 @@ def test_ingest_stream_equals_batch(spark):
         spark.createDataFrame(rows[i:i + 10], schema).coalesce(1).write.mode("append").parquet(folder)
         stream = ST.file_stream(spark, folder, "*.parquet", spark.createDataFrame(rows, schema).schema)
         ST.ingest_stream(stream, out, state, ["doc_id"]).awaitTermination()
-    got = sorted((r.payer_name, r.content, r.doc_id) for r in spark.read.parquet(out).collect())
+    got = sorted((r.payer_name, r.content, r.doc_id) for r in Store(spark, out).read().collect())
     first = {}
     for i, p, c in rows:
         first.setdefault((p, c), i)
