@@ -5,7 +5,8 @@ pairs. It works in rounds. Each round picks pivots in every bucket that still ho
 against the members of *other* groups only, and merges groups along the links found. Pivots are the members whose hash
 lies in a share of the hash space that grows sixteenfold per round, relative to the bucket's size, until every member has
 been one; so all pairs of a bucket that aren't known to be connected get tested in the end, whatever its size, while a
-bucket of thousands of alike items is settled by a few pivots.
+bucket of thousands of alike items is settled by a few pivots. Within a round every member meets one pivot first,
+the one that meets most members over all buckets; the other pairs are tested after that, if they still lie between groups.
 """
 
 from __future__ import annotations
@@ -78,6 +79,30 @@ def connected(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("least"))
 
 
+def _apart(links: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """The links (a, b) between groups, with ga and gb, the groups of their ends."""
+    if groups is None:
+        return links.withColumns({"ga": F.col("a"), "gb": F.col("b")})
+    left = small(groups).select(F.col("id").alias("a"), F.col("least").alias("ga"))
+    right = small(groups).select(F.col("id").alias("b"), F.col("least").alias("gb"))
+    return links.join(left, "a", "left").join(right, "b", "left").select(
+        "a", "b", F.coalesce("ga", "a").alias("ga"), F.coalesce("gb", "b").alias("gb")).where("ga <> gb")
+
+
+def _merged(groups: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """The groups (id, least) after links between their members."""
+    found = stored(_apart(links, groups).select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct(), "links")
+    if is_empty(found):
+        return groups
+    moved = connected(found)
+    if groups is None:
+        return moved
+    # Groups' heads that moved take their members along.
+    heads = moved.select(F.col("id").alias("least"), F.col("least").alias("new"))
+    kept = groups.join(small(heads), "least", "left").select("id", F.coalesce("new", "least").alias("least"))
+    return stored(kept.unionByName(moved), "groups")
+
+
 def grouped(spark: SparkSession, buckets: DataFrame, tested: Callable[[DataFrame], DataFrame],
             comparable: str = "true", hint: str | None = None) -> DataFrame:
     """(id, least) for every id in a bucket with others that is linked to a smaller one, over any number of links.
@@ -114,24 +139,18 @@ def grouped(spark: SparkSession, buckets: DataFrame, tested: Callable[[DataFrame
             pivots = live.where((spot * F.col("n") < float(GROWTH ** rounds))
                                 & (spot * F.col("n") >= (float(GROWTH ** (rounds - 1)) if rounds > 1 else 0.0)))
         p, m = pivots.alias("p"), live.alias("m")
-        pairs = p.join(m, F.expr(f"p.bucket = m.bucket and p.g <> m.g and {comparable}")) \
-            .select(F.least("p.id", "m.id").alias("a"), F.greatest("p.id", "m.id").alias("b")).distinct()
-        links = tested(stored(pairs, "pairs")).select("a", "b")
-        if groups is not None:
-            left = small(groups).select(F.col("id").alias("a"), F.col("least").alias("ga"))
-            right = small(groups).select(F.col("id").alias("b"), F.col("least").alias("gb"))
-            links = links.join(left, "a", "left").join(right, "b", "left").select(
-                F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b"))
-        found = stored(links.distinct(), "links")
-        if not is_empty(found):
-            moved = connected(found)
-            if groups is None:
-                groups = moved
-            else:
-                # Groups' heads that moved take their members along.
-                heads = moved.select(F.col("id").alias("least"), F.col("least").alias("new"))
-                kept = groups.join(small(heads), "least", "left").select("id", F.coalesce("new", "least").alias("least"))
-                groups = stored(kept.unionByName(moved), "groups")
+        met = stored(p.join(m, F.expr(f"p.bucket = m.bucket and p.g <> m.g and {comparable}")).select(
+            F.col("p.id").alias("p"), F.col("m.id").alias("m")).distinct(), "met")
+        # Every member first meets the pivot that meets most. What that links is one group, and its other pairs needn't be tested.
+        busy = met.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+        foremost = met.join(busy, "p").groupBy("m").agg(F.max(F.struct("n", "p")).alias("f")).select(
+            F.least("m", "f.p").alias("a"), F.greatest("m", "f.p").alias("b")).distinct()
+        tried = stored(foremost, "pairs")
+        groups = _merged(groups, tested(tried).select("a", "b"))
+        others = met.select(F.least("p", "m").alias("a"), F.greatest("p", "m").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        rest = stored(_apart(others, groups).select("a", "b"), "pairs")
+        if not is_empty(rest):
+            groups = _merged(groups, tested(rest).select("a", "b"))
         if first:
             first = False
         else:
