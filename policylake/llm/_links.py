@@ -5,8 +5,8 @@ pairs. It works in rounds. Each round picks pivots in every bucket that still ho
 against the members of *other* groups only, and merges groups along the links found. Pivots are the members whose hash
 lies in a share of the hash space that grows sixteenfold per round, relative to the bucket's size, until every member has
 been one; so all pairs of a bucket that aren't known to be connected get tested in the end, whatever its size, while a
-bucket of thousands of alike items is settled by a few pivots. Within a round every member meets one pivot first,
-the one that meets most members over all buckets; the other pairs are tested after that, if they still lie between groups.
+bucket of thousands of alike items is settled by a few pivots. With ``foremost`` every member meets one pivot of a round
+first, the one that meets most members over all buckets; its other pairs are tested after that, if still between groups.
 """
 
 from __future__ import annotations
@@ -104,7 +104,7 @@ def _merged(groups: DataFrame | None, links: DataFrame) -> DataFrame | None:
 
 
 def grouped(spark: SparkSession, buckets: DataFrame, tested: Callable[[DataFrame], DataFrame],
-            comparable: str = "true", hint: str | None = None) -> DataFrame:
+            comparable: str = "true", hint: str | None = None, foremost: bool = False) -> DataFrame:
     """(id, least) for every id in a bucket with others that is linked to a smaller one, over any number of links.
 
     buckets: (bucket, id) and more, stored. tested: from stored pairs (a, b) to those that are linked. comparable: a
@@ -139,17 +139,19 @@ def grouped(spark: SparkSession, buckets: DataFrame, tested: Callable[[DataFrame
             pivots = live.where((spot * F.col("n") < float(GROWTH ** rounds))
                                 & (spot * F.col("n") >= (float(GROWTH ** (rounds - 1)) if rounds > 1 else 0.0)))
         p, m = pivots.alias("p"), live.alias("m")
-        met = stored(p.join(m, F.expr(f"p.bucket = m.bucket and p.g <> m.g and {comparable}")).select(
-            F.col("p.id").alias("p"), F.col("m.id").alias("m")).distinct(), "met")
-        # Every member first meets the pivot that meets most. What that links is one group, and its other pairs needn't be tested.
-        busy = met.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-        foremost = met.join(busy, "p").groupBy("m").agg(F.max(F.struct("n", "p")).alias("f")).select(
-            F.least("m", "f.p").alias("a"), F.greatest("m", "f.p").alias("b")).distinct()
-        tried = stored(foremost, "pairs")
-        groups = _merged(groups, tested(tried).select("a", "b"))
-        others = met.select(F.least("p", "m").alias("a"), F.greatest("p", "m").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        rest = stored(_apart(others, groups).select("a", "b"), "pairs")
-        if not is_empty(rest):
+        met = p.join(m, F.expr(f"p.bucket = m.bucket and p.g <> m.g and {comparable}")).select(
+            F.col("p.id").alias("p"), F.col("m.id").alias("m")).distinct()
+        met = stored(met, "met") if foremost else met
+        others = met.select(F.least("p", "m").alias("a"), F.greatest("p", "m").alias("b")).distinct()
+        if foremost:
+            # What the first pivot links is one group, and its members' other pairs needn't be tested.
+            busy = met.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+            tried = stored(met.join(busy, "p").groupBy("m").agg(F.max(F.struct("n", "p")).alias("f")).select(
+                F.least("m", "f.p").alias("a"), F.greatest("m", "f.p").alias("b")).distinct(), "pairs")
+            groups = _merged(groups, tested(tried).select("a", "b"))
+            others = _apart(others.join(tried, ["a", "b"], "left_anti"), groups).select("a", "b")
+        rest = stored(others, "pairs")
+        if not foremost or not is_empty(rest):
             groups = _merged(groups, tested(rest).select("a", "b"))
         if first:
             first = False

@@ -186,7 +186,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str
         return overlap.join(small(hopeful), ["a", "b"]).where(
             100 * F.col("both") >= percent * (F.col("size_a") + F.col("size_b") - F.col("both"))).select("a", "b")
 
-    groups = grouped(spark, buckets, tested, comparable=may, hint="rank <= 2")
+    groups = grouped(spark, buckets, tested, comparable=may, hint="rank <= 2", foremost=True)
     marked = groups.select(F.col("id").alias("node"), F.col("least").alias("group"))
     marked = marked.unionByName(marked.select(F.col("group").alias("node"), "group").distinct())
     return sets.select("doc_id", "copy", F.col("n").alias("n_shingles"), "node").join(marked, "node", "left") \
