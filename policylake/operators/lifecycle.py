@@ -123,22 +123,31 @@ def last_write_per_key(df: DataFrame, keys: list[str], written_at: str, tie: str
     return first_per_key(df, keys, [F.desc(written_at), F.desc(tie)])
 
 
+#: Levels of the tree of days, which holds every day that a date can be.
+DAY_LEVELS = 22
+
+
 def policies_as_of(policies: DataFrame, dates: DataFrame, date: str = "as_of") -> DataFrame:
     """Dated policies valid on each of the given days.
 
-    A range join by way of calendar years: a policy is listed once for each
-    year it spans and meets only that year's dates.
+    A range join by way of dyadic intervals: a policy's days are cut into the fewest aligned stretches of 1, 2, 4, ...
+    days, at most two of a length, and a day lies in one stretch of each length. So a policy meets a day once, at a key of its
+    own length and place: a year in which all policies are valid is spread over its stretches.
     """
-    last = dates.agg(F.max(date)).first()[0]
-    if last is None:
-        last = "0001-01-01"
-    until = F.least(F.coalesce("end_date", F.lit(last)), F.lit(last))
-    spans = policies.where(F.col("effective_date") <= until).withColumn(
-        "_year", F.explode(F.sequence(F.year("effective_date"), F.year(until))))
-    days = dates.withColumn("_year", F.year(date))
-    return spans.join(days, "_year").where(
-        (F.col("effective_date") <= F.col(date)) & F.coalesce(F.col("end_date") >= F.col(date), F.lit(True))
-    ).drop("_year")
+    def number(day: Column) -> Column:
+        return F.datediff(day.cast("date"), F.lit("0001-01-01").cast("date")).cast("long")
+
+    ends = F.coalesce(number(F.col("end_date")) + 1, F.lit(1 << DAY_LEVELS).cast("long"))
+    bounded = policies.where("effective_date is not null").withColumns({"_from": number(F.col("effective_date")), "_to": ends}).where("_from < _to")
+    # At level k stretches have 2 ** k days; a is the first that starts on or after the first day, z the first that ends after the last.
+    levels = bounded.select(*policies.columns, F.inline(F.expr(
+        "transform(sequence(0, cast(log2(_to - _from) as int)), k -> struct(k as _level, shiftright(_from + shiftleft(1L, k) - 1, k) as _a, "
+        "shiftright(_to, k) as _z))"))).where("_a < _z and (_a % 2 = 1 or _z % 2 = 1)")
+    spans = levels.withColumn("_node", F.explode(F.array(F.expr("if(_a % 2 = 1, _a, null)"), F.expr("if(_z % 2 = 1, _z - 1, null)")))).where(
+        "_node is not null").drop("_a", "_z")
+    days = dates.withColumn("_day", number(F.col(date))).select(
+        *dates.columns, F.inline(F.expr(f"transform(sequence(0, {DAY_LEVELS}), k -> struct(k as _level, shiftright(_day, k) as _node))")))
+    return spans.join(days, ["_level", "_node"]).drop("_level", "_node")
 
 
 # --- supersession -------------------------------------------------------------------

@@ -209,6 +209,8 @@ def _greedy_rounds(rows: DataFrame, items: DataFrame, verify: Callable[[DataFram
         bounded = rows.join(remaining.where("bound is not null"), "sid")
         waiting = bounded.join(first_open, "word").where("first_open < bound").select("sid").distinct()
         status = checkpointed(open_.unionByName(remaining.where("bound is not null").join(waiting, "sid", "left_semi")))
+        if not status.isEmpty():
+            rows = checkpointed(rows.join(status.select("sid"), "sid", "left_semi"))
     if hits is None:
         return items.select("sid", F.col("sid").alias("dup_of"), F.lit(0.0).alias("similarity")).limit(0)
     return hits.groupBy("sid").agg(F.min(F.struct("dup_of", "similarity")).alias("hit")).select(
