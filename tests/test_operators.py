@@ -561,6 +561,21 @@ def test_ingest_stream_equals_batch(spark):
     assert got == sorted((p, c, i) for (p, c), i in first.items())
 
 
+def test_policies_as_of_equal_all_pairs(spark):
+    """Every valid (policy, day) once: open ends, single days, ends before starts, repeated days, the first and last dates."""
+    rng = random.Random(14)
+    first = date(1, 1, 1).toordinal()
+    rows = [(i, None if rng.random() < .1 else date.fromordinal(first + rng.randint(727000, 729000))) for i in range(150)]
+    rows = [(i, a, None if a is None or rng.random() < .2 else date.fromordinal(a.toordinal() + rng.choice([-1, 0, 1, 2, 31, 364, 1500])))
+            for i, a in rows] + [(900, date(1, 1, 1), date(1, 1, 1)), (901, date(9999, 12, 31), None), (902, date(1, 1, 1), None)]
+    days = [date.fromordinal(first + rng.randint(726990, 730600)) for _ in range(40)] + [date(1, 1, 1), date(9999, 12, 31), date(1, 1, 1), None]
+    policies = spark.createDataFrame(rows, "policy_id int, effective_date date, end_date date")
+    got = L.policies_as_of(policies, spark.createDataFrame([(d,) for d in days], "as_of date"))
+    want = sorted((i, d) for i, a, z in rows for d in days if d and a and a <= d and (z is None or z >= d))
+    assert sorted((r.policy_id, r.as_of) for r in got.collect()) == want and len(want) > 300
+    assert got.columns == ["policy_id", "effective_date", "end_date", "as_of"]
+
+
 def test_plans_have_no_cross_products(spark, sf):
     from policylake.registry import QUERIES
     lazy = ("current_versions", "expired_policies", "cleanup_stats", "policies_as_of", "replaced_policies_removed",
