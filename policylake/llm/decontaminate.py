@@ -3,9 +3,11 @@
 Texts are compared as bytes with A-Z lower-cased and every run of blanks, controls and ASCII punctuation as one blank.
 Every benchmark item is cut into overlapping windows of ``WINDOW`` bytes (half a window apart, the last at the end). A
 window of m bytes that occurs with at most k edits shares at least m - Q + 1 - k * Q of its q-grams with the text, all
-on diagonals no more than k apart. So shared q-grams are counted in bands of diagonals that overlap by half, bands
-below that bound are dropped, and what is left is verified by a banded alignment of the window. A document is
-contaminated by an item if one of its windows is found.
+on diagonals no more than k apart. Texts are searched in overlapping segments. First the q-grams that a segment and a
+window share are counted wherever they stand; pairs that reach the bound count them in bands of diagonals that overlap
+by half, bands below the bound are dropped, and what is left is verified by a banded alignment of the window. A
+document is contaminated by an item if one of its windows is found. Equal windows and equal segments are looked at
+once, and places are paired a bounded number at a time, so repetitive texts cost neither time nor memory.
 
 The benchmark is the stated query set: it is collected in blocks of about ``BLOCK_CHARS`` characters, and the
 documents are scanned once per block, without a shuffle. Whole texts are searched.
@@ -26,13 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from policylake.llm._arrow import mixed, sliced, text_bytes
+from policylake.llm._arrow import sliced, text_bytes
 
 Q = 10
 WINDOW = 64
 EDITS = 4
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 TABLE_BITS = 20
+#: Texts are searched in segments of so many bytes, which go on for more than the longest occurrence.
+SEGMENT = 512
+OVERLAP = WINDOW + EDITS + 1
+#: Pairs of places that are held at once.
+PAIRS = 2_000_000
 
 _CLASS = np.full(256, 32, np.uint8)
 for _c in [*range(48, 58), *range(97, 123), *range(128, 256)]:
@@ -41,17 +48,6 @@ for _c in range(65, 91):
     _CLASS[_c] = _c + 32
 
 
-@dataclass
-class Index:
-    """Q-grams of the items of one block, and their windows."""
-    ids: list
-    raw: np.ndarray  # normalised items, one after the other
-    offsets: np.ndarray
-    grams: np.ndarray  # sorted; place[i] is where gram i stands in raw
-    place: np.ndarray
-    maybe: np.ndarray  # which values the upper bits of a gram's hash can have
-
-
 def _normal(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(normalised bytes, offsets of texts, place of each byte in ``raw``)."""
     x = _CLASS[raw]
@@ -82,16 +78,56 @@ def _slot(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
+@dataclass
+class Index:
+    """The windows of one block's items, equal ones once, and their q-grams."""
+    ids: list
+    raw: np.ndarray  # normalised items, one after the other
+    windows: np.ndarray  # windows of each item
+    begin: np.ndarray  # where each different window stands in raw
+    size: np.ndarray  # its bytes
+    owners: np.ndarray  # (item, number) pairs packed as item << 32 | number, those of a window together
+    owned: np.ndarray  # offsets of each window's owners
+    grams: np.ndarray  # different q-grams, sorted
+    maybe: np.ndarray  # which values the upper bits of a gram's hash can have
+    posted: np.ndarray  # offsets of each gram's windows
+    window: np.ndarray  # windows that hold a gram
+    times: np.ndarray  # and how often
+    keys: np.ndarray  # window * len(grams) + gram of every place in a window, sorted
+    inner: np.ndarray  # that place
+
+
 def build_index(ids: list, texts: list[str | None]) -> Index:
     raw, offsets = text_bytes(pa.array(texts, pa.string()))
     x, offsets, _ = _normal(raw, offsets)
-    grams = _grams(x)
-    inside = np.arange(len(grams)) + Q <= np.repeat(offsets[1:], np.diff(offsets))[:len(grams)]
-    place = np.flatnonzero(inside)
-    order = place[np.argsort(grams[place], kind="stable")]
+    sizes, step = np.diff(offsets), WINDOW // 2
+    windows = np.where(sizes > WINDOW, -(-(sizes - WINDOW) // step) + 1, 1)
+    item = np.repeat(np.arange(len(sizes)), windows)
+    number = np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows)
+    size = np.minimum(sizes, WINDOW)[item]
+    start = offsets[item] + np.minimum(number * step, sizes[item] - size)
+    known: dict[bytes, int] = {}
+    text = x.tobytes()
+    which = np.array([known.setdefault(text[a:a + m], len(known)) if m >= Q else -1
+                      for a, m in zip(start.tolist(), size.tolist())], np.int64)
+    order = np.argsort(which, kind="stable")[int((which < 0).sum()):]
+    first = order[np.searchsorted(which[order], np.arange(len(known)))]
+    begin, size = start[first], size[first]
+    owned = np.searchsorted(which[order], np.arange(len(known) + 1))
+    places = np.maximum(size - Q + 1, 0)
+    owner = np.repeat(np.arange(len(known)), places)
+    inner = np.arange(len(owner)) - np.repeat(np.cumsum(places) - places, places)
+    grams, gram = np.unique(_grams(x)[begin[owner] + inner], return_inverse=True) if len(owner) else (
+        np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    keys = owner * max(len(grams), 1) + gram.reshape(-1)
+    order_keys = np.argsort(keys, kind="stable")
+    pairs, times = np.unique(gram.reshape(-1) * max(len(known), 1) + owner, return_counts=True)
     maybe = np.zeros(1 << TABLE_BITS, bool)
-    maybe[_slot(grams[order])] = True
-    return Index(ids, x, offsets, grams[order], order, maybe)
+    maybe[_slot(grams)] = True
+    posted = np.searchsorted(pairs, np.arange(len(grams) + 1) * max(len(known), 1))
+    return Index(ids, x, windows, begin, size, item[order] << 32 | number[order], owned, grams, maybe, posted,
+                 (pairs % max(len(known), 1)).astype(np.int32), times.astype(np.int32), keys[order_keys],
+                 inner[order_keys].astype(np.int16))
 
 
 def _budget(m: np.ndarray) -> np.ndarray:
@@ -99,19 +135,31 @@ def _budget(m: np.ndarray) -> np.ndarray:
     return np.clip(np.minimum(EDITS * m // WINDOW, (m - Q) // Q), 0, None)
 
 
-def _windows(index: Index, items: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hit, window number, window start in the item) for the windows whose q-grams include item place ``at``."""
-    size = np.diff(index.offsets)[items]
-    m, step = np.minimum(size, WINDOW), WINDOW // 2
-    count = np.where(size > WINDOW, -(-(size - WINDOW) // step) + 1, 1)
-    low = np.clip(-(-(at + Q - m) // step), 0, count - 1)
-    found = []
-    for extra in range(4):
-        number = low + extra
-        start = np.minimum(number * step, size - m)
-        fits = (number < count) & (start <= at) & (at + Q <= start + m)
-        found.append((np.flatnonzero(fits), number[fits], start[fits]))
-    return tuple(np.concatenate(x) for x in zip(*found))
+def _bound(m: np.ndarray) -> np.ndarray:
+    """Q-grams that a window of m bytes surely shares with an occurrence."""
+    return np.maximum(m - Q + 1 - Q * _budget(m), 1)
+
+
+def _ranges(low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(range number, value) of every value in the ranges that begin at ``low``."""
+    of = np.repeat(np.arange(len(low)), count)
+    return of, np.arange(len(of)) + np.repeat(low - (np.cumsum(count) - count), count)
+
+
+def _parts(count: np.ndarray) -> Iterator[slice]:
+    """Slices of work items whose counts sum up to about ``PAIRS``, one item at least."""
+    ends, at = np.cumsum(count), 0
+    while at < len(count):
+        base = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, base + PAIRS, "right")))
+        yield slice(at, stop)
+        at = stop
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, sorted, with the sum of their values."""
+    different, group = np.unique(keys, return_inverse=True)
+    return different, np.bincount(group.reshape(-1), values, len(different)).astype(np.int64)
 
 
 def _banded(pattern: np.ndarray, text: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,109 +183,157 @@ def _banded(pattern: np.ndarray, text: np.ndarray, lengths: np.ndarray) -> tuple
     return best, end
 
 
+def _candidates(index: Index, segment: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, window) pairs that share enough q-grams, wherever they stand, from the different grams of segments."""
+    count = np.diff(index.posted)[gram]
+    many = max(len(index.begin), 1)
+    bound = _bound(index.size)
+    carried, sums, found = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    for part in _parts(count):
+        of, posting = _ranges(index.posted[gram[part]], count[part])
+        keys, values = segment[part][of] * many + index.window[posting], index.times[posting]
+        carried, sums = _summed(np.concatenate([carried, keys]), np.concatenate([sums, values]))
+        # The last segment may go on in the next part.
+        over = len(carried) if part.stop == len(segment) else int(np.searchsorted(carried, segment[part.stop] * many))
+        found.append(carried[:over][sums[:over] >= bound[carried[:over] % many]])
+        carried, sums = carried[over:], sums[over:]
+    pairs = np.concatenate(found) if found else carried
+    return pairs // many, pairs % many
+
+
 def _found(index: Index, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """(row, item, windows found, windows, edits, first byte, byte past the last) of contaminated texts."""
     none = tuple(np.zeros(0, np.int64) for _ in range(7))
     x, offsets, origin = _normal(raw, offsets)
-    grams = _grams(x)
-    if not len(index.grams) or not len(grams):
-        return none
-    at = np.flatnonzero(index.maybe[_slot(grams)])
-    low = np.searchsorted(index.grams, grams[at], "left")
-    count = np.searchsorted(index.grams, grams[at], "right") - low
-    at, low, count = at[count > 0], low[count > 0], count[count > 0]
-    if not len(at):
+    hashes = _grams(x)
+    if not len(index.grams) or not len(hashes):
         return none
+    at = np.flatnonzero(index.maybe[_slot(hashes)])
+    gram = np.minimum(np.searchsorted(index.grams, hashes[at]), len(index.grams) - 1)
+    known = index.grams[gram] == hashes[at]
+    at, gram = at[known], gram[known]
     rows = np.searchsorted(offsets, at, "right") - 1
     whole = at + Q <= offsets[rows + 1]
-    at, low, count, rows = at[whole], low[whole], count[whole], rows[whole]
-    pick = np.repeat(np.arange(len(at)), count)
-    place = index.place[np.repeat(low, count) + np.arange(len(pick)) - np.repeat(np.cumsum(count) - count, count)]
-    rows, at = rows[pick], at[pick] - offsets[rows[pick]]
-    items = np.searchsorted(index.offsets, place, "right") - 1
-    inner = place - index.offsets[items]
-    # Diagonals of an occurrence with k edits lie within k of each other: bands of 2 (k + 1), overlapping by half.
-    half = EDITS + 1
-    diagonal = at - inner + index.offsets[-1]
-    band = diagonal // half
-    rows, items, inner = np.tile(rows, 2), np.tile(items, 2), np.tile(inner, 2)
-    band = np.concatenate([band, band - 1])
-    # First whole items, which most chance hits don't survive, then their windows.
-    least = np.minimum(np.diff(index.offsets), WINDOW)
-    bound = np.maximum(least - Q + 1 - Q * _budget(least), 1)
-    keys = np.stack([rows, items, band])
-    _, group, size = np.unique(_packed(keys), return_inverse=True, return_counts=True)
-    strong = size[group] >= bound[items]
-    rows, items, inner, band = rows[strong], items[strong], inner[strong], band[strong]
-    if not len(rows):
+    at, gram, rows = at[whole], gram[whole], rows[whole]
+    if not len(at):
         return none
-    hit, number, start = _windows(index, items, inner)
-    rows, items, band, inner = rows[hit], items[hit], band[hit], inner[hit]
-    # A q-gram of the window counts once, however often it stands in the band.
-    once = np.unique(np.stack([rows, items, band, number, start, inner]), axis=1)
-    groups, size = np.unique(once[:5], axis=1, return_counts=True)
-    groups = groups[:, size >= bound[groups[1]]]
-    rows, items, band, number, start = groups
-    if not len(rows):
+    # Segments overlap by more than an occurrence: a place lies in its own and perhaps in the end of the one before.
+    per_row = -(-np.diff(offsets) // SEGMENT)
+    base = np.cumsum(per_row) - per_row
+    own = (at - offsets[rows]) // SEGMENT
+    tail = (own > 0) & ((at - offsets[rows]) % SEGMENT + Q <= OVERLAP)
+    segment = np.concatenate([base[rows] + own, (base[rows] + own - 1)[tail]])
+    at, gram, rows = np.concatenate([at, at[tail]]), np.concatenate([gram, gram[tail]]), np.concatenate([rows, rows[tail]])
+    order = np.argsort(segment, kind="stable")
+    segment, at, gram, rows = segment[order], at[order], gram[order], rows[order]
+    different = np.unique(segment * len(index.grams) + gram)
+    pair_segment, pair_window = _candidates(index, different // len(index.grams), different % len(index.grams))
+    if not len(pair_segment):
         return none
-    return _verified(index, x, offsets, origin, raw, rows, items, band, number, start)
-
+    # Equal segments are looked at once.
+    live, place = np.unique(pair_segment, return_inverse=True)
+    first_hit = np.searchsorted(segment, live)
+    live_row = rows[first_hit]
+    low = offsets[live_row] + (live - base[live_row]) * SEGMENT
+    high = np.minimum(low + SEGMENT + OVERLAP, offsets[live_row + 1])
+    text, seen = x.tobytes(), {}
+    twin = np.array([seen.setdefault(text[a:b], k) for k, (a, b) in enumerate(zip(low.tolist(), high.tolist()))])
+    place = place.reshape(-1)
+    only = twin[place] == place
+    who, window = place[only], pair_window[only]
+    hits = np.searchsorted(segment, live, "right") - first_hit
+    verified = [_verified(index, x, who[p], window[p], low, high, *_bands(index, at, gram, who[p], window[p], first_hit, hits, low))
+                for p in _parts(hits[who])]
+    who, window, edits, start, end = np.concatenate(verified, axis=1)
+    if not len(who):
+        return none
+    # Back to all segments of the same text, then to all items with the window.
+    order = np.argsort(who, kind="stable")
+    who, window, edits, start, end = (v[order] for v in (who, window, edits, start, end))
+    left = np.searchsorted(who, twin)
+    of, found = _ranges(left, np.searchsorted(who, twin, "right") - left)
+    (row, window), (edits, start, end) = _folded(
+        live_row[of], window[found], edits[found], origin[low[of] + start[found]], origin[low[of] + end[found] - 1] + 1)
+    of, owner = _ranges(index.owned[window], np.diff(index.owned)[window])
+    item = index.owners[owner] >> 32
+    _, group = np.unique(row[of] * len(index.ids) + item, return_inverse=True)
+    seen_windows = np.bincount(group.reshape(-1))
+    (row, item), (edits, start, end) = _folded(row[of], item, edits[of], start[of], end[of])
+    return row, item, seen_windows, index.windows[item], edits, start, end
+
+
+def _folded(a: np.ndarray, b: np.ndarray, edits: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple:
+    """((a, b), (least edits, lowest, highest)) per different pair, in the order of (a, b)."""
+    many = int(b.max(initial=0)) + 1
+    pairs, group = np.unique(a * many + b, return_inverse=True)
+    group, n = group.reshape(-1), len(pairs)
+    least, lowest, highest = np.full(n, 1 << 20), np.full(n, 1 << 60), np.zeros(n, np.int64)
+    np.minimum.at(least, group, edits)
+    np.minimum.at(lowest, group, low)
+    np.maximum.at(highest, group, high)
+    return (pairs // many, pairs % many), (least, lowest, highest)
 
-def _packed(keys: np.ndarray) -> np.ndarray:
-    """One 64-bit value per column of small numbers, nearly surely distinct; a clash only adds work."""
-    with np.errstate(over="ignore"):
-        total = np.zeros(keys.shape[1], np.uint64)
-        for row in keys:
-            total = mixed(total * np.uint64(31) + row.astype(np.uint64) + np.uint64(1))
-    return total
 
+def _bands(index: Index, at: np.ndarray, gram: np.ndarray, who: np.ndarray, window: np.ndarray, first_hit: np.ndarray,
+           hits: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, band) of diagonals in which a segment shares enough q-grams with a window.
 
-def _verified(index: Index, x: np.ndarray, offsets: np.ndarray, origin: np.ndarray, raw: np.ndarray, rows: np.ndarray,
-              items: np.ndarray, band: np.ndarray, number: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
-    sizes = np.diff(index.offsets)[items]
-    m = np.minimum(sizes, WINDOW)
+    Diagonals of an occurrence with k edits lie within k of each other: bands of 2 (k + 1), overlapping by half.
+    """
+    half, many = EDITS + 1, -(-(SEGMENT + OVERLAP + 2 * WINDOW) // (EDITS + 1)) + 2
+    pair, hit = _ranges(first_hit[who], hits[who])
+    key = window[pair] * len(index.grams) + gram[hit]
+    left = np.searchsorted(index.keys, key)
+    count = np.searchsorted(index.keys, key, "right") - left
+    found = []
+    carried = np.zeros(0, np.int64)
+    for part in _parts(count):
+        of, entry = _ranges(left[part], count[part])
+        inner = index.inner[entry].astype(np.int64)
+        band = (at[hit[part]][of] - low[who[pair[part][of]]] - inner + WINDOW) // half
+        # A q-gram of the window counts once, however often it stands in the band.
+        cell = (pair[part][of] * many + band + 1) * WINDOW + inner
+        carried = np.unique(np.concatenate([carried, cell, cell - WINDOW]))
+        over = len(carried) if part.stop == len(pair) else int(np.searchsorted(carried, pair[part.stop] * many * WINDOW))
+        cells, size = np.unique(carried[:over] // WINDOW, return_counts=True)
+        found.append(cells[size >= _bound(index.size[window[cells // many]])])
+        carried = carried[over:]
+    cells = np.concatenate(found) if found else carried
+    return cells // many, cells % many - 1
+
+
+def _verified(index: Index, x: np.ndarray, who: np.ndarray, window: np.ndarray, low: np.ndarray, high: np.ndarray,
+              pair: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Rows of segment, window, least edits, first byte and byte past the last, from the segment's begin, of real pairs."""
     width = 2 * (EDITS + 1) + 2 * EDITS + 1
-    begin = band * (EDITS + 1) - index.offsets[-1] + start - EDITS  # of the text row, in the document
 
     def cut(source: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, span: int) -> np.ndarray:
         where = at[:, None] + np.arange(span)
         inside = (where >= low[:, None]) & (where < high[:, None])
         return np.where(inside, source[np.clip(where, 0, max(len(source) - 1, 0))], 0)
 
-    found = []
-    for at in range(0, len(rows), 4096):
-        s = slice(at, at + 4096)
-        first = index.offsets[items[s]] + start[s]
-        pattern = cut(index.raw, first, first, first + m[s], WINDOW)
-        left, right = offsets[rows[s]], offsets[rows[s] + 1]
-        text = cut(x, left + begin[s], left, right, WINDOW + width)
-        edits, end = _banded(pattern, text, m[s])
-        ok = np.flatnonzero(edits <= _budget(m[s]))
+    found = [np.zeros((5, 0), np.int64)]
+    for k in range(0, len(pair), 4096):
+        p = pair[k:k + 4096]
+        first, m = index.begin[window[p]], index.size[window[p]]
+        begin = low[who[p]] + band[k:k + 4096] * (EDITS + 1) - WINDOW - EDITS
+        left, right = low[who[p]], high[who[p]]
+        pattern = cut(index.raw, first, first, first + m, WINDOW)
+        edits, end = _banded(pattern, cut(x, begin, left, right, WINDOW + width), m)
+        ok = np.flatnonzero(edits <= _budget(m))
         # The same alignment from the end gives where the occurrence begins.
         back = np.zeros((len(ok), WINDOW), np.uint8)
-        for k in range(WINDOW):
-            live = k < m[s][ok]
-            back[live, k] = pattern[ok[live], m[s][ok[live]] - 1 - k]
-        last = left[ok] + begin[s][ok] + end[ok]
-        mirrored = cut(x, last - WINDOW - width, left[ok], np.minimum(last, right[ok]), WINDOW + width)[:, ::-1]
-        _, length = _banded(back, mirrored, m[s][ok])
-        low = np.clip(last - length, left[ok], right[ok] - 1)
-        found.append(np.stack([rows[s][ok], items[s][ok], number[s][ok], edits[ok], origin[low],
-                               origin[np.clip(last, low + 1, right[ok]) - 1] + 1]))
-    rows, items, number, edits, low, high = np.concatenate(found, axis=1)
-    if not len(rows):
-        return tuple(np.zeros(0, np.int64) for _ in range(7))
-    pairs, group = np.unique(np.stack([rows, items]), axis=1, return_inverse=True)
-    group = group.reshape(-1)
-    n = pairs.shape[1]
-    least, lowest, highest = np.full(n, 1 << 20), np.full(n, 1 << 60), np.zeros(n, np.int64)
-    np.minimum.at(least, group, edits)
-    np.minimum.at(lowest, group, low)
-    np.maximum.at(highest, group, high)
-    seen = np.bincount(np.unique(np.stack([group, number]), axis=1)[0], minlength=n)
-    size = np.diff(index.offsets)[pairs[1]]
-    windows = np.where(size > WINDOW, -(-(size - WINDOW) // (WINDOW // 2)) + 1, 1)
-    return pairs[0], pairs[1], seen, windows, least, lowest, highest
+        for j in range(WINDOW):
+            live = j < m[ok]
+            back[live, j] = pattern[ok[live], m[ok[live]] - 1 - j]
+        left, last = left[ok], (begin + end)[ok]
+        mirrored = cut(x, last - WINDOW - width, left, np.minimum(last, right[ok]), WINDOW + width)[:, ::-1]
+        _, length = _banded(back, mirrored, m[ok])
+        start = np.clip(last - length, left, right[ok] - 1)
+        stop = np.clip(last, start + 1, right[ok])
+        (segment, which), rest = _folded(who[p][ok], window[p][ok], edits[ok], start - left, stop - left)
+        found.append(np.stack([segment, which, *rest]))
+    return np.concatenate(found, axis=1)
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[Index]:

@@ -228,6 +228,58 @@ def test_decontamination(spark, edge_docs, no_docs):
     assert decontaminate.contaminated(no_docs, benchmark).count() == 0
 
 
+def _occurs(window: bytes, text: bytes) -> int:
+    """Least edits of the window anywhere in the text."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(window):
+        new = [i + 1]
+        for j, y in enumerate(text):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_decontamination_by_brute_force(spark):
+    pick = random.Random(5)
+    items = [prose(9000 + i, 14) for i in range(6)] + ["na " * 30, "na na no " * 12, "tiny text of it", "ab"]
+    texts = []
+    for k in range(40):
+        item = list(items[k % len(items)])
+        for _ in range(pick.randint(0, 9)):
+            at = pick.randrange(len(item))
+            item[at:at + pick.randint(0, 1)] = pick.choice(["", "x", "na", item[at]])
+        lead = pick.choice([prose(k, 5), prose(k, 75), prose(k, 150)[:pick.randint(430, 580)], ""])
+        texts.append(lead + "".join(item)[pick.randint(0, 40):] + pick.choice(["", " " + prose(k + 50, 9)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+
+    def plain(text: str) -> bytes:
+        return re.sub(rb"[^0-9a-z\x80-\xff]+", b" ", text.lower().encode())
+
+    expected = {}
+    for i, item in enumerate(map(plain, items)):
+        m = min(len(item), decontaminate.WINDOW)
+        if m < decontaminate.Q:
+            continue
+        starts = [*range(0, len(item) - m, decontaminate.WINDOW // 2), len(item) - m]
+        budget = max(min(decontaminate.EDITS * m // decontaminate.WINDOW, (m - decontaminate.Q) // decontaminate.Q), 0)
+        for d, text in enumerate(texts):
+            edits = [_occurs(item[s:s + m], plain(text)) for s in starts]
+            if min(edits) <= budget:
+                expected[d, i] = (sum(e <= budget for e in edits), len(starts), min(edits))
+    got = {(r.doc_id, r.item_id): (r.windows_found, r.windows, r.edits) for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert got == expected and len(got) > 15
+    assert {r.doc_id for r in decontaminate.clean(docs, benchmark).collect()} == set(range(40)) - {d for d, _ in got}
+
+
+def test_decontamination_of_repetitive_texts(spark):
+    docs = spark.createDataFrame([(1, "na " * 70000), (2, "no " * 70000), (3, "na " * 10)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, "na " * 2000), (2, "na " * 2001), (3, "na " * 2000)], "item_id long, text string")
+    rows = {(r.doc_id, r.item_id): (r.windows_found, r.windows, r.edits, r.start, r.end)
+            for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert rows == {(1, 1): (187, 187, 0, 0, 210000), (1, 2): (187, 187, 0, 0, 210000), (1, 3): (187, 187, 0, 0, 210000)}
+
+
 def test_banded_alignment_equals_a_full_one():
     pick = random.Random(1)
     for _ in range(40):
