@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 
 import pytest
@@ -30,6 +31,40 @@ def test_every_prefix_of_the_cycle_is_less_than_a_block_off(spark):
             assert abs(done[s] - (r.slot + 1) * share[s] / period) < 1
 
 
+def _earliest_deadline_first(shares):
+    """{(source, turn): slot}, one slot after the other; ties as the module ranks them: large shares, then late names."""
+    period = sum(shares.values())
+    names = sorted(shares, key=lambda s: (-shares[s], s is None, [-ord(c) for c in s or ""]))
+    done, plan = dict.fromkeys(names, 0), {}
+    for t in range(period):
+        due = [(-(-(done[s] + 1) * period // shares[s]), i, s) for i, s in enumerate(names) if done[s] * period // shares[s] <= t]
+        s = min(due)[2]
+        plan[s, done[s]] = t
+        done[s] += 1
+    return plan
+
+
+@pytest.mark.parametrize("many, cycle", [(1, 50), (2, 7), (7, 100), (40, 1), (300, 400)])
+def test_cycle_is_earliest_deadline_first(spark, many, cycle):
+    pick = random.Random(many)
+    given = [(f"s{i:03}" if i != 1 else None, pick.random() ** 4) for i in range(many)]
+    plan = mixing.pfair_cycle(spark.createDataFrame(given, "source string, weight double"), cycle).collect()
+    expected = _earliest_deadline_first({r.source: r.share for r in plan})
+    assert {(r.source, r.turn): r.slot for r in plan} == expected and len(plan) == len(expected) == plan[0].period
+
+
+def test_odd_weights(spark):
+    given = [("a", 1.0), ("a", 2.0), ("b", 3.0), ("c", None), ("d", -5.0), ("e", float("nan")), ("f", float("inf")), (None, 0.0)]
+    plan = mixing.pfair_cycle(spark.createDataFrame(given, "source string, weight double"), 10).collect()
+    assert {r.source: r.share for r in plan} == {"a": 5, "b": 5, "c": 1, "d": 1, "e": 1, "f": 1, None: 1}
+    assert sorted(r.slot for r in plan) == list(range(15))
+    none = spark.createDataFrame([("a", 0.0), (None, None)], "source string, weight double")
+    assert {(r.source, r.share) for r in mixing.pfair_cycle(none, 10).collect()} == {("a", 1), (None, 1)}
+    assert mixing.pfair_cycle(none.limit(0), 10).count() == 0
+    docs = spark.createDataFrame([(1, "x y", "a"), (2, "z", "q"), (2, "z", "q")], "doc_id long, text string, source string")
+    assert mixing.mix_sources(docs, spark.createDataFrame(given, "source string, weight double")).count() == 3
+
+
 def test_mixture_is_whole_and_follows_the_weights(spark):
     rows = [(i, prose(i, 20 + i % 50), "ab"[i % 3 == 0] if i % 7 else None) for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
