@@ -10,7 +10,7 @@ walked without recursion, so depth, broken markup and long pages do no harm. Col
 not padded beyond it, so that a long cell doesn't blow up its table.
 
 Defined cases: null and empty pages give empty text and a null title; text without tags is its own text; a tag that
-never ends or has hundreds of quoted parts is text; equal pages give equal texts. Output columns replace input columns of the same name.
+never ends is text as far as its attributes go; equal pages give equal texts. Output columns replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ _NAME, _BARE = r"[^\s/>][^\s/>=]*+", r"[^\s\"'>][^\s>]*+"
 _PLAIN = rf"(?:[\s/]++|{_NAME}(?!\s*+=\s*+[\"'])(?:\s*+=\s*+(?:{_BARE})?+)?+)++"
 _QUOTED = rf"{_NAME}\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+')"
 _TOKEN = re.compile(
-    rf"<!--(?:.*?-->|.*)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:{_PLAIN}|{_QUOTED}){{0,512}}+)>", re.S)
+    rf"<!--(?:.*?-->|.*)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:{_PLAIN}|{_QUOTED})*+)(>?+)", re.S)
 _ATTR = re.compile(rf"({_NAME})(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|({_BARE}))?+)?+")
 _BLANKS = re.compile(r"[ \t\n\r\f\v]+")
 _NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
@@ -135,6 +135,10 @@ def tree(html: str) -> Node:
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        if not m[4]:
+            # The tag never ends; what was read of it is text, and isn't read again.
+            write(unescape(m[0]))
+            continue
         if m[1]:
             if tag == "br":
                 push("br", {})

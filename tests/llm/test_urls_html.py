@@ -1,5 +1,7 @@
 """URL filters and HTML extraction."""
 
+import time
+
 from policylake.llm import html_layout, urls
 from policylake.llm.html_layout import page_text
 from policylake.llm.queries import ORACLES, QUERIES
@@ -80,6 +82,17 @@ def test_broken_and_deep_markup():
     assert len(page_text("<table><tr><td>x" * 2000)[1].split()) == 2000
 
 
+def test_tags_of_any_size_and_tags_that_never_end():
+    many = "".join(f' a{i}="{i}" b' for i in range(20000))
+    assert page_text(f"<p{many}>one<p hidden{many}>two")[1] == "one"
+    assert page_text('<a title="x>text</a> <p>More')[1].split("\n") == ['<a title="x>text', "", "More"]
+    assert page_text('<b>x</b> <p a="<i>y</i>" b')[1] == 'x <p a="<i>y</i>" b'
+    started = time.monotonic()
+    for open_ in ('<p a="1" ' * 50000, '<p a="1" <q' * 50000, '<p a="1" ' * 50000 + '<q a="> z'):
+        assert page_text(open_)[1].count('<p a="1"') == 50000
+    assert time.monotonic() - started < 20
+
+
 def test_head_ends_without_its_tags():
     assert page_text("<head><title>T</title><p>Hello <b>you</b>") == ("T", "Hello you")
     assert page_text("<html><head>\n<meta charset=x><link rel=y><style>s</style>\n Hello<p>there</html>") == (None, "Hello\n\nthere")
