@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,14 +13,15 @@ from policylake.operators.pages import domain_allowed
 from policylake.session import checkpointed
 
 
-def crawl(seeds: DataFrame, links: DataFrame, allowed: DataFrame, max_depth: int = 3,
+def crawl(seeds: DataFrame, links: DataFrame, allowed: DataFrame, max_depth: int | None = None,
           max_pages: int | None = None, edition: str = "all") -> tuple[DataFrame, DataFrame]:
     """(visited, documents) reached from the seeds.
 
     ``seeds(company, url)``, ``links(src, position, text, href, url)`` and
     ``allowed(company, domains)``. A page is visited once per company, at its
     least depth. Links to documents are classified and reported with the page
-    they were found on; other relevant links are followed below ``max_depth``.
+    they were found on; other relevant links are followed below
+    ``max_depth``, or as long as they lead to new pages.
 
     ``max_pages`` is a page budget per company in queue order: the order pages
     were found in, by finder and then by position on it. Without a budget the
@@ -34,7 +37,7 @@ def crawl(seeds: DataFrame, links: DataFrame, allowed: DataFrame, max_depth: int
     visited = frontier = checkpointed(frontier)
     levels = []
     budgeted = max_pages is not None
-    for depth in range(max_depth + 1):
+    for depth in count():
         sources = frontier.select("company", F.col("url").alias("src"),
                                   *([F.col("queue").alias("parent_queue")] if budgeted else []))
         # A page is visited once, so each link is judged once per company; both uses below read the result.

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from policylake import vocab
 from policylake.functions import score as S
 from policylake.operators.lifecycle import first_n_per_key
 
@@ -38,6 +39,25 @@ def store_summary(rules: DataFrame, approximate: bool = False) -> DataFrame:
         distinct(F.col("document")).alias("unique_documents"), distinct(F.col("rule_type")).alias("unique_types"))
 
 
+def summary_sketches(rules: DataFrame, *by: str, lg_k: int = vocab.SKETCH_LG_K) -> DataFrame:
+    """Per batch ``by``: number of rules, and sketches of the distinct payers, documents and types, of a fixed size.
+
+    Kept with each batch, so a total over all batches never reads the rules of earlier ones again.
+    """
+    return rules.groupBy(*by).agg(F.count("*").alias("rules"), *(
+        F.hll_sketch_agg(F.col(c).cast("string"), lg_k).alias(name)
+        for c, name in (("payer", "payers"), ("document", "documents"), ("rule_type", "types"))))
+
+
+def merged_summary(sketches: DataFrame) -> DataFrame:
+    """One row as ``store_summary`` from the sketches of any batches; sketches over no value count as none."""
+    def distinct(c: str) -> Column:
+        return F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(c)), F.lit(0)).cast("long")
+    return sketches.agg(
+        F.coalesce(F.sum("rules"), F.lit(0)).alias("total_rules"), distinct("payers").alias("unique_payers"),
+        distinct("documents").alias("unique_documents"), distinct("types").alias("unique_types"))
+
+
 def payer_profile(rules: DataFrame) -> DataFrame:
     """(payer, rule_type, n, total_rules, documents) for all payers.
 

@@ -151,8 +151,8 @@ def quality_funnel(docs: DataFrame, max_docs: int | None = None, threshold: floa
     ).unionByName(refused)
 
 
-def quality_analysis(docs: DataFrame) -> dict[str, DataFrame]:
-    """Documents with their quality, and the report's parts.
+def quality_analysis(docs: DataFrame, top: int) -> dict[str, DataFrame]:
+    """Documents with their quality, and the report's parts; ``top`` documents are listed as most relevant.
 
     ``docs(doc_id, url, title, page_count, file_size, content_type, text)``.
     """
@@ -163,7 +163,7 @@ def quality_analysis(docs: DataFrame) -> dict[str, DataFrame]:
     return {
         "rejected": gated.where("rejected is not null").groupBy("rejected").agg(F.count("*").alias("n")),
         "documents": analysed, "summary": RP.quality_summary(analysed), "flags": RP.quality_flag_counts(analysed),
-        "categories": RP.category_counts(analysed), "top": RP.top_relevant(analysed, "doc_id", 5),
+        "categories": RP.category_counts(analysed), "top": RP.top_relevant(analysed, "doc_id", top),
         "duplicates": RP.duplicate_listing(members, "doc_id"),
     }
 

@@ -155,6 +155,18 @@ def store_summary_approximate(spark, sf):
     return RP.store_summary(rule_store(spark, sf), approximate=True)
 
 
+@query(with_docs("""
+select total_rules, unique_payers, unique_types, true as documents_within_bound from (select count(*) as total_rules,
+  count(distinct payer) as unique_payers, count(distinct rule_type) as unique_types from rules)""", RULES_SQL))
+def store_summary_merged(spark, sf):
+    """Sketches of each type's rules merged; few values are counted exactly, documents within four standard errors."""
+    rules = rule_store(spark, sf)
+    merged = RP.merged_summary(RP.summary_sketches(rules, "rule_type"))
+    exact = rules.agg(F.count_distinct("document")).scalar()
+    off = F.abs(F.col("unique_documents") - exact) <= exact * (4 * 1.04 / 2 ** (vocab.SKETCH_LG_K / 2))
+    return merged.select("total_rules", "unique_payers", "unique_types", off.alias("documents_within_bound"))
+
+
 @query(with_docs("""
 select payer, rule_type, n, total_rules, documents from (select payer, rule_type, count(*) as n from rules group by all)
 join (select payer, count(*) as total_rules, count(distinct document) as documents from rules group by 1) using (payer)""", RULES_SQL))

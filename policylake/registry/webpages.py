@@ -136,7 +136,7 @@ classified as (select company, depth, parent_url, url, position, {argmax_case(RU
 
 
 def crawled(spark, sf, **options):
-    return LG.crawl(SRC.seeds(spark, sf), SRC.links(spark, sf), SRC.allowed_domains(spark, sf), **options)
+    return LG.crawl(SRC.seeds(spark, sf), SRC.links(spark, sf), SRC.allowed_domains(spark, sf), max_depth=3, **options)
 
 
 @query(GRAPH_SQL + """

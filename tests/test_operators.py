@@ -20,6 +20,7 @@ from policylake.operators import linkgraph as LG
 from policylake.operators import merge as G
 from policylake.operators import pages as PG
 from policylake.operators import ratio_blocks as RB
+from policylake.operators import reports as RP
 from policylake.operators import retrieval as RT
 from policylake.operators import similar as M
 from policylake.plans import flows as W
@@ -334,6 +335,21 @@ def test_crawl_equals_a_queue(spark):
         assert got == {u: (d, p) for u, d, p in want}
     free = {r.url: r.depth for r in LG.crawl(sdf, ldf, allowed, 3)[0].collect()}
     assert free == {u: d for u, d, _ in bfs_by_queue(urls[:2], links, ["example.com"], 3, None)}
+    whole = {r.url: r.depth for r in LG.crawl(sdf, ldf, allowed)[0].collect()}
+    assert whole == {u: d for u, d, _ in bfs_by_queue(urls[:2], links, ["example.com"], 99, None)} and max(whole.values()) > 3
+
+
+def test_summaries_merge_by_batch(spark):
+    rows = [(b, f"p{i % 7}" if i % 5 else None, f"d{i % 3000}", f"t{i % 4}") for b in range(3) for i in range(b * 1500, b * 1500 + 4000)]
+    rules = spark.createDataFrame(rows, "batch int, payer string, document string, rule_type string")
+    first, later = (RP.summary_sketches(rules.where(c), "batch") for c in ("batch < 2", "batch = 2"))
+    got = RP.merged_summary(first.unionByName(later)).first()
+    exact = RP.store_summary(rules).first()
+    assert (got.total_rules, got.unique_payers, got.unique_types) == (exact.total_rules, exact.unique_payers, exact.unique_types)
+    assert abs(got.unique_documents - exact.unique_documents) <= 0.033 * exact.unique_documents
+    assert tuple(RP.merged_summary(first.limit(0)).first()) == (0, 0, 0, 0)
+    unknown = rules.select("batch", *(F.lit(None).cast("string").alias(c) for c in ("payer", "document", "rule_type")))
+    assert tuple(RP.merged_summary(RP.summary_sketches(unknown)).first()) == (12000, 0, 0, 0)
 
 
 HTML = """<html><head><title>T &amp; U</title><script>var a = "<p>no</p>";</script></head><body>
