@@ -122,38 +122,58 @@ def test_edit_budget_is_whole(spark):
     assert {r.doc_id for r in line_dedup.dedup_lines(docs).collect()} == {1, 3, 4}
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+    return row[-1]
+
+
 def test_near_lines_by_brute_force(spark):
-    """Lines are grouped exactly if their sketches lie within 3 bits and their texts are similar enough."""
+    """Lines are grouped exactly if their texts are similar enough; no sketches and no blocks in the comparison."""
     lines = [t for k in range(6) for t in near_copies(12 + k, 60, 1)] + [prose(k, 30) for k in range(40)]
     lines = list(dict.fromkeys(lines))
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
-    table = {r.doc_id: r for r in line_dedup.line_table(docs).collect()}
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a):
-            last, row[0] = row[0], i + 1
-            for j, y in enumerate(b):
-                last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
-        return row[-1]
     root = list(range(len(lines)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
-    mask = (1 << 64) - 1
     for i in range(len(lines)):
         for j in range(i):
             a, b = lines[i].lower(), lines[j].lower()
-            if bin((table[i].sketch ^ table[j].sketch) & mask).count("1") <= line_dedup.BITS and \
-                    distance(a, b) <= int(max(len(a), len(b)) * (1 - line_dedup.SIMILARITY) + 1e-9):
+            if edits(a, b) <= int(max(len(a), len(b)) * (1 - line_dedup.SIMILARITY) + 1e-9):
                 root[max(find(i), find(j))] = min(find(i), find(j))
     left = {r.doc_id for r in line_dedup.dedup_lines(docs).collect()}
     assert left == {i for i in range(len(lines)) if find(i) == i}
     assert len(left) < len(lines)
 
 
+def test_lines_that_differ_in_a_word_are_found(spark):
+    """Pairs of lines of every length with one random word exchanged, left out or put in, by edit similarity alone."""
+    pick = random.Random(5)
+    rows, meant = [], {}
+    for length in (3, 4, 6, 8, 9, 10, 15, 16, 20, 21, 40, 60, 100):
+        for _ in range(40):
+            words = ["".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=pick.randint(2, 9))) for _ in range(length)]
+            other, at, how = list(words), pick.randrange(length), pick.random()
+            other[at:at + 1] = [] if how < 0.2 else [words[at], "also"] if how < 0.4 else ["".join(pick.choices("aeiou", k=4))]
+            a, b = " ".join(words), " ".join(other)
+            if edits(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9) and a != b:
+                rows += [(len(rows), a), (len(rows) + 1, b)]
+                meant.setdefault(length, []).append(rows[-1][0])
+    typed = [(10 ** 6 + k, t) for k, t in enumerate(["internationalisation", "internationallsation", "汉" * 3 + "语言处理的文本去重方法说明", "汉" * 3 + "语言处理的文本去重方法说眀"])]
+    docs = spark.createDataFrame(rows + typed, "doc_id long, text string")
+    left = {r.doc_id for r in line_dedup.dedup_lines(docs).collect()}
+    for length, ids in meant.items():
+        assert sum(i not in left for i in ids) >= 0.9 * len(ids), length
+    assert {i for i in left if i >= 10 ** 6} == {10 ** 6, 10 ** 6 + 2}
+    assert {i for i, _ in rows if i % 2 == 0} <= left
+
+
 def test_suffix_arrays_and_prefixes():
     pick = random.Random(3)
     for trial in range(120):
