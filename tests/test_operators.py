@@ -287,6 +287,39 @@ def test_search_equals_numpy(spark):
             assert got.get(i, []) == want
 
 
+def test_search_in_bounded_cells(spark, tmp_path, monkeypatch):
+    """Neither side is broadcast, however small its file is; many cells, ties and copies give what one cell gives."""
+    rng = np.random.default_rng(1)
+    rows = rng.integers(0, 3, size=(400, 6)).tolist()  # many copies
+    facet = [[None, "x", "y"][i % 3] for i in range(400)]
+    spark.createDataFrame([(i, [float(x) for x in r], f) for i, (r, f) in enumerate(zip(rows, facet))],
+                          "id long, embedding array<float>, f string").write.parquet(f"{tmp_path}/v")
+    vectors = spark.read.parquet(f"{tmp_path}/v").repartition(5)
+    questions = vectors.withColumnRenamed("id", "qid").where("qid % 3 = 0")
+    one = [tuple(r) for r in RT.search(questions, vectors, 4, facets=["f"]).orderBy("qid", "rank").collect()]
+    monkeypatch.setattr(RT, "CELL_BYTES", 512)
+    monkeypatch.setattr(RT, "PIECE_VECTORS", 8)
+    monkeypatch.setattr(RT, "PIECE_QUESTIONS", 4)
+    hits = RT.search(questions, vectors, 4, facets=["f"], block_rows=16)
+    assert [tuple(r) for r in hits.orderBy("qid", "rank").collect()] == one
+    assert "Broadcast" not in hits._jdf.queryExecution().executedPlan().toString()
+    m = np.array(rows, dtype=float)
+    for qid, want in {q: [r[1] for r in one if r[0] == q] for q in range(0, 400, 3)}.items():
+        with np.errstate(invalid="ignore"):
+            s = m @ m[qid] / (np.linalg.norm(m, axis=1) * np.linalg.norm(m[qid]))
+        ids = [j for j in range(400) if not np.isnan(s[j]) and facet[qid] in (None, facet[j])]
+        assert want == sorted(ids, key=lambda j: (-round(s[j], 6), j))[:4]
+
+
+def test_questions_without_a_filter_are_asked_once(spark, monkeypatch):
+    asked, search = [], RT.search
+    monkeypatch.setattr(RT, "search", lambda questions, *a, **b: (asked.append(questions.count()), search(questions, *a, **b))[1])
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], "a")], "id long, embedding array<float>, f string")
+    questions = spark.createDataFrame([(1, [1.0, 0.1], None), (2, [1.0, 0.1], "a")], "qid long, embedding array<float>, f string")
+    assert sorted((r.qid, r.fallback) for r in RT.search_with_fallback(questions, vectors, 1, ["f"]).collect()) == [(1, False), (2, False)]
+    assert asked == [3]
+
+
 def test_fallback_asks_again(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.0, 1.0], "b")], "id long, embedding array<float>, f string")
     questions = spark.createDataFrame([(1, [1.0, 0.1], "a"), (2, [1.0, 0.1], "none"), (3, [0.1, 1.0], None)],
