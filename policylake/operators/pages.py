@@ -14,6 +14,7 @@ from policylake import vocab
 from policylake.functions import score as S
 from policylake.functions.text import basename, strip, url_path
 from policylake.operators.lifecycle import first_n_per_key
+from policylake.session import computed_once
 
 HEADERS = ("h1", "h2", "h3", "h4")
 HIDDEN = ("script", "style")
@@ -136,8 +137,7 @@ def page_parts(html: Column, base_url: Column) -> Column:
 
 def parsed_pages(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """Pages with their parts instead of their markup; each page is parsed once."""
-    return pages.select(*[c for c in pages.columns if c != html],
-                        page_parts(F.col(html), F.col(url)).alias("page"))
+    return computed_once(pages, "page", page_parts(F.col(html), F.col(url))).drop(html)
 
 
 def page_links(parsed: DataFrame, keep_unnamed: bool = False) -> DataFrame:

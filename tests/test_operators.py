@@ -638,3 +638,22 @@ def test_plans_have_no_cross_products(spark, sf):
 def test_scans_read_only_what_they_need(spark, sf):
     plan = policy_docs(spark, sf).select("doc_id", "payer_name")._jdf.queryExecution().executedPlan().toString()
     assert "o_totalprice" not in plan and "o_orderstatus" not in plan and "c_acctbal" not in plan
+
+
+def test_costly_columns_are_computed_once(spark, sf):
+    """No condition takes the extraction, or the parser of pages, below the join or the shuffle."""
+    from policylake.registry import QUERIES
+    for name in ("rules_by_type_per_document", "rules_index_totals", "rules_by_type_and_payer", "deduped_rules"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("repeated footer line") == 3, name  # of the one text that is composed
+    for name in ("page_links", "downloads_listed"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1, name
+
+
+def test_tasks_do_not_grow_with_the_table(spark, tmp_path):
+    from policylake.sources.policy_docs import spread
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    assert spread(df, 50).rdd.getNumPartitions() == 20 and spread(df).rdd.getNumPartitions() == 4
+    assert spread(df, 50).count() == 1000
