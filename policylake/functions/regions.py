@@ -28,8 +28,8 @@ def regions_from_url(url: Column, patterns: tuple[str, ...] = vocab.REGION_URL_P
     """Sorted state codes named in a URL, by code pattern or by full name."""
     found = F.concat(*[F.regexp_extract_all(url, F.lit(rx(p)), F.lit(1)) for p in patterns])
     by_code = F.array_intersect(F.transform(found, F.upper), code_array())
-    squeezed = F.translate(F.upper(url), "-_", "")
-    by_name = _named(lambda name: squeezed.contains(name.upper().replace(" ", "")))
+    by_name = let(F.translate(F.upper(url), "-_", ""), lambda squeezed: _named(
+        lambda name: squeezed.contains(name.upper().replace(" ", ""))))
     return F.array_sort(F.array_union(by_code, by_name))
 
 

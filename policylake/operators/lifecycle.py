@@ -23,16 +23,15 @@ def policy_identity(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     have = set(docs.columns)
     body = F.col(text)
-    policy_type = F.col("policy_type") if "policy_type" in have else detect_policy_type(body)
+    typed = docs if "policy_type" in have else docs.withColumn("policy_type", detect_policy_type(body))
     requirements = F.col("requirements") if "requirements" in have else E.all_requirements(body)
     procedures = F.col("procedures") if "procedures" in have else F.array().cast("array<string>")
-    found = docs.select(
+    found = typed.select(
         "*",
         E.explicit_id(body).alias("explicit_id"),
         E.policy_dates(body).alias("_dates"),
         E.supersedes(body).alias("_supersedes"),
-        *([] if "policy_type" in have else [policy_type.alias("policy_type")]),
-        E.content_hash16(policy_type, F.col("payer_name"), procedures, requirements).alias("policy_hash"),
+        E.content_hash16(F.col("policy_type"), F.col("payer_name"), procedures, requirements).alias("policy_hash"),
     )
     confidence = (
         F.when(F.col("explicit_id").isNotNull(), F.lit(str(vocab.CONFIDENCE_EXPLICIT)).cast("decimal(5,4)"))

@@ -276,3 +276,12 @@ def test_answer_texts(spark):
                                 "1) T — P (N/A)", "    " + "c" * 320 + "...", "2) Policy rule — Unknown payer (S)"]
     models = spark.createDataFrame([("fine",), ("",), (None,), ("I am NOT SURE",)], "m string")
     assert [r[0] for r in models.select(A.choose_answer(F.lit("r"), F.col("m"))).collect()] == ["fine", "r", "r", "r"]
+
+
+def test_needs_fold_letters_that_patterns_take_for_ascii(spark):
+    """A long s, a dotless i and a dotted I match without regard to case, so the words needed are looked for in folded text."""
+    texts = ["Coding guıdelineſ: use the newest manual.", "ELIGIBİLİTY verifıcation: call before the visit."]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for needs in (vocab.SENTENCE_NEEDS, ((),) * len(vocab.SENTENCE_RULES)):
+        found = E.rule_matches(F.col("t"), vocab.SENTENCE_RULES, needs, True, ignore_case=True, multiline=True)
+        assert [r.n for r in df.select(F.size(found).alias("n")).collect()] == [1, 1], needs
