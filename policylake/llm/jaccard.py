@@ -9,7 +9,9 @@ size - ceil(percent * size / 100) + 1 of each in the global order, and their siz
 is applied twice: by the order of all documents to find candidates, and by the exact counts among these, where a set
 whose n-grams are mostly its own drops out, before pairs are looked at.
 Equal sets are folded into one node first. Links are then followed by pivots (``_links.grouped``), which tests every
-candidate pair that isn't connected already and never lists all pairs of a group of copies.
+candidate pair that isn't connected already and never lists all pairs of a group of copies. Before the segments of a pair
+are met, the parities of its sets, a bit per slot, say how many n-grams they don't share at least; that alone rules out
+most pairs that aren't linked, and no other.
 
 The order's counts come from one pass in which every task counts hashed slots and reports those it saw at least
 ``NOTED`` times: a lossy count with a bounded table (2^22 slots), which can change the work but not the links.
@@ -35,6 +37,8 @@ from policylake.llm._links import grouped, partnered, small, stored
 SLOT_BITS = 22
 NOTED = 8
 FRAGMENTS = 16
+#: Longs of a set's parity: 64 slots each.
+PARITY = 16
 
 
 def _bands(docs: DataFrame, text: str, words: int) -> np.ndarray:
@@ -63,32 +67,42 @@ def _ordered(grams: np.ndarray, offsets: np.ndarray, bands: np.ndarray) -> tuple
     return rows, sorted_within(place, offsets)
 
 
+def _parities(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A row per set: whether the number of its n-grams in a slot is odd, a bit per slot."""
+    out = np.zeros((len(offsets) - 1, PARITY), np.uint64)
+    slot = (grams >> np.uint64(8)) & np.uint64(64 * PARITY - 1)
+    np.bitwise_xor.at(out, (row_of(offsets), (slot >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (slot & np.uint64(63)))
+    return out.view(np.int64)
+
+
 def _node(grams: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes()))))
 
 
 def gram_sets(docs: DataFrame, key: str, text: str, words: int, percent: int, bands: np.ndarray) -> DataFrame:
-    """(doc_id, copy, n, node, head): hash of the text, size of its set, the set's hash (null if empty), its first n-grams.
+    """(doc_id, copy, n, node, head, parity): hash of the text, size of its set, the set's hash (null if empty), its first n-grams.
 
-    The head is the prefix in which linked sets meet, and a twentieth of the set more.
+    The head is the prefix in which linked sets meet.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches):
             grams, offsets = shingle_hashes(part.column("text"), words)
             sizes = np.diff(offsets)
             _, place = _ordered(grams, offsets, bands)
-            firsts = np.where(sizes > 0, np.minimum(sizes - -(-percent * sizes // 100) + 1 + sizes // 20, sizes), 0)
+            firsts = np.where(sizes > 0, sizes - -(-percent * sizes // 100) + 1, 0)
             keep = np.arange(len(place)) - np.repeat(offsets[:-1], sizes) < np.repeat(firsts, sizes)
             ends = np.concatenate([[0], np.cumsum(firsts)]).astype(np.int32)
             nodes = [_node(grams[a:b]) if b > a else None for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_id"), part.column("copy"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(place[keep].astype(np.int64)))],
-                ["doc_id", "copy", "n", "node", "head"])
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(place[keep].astype(np.int64))),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * PARITY),
+                                         pa.array(_parities(grams, offsets).ravel()))],
+                ["doc_id", "copy", "n", "node", "head", "parity"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, copy long, n long, node long, head array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, copy long, n long, node long, head array<long>, parity array<long>")
 
 
 def _segments(docs: DataFrame, samples: DataFrame, words: int, bands: np.ndarray) -> DataFrame:
@@ -147,9 +161,9 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     bands = _bands(docs, text, words)
     sets = stored(gram_sets(docs, key, text, words, percent, bands), "sets")
     nodes = sets.where("node is not null").groupBy("node").agg(
-        F.first("n").alias("size"), F.first("head").alias("head"), F.min(F.struct("doc_id", "copy")).alias("sample"))
-    prefix = F.slice("head", F.lit(1), F.expr(f"cast(size - ceil({percent} * size / 100) + 1 as int)"))
-    listed = nodes.select("node", "size", F.posexplode(prefix).alias("pos", "bucket"))
+        F.first("n").alias("size"), F.min(F.struct("doc_id", "copy")).alias("sample"), F.first("parity").alias("parity"))
+    listed = sets.where("node is not null").groupBy("node").agg(F.first("n").alias("size"), F.first("head").alias("head")).select(
+        "node", "size", F.posexplode("head").alias("pos", "bucket"))
     shared = listed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1") \
         .withColumnRenamed("node", "id")
     # A pair's first common n-gram leaves at most the shorter rest to be shared; it must do for the overlap needed.
@@ -158,12 +172,12 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     hopeful_sets = partnered(stored(shared, "shared"), may)
     # One row that holds each set is read again, only for sets that may have a partner.
     meant = hopeful_sets.select(F.col("id").alias("node")).distinct()
-    chosen = stored(nodes.join(meant, "node").select("node", "size", "head", "sample.*"), "heads")
-    heads, samples = chosen.select("node", "size", "head"), chosen.select("node", "doc_id", "copy")
+    chosen = stored(nodes.join(meant, "node").select("node", "size", "parity", "sample.*"), "chosen")
+    parities, samples = chosen.select("node", "size", "parity"), chosen.select("node", "doc_id", "copy")
     segments = stored(_segments(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), small(samples), words, bands),
                       "segments")
 
-    buckets = _rare_buckets(segments, heads.select("node", "size"), percent, may)
+    buckets = _rare_buckets(segments, chosen.select("node", "size"), percent, may)
 
     def sides(table: DataFrame, pairs: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
         meant = small(pairs)
@@ -171,12 +185,11 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str
             "a", "b", *(F.col(c) if c == "fragment" else F.col(c).alias(f"{c}_{x}") for c in columns)) for x in "ab")
 
     def tested(pairs: DataFrame) -> DataFrame:
-        # The first fragment, the heads, goes before the rest: what it leaves over bounds the overlap.
-        left, right = sides(heads, pairs, "size", "head")
-        needed = F.expr(f"ceil({percent} * (size_a + size_b) / {100 + percent})")
-        rest = F.greatest(F.col("size_a") - F.size("head_a"), F.col("size_b") - F.size("head_b"))
+        # A slot whose parities differ holds an n-gram that only one of the sets has.
+        left, right = sides(parities, pairs, "size", "parity")
+        apart = F.expr(" + ".join(f"bit_count(parity_a[{i}] ^ parity_b[{i}])" for i in range(PARITY)))
         hopeful = stored(left.join(right, ["a", "b"]).where(
-            F.size(F.array_intersect("head_a", "head_b")) + rest >= needed).select("a", "b", "size_a", "size_b"), "hopeful")
+            (100 + percent) * apart <= (100 - percent) * (F.col("size_a") + F.col("size_b"))).select("a", "b", "size_a", "size_b"), "hopeful")
         left, right = sides(segments, hopeful.select("a", "b"), "fragment", "grams")
         partial = left.join(right, ["a", "b", "fragment"]).select(
             "a", "b", "fragment", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("both"))

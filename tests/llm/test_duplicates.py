@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from policylake.llm import decontaminate, jaccard, line_dedup, substring_dedup, suffixes
+from policylake.llm import _links, decontaminate, jaccard, line_dedup, substring_dedup, suffixes
 from policylake.llm._links import connected, grouped, stored
 from policylake.llm.queries import QUERIES
 from tests.llm.conftest import prose
@@ -70,6 +70,32 @@ def test_jaccard_query(spark, sf):
     assert [got[i].component_id for i in ids] == [ids[k] for k in want]
 
 
+def test_jaccard_segments_meet_only_for_pairs_near_the_limit(spark, monkeypatch):
+    """Texts that share their rare n-grams but not enough of all go without their segments being joined."""
+    pick, base = random.Random(5), prose(9, 200).split()
+    texts = []
+    for i in range(40):
+        words = list(base)
+        for at in pick.sample(range(4, 196), 3):
+            words[at] = f"own{i}x{at}"
+        texts.append(" ".join(words))
+    tried = {"pairs": 0, "hopeful": 0}
+
+    def counted(df, name="step"):
+        table = stored(df, name)
+        if name in tried:
+            tried[name] += table.count()
+        return table
+    monkeypatch.setattr(jaccard, "stored", counted)
+    monkeypatch.setattr(_links, "stored", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in jaccard.jaccard_groups(docs, 4, 85).collect()}
+    sets = [shingles(t, 4) for t in texts]
+    mine = {i: r["group"] if r["group"] is not None else r.node for i, r in rows.items()}
+    assert [min(j for j in rows if mine[j] == mine[i]) for i in range(40)] == components(sets, 85)
+    assert tried["pairs"] > 100 and tried["hopeful"] < tried["pairs"] // 4
+
+
 def test_jaccard_edge_rows(spark, edge_docs, edge_rows, no_docs):
     rows = jaccard.jaccard_groups(edge_docs).collect()
     assert len(rows) == len(edge_rows)
