@@ -285,3 +285,15 @@ def test_needs_fold_letters_that_patterns_take_for_ascii(spark):
     for needs in (vocab.SENTENCE_NEEDS, ((),) * len(vocab.SENTENCE_RULES)):
         found = E.rule_matches(F.col("t"), vocab.SENTENCE_RULES, needs, True, ignore_case=True, multiline=True)
         assert [r.n for r in df.select(F.size(found).alias("n")).collect()] == [1, 1], needs
+
+
+def test_section_text_is_worked_out_once(spark):
+    """A text is lowered once a section and its evidence joined once, however many terms there are."""
+    docs = spark.createDataFrame([("Billing\n" + "x" * 600,), ("nothing\n" + "x" * 600,), (None,), ("",), ("claims\nshort",)], "t string")
+    body, windows = E.section_text(F.col("t"), "claims"), E.section_windows(F.col("t"), "claims")
+    rows = docs.select(body.alias("b"), windows.alias("w")).collect()
+    assert [r.b for r in rows] == ["Billing\n" + "x" * 600, None, None, None, None]
+    assert [None if r.w is None else [tuple(w) for w in r.w] for r in rows] == [[(0, 2, 608)], [], None, [], []]
+    for found in (body, windows):
+        plan = docs.select(found.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("lower(") == 1 and plan.count("split(") == 2 and plan.count("slice(") == 1
