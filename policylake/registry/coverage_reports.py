@@ -10,6 +10,7 @@ from policylake.operators import reports as RP
 from policylake.registry.base import q, query, with_docs
 from policylake.registry.extracts import KEPT_SQL, document_rules
 from policylake.registry.scores import QUALITY_SQL, analysed_docs
+from policylake.session import written
 from policylake.sources.policy_docs import policy_docs, table
 
 STATES_SQL = "states(code, name) as (values " + ", ".join(f"({q(c)}, {q(n)})" for c, n in vocab.STATES.items()) + ")"
@@ -160,7 +161,8 @@ select total_rules, unique_payers, unique_types, true as documents_within_bound
   count(distinct payer) as unique_payers, count(distinct rule_type) as unique_types from rules)""", RULES_SQL))
 def store_summary_merged(spark, sf):
     """Sketches of each type's rules merged; few values are counted exactly, documents within four standard errors."""
-    rules = rule_store(spark, sf)
+    # Both aggregates read the rules, which are costly to extract.
+    rules = written(rule_store(spark, sf).select("rule_type", "payer", "document"), "rules")
     merged = RP.merged_summary(RP.summary_sketches(rules, "rule_type"))
     exact = rules.agg(F.count_distinct("document")).scalar()
     off = F.abs(F.col("unique_documents") - exact) <= exact * (4 * 1.04 / 2 ** (vocab.SKETCH_LG_K / 2))

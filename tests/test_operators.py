@@ -657,3 +657,12 @@ def test_tasks_do_not_grow_with_the_table(spark, tmp_path):
     df = spark.read.parquet(f"{tmp_path}/t")
     assert spread(df, 50).rdd.getNumPartitions() == 20 and spread(df).rdd.getNumPartitions() == 4
     assert spread(df, 50).count() == 1000
+
+
+def test_merged_summary_extracts_the_rules_once(spark, sf):
+    """What the query returns reads the rules as written, not the orders they are extracted from."""
+    from policylake.registry import QUERIES
+    merged = QUERIES["store_summary_merged"](spark, sf)
+    assert "o_orderkey" not in merged._jdf.queryExecution().optimizedPlan().toString()
+    total = QUERIES["store_summary"](spark, sf).first()
+    assert tuple(merged.first()) == (total.total_rules, total.unique_payers, total.unique_types, True)
