@@ -10,10 +10,13 @@ each block per round, never all pairs of a block.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from math import ceil
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +24,7 @@ from pyspark.sql import types as T
 from policylake.functions.extract import word_set
 from policylake.functions.text import content_hash, let, similarity_text
 from policylake.operators.ratio_blocks import GramCounts, histogram, may_match, ratio_blocks, ratio_kind
-from policylake.session import checkpointed
+from policylake.session import checkpointed, computed_once, written
 
 
 def ratio_from(new: Column, existing: Column, threshold: float) -> Column:
@@ -62,79 +65,122 @@ def dedupe_rules(rules: Column, text_of: Callable[[Column], Column], threshold:
 
 # --- candidate blocks --------------------------------------------------------------
 
-SKETCH = [f"s{i}" for i in range(8)]
+#: Slots of word hashes that are counted for the order of words.
+SLOT_BITS = 18
+#: Longs of a set's parities: those that stand beside each key, and those that pairs are judged by afterwards.
+SKETCH, PARITY = [f"s{i}" for i in range(4)], 32
+#: Rows of a narrow table that are broadcast at most.
+NARROW = 500_000
 
 
-def _sketch(words: Column) -> Column:
-    """Struct of eight 64-bit maps with one bit set per word."""
-    one = F.lit(1).cast("long")
+def _slot_counts(sets: DataFrame) -> np.ndarray:
+    """How often words of each slot occur; a table of fixed size."""
+    slot = F.shiftrightunsigned("word", 64 - SLOT_BITS).cast("int").alias("slot")
+    seen = sets.select(F.explode("words").alias("word")).groupBy(slot).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    counts[seen["slot"].to_numpy()] = seen["n"].to_numpy()
+    return counts
 
-    def bits(hashes: Column, part: int) -> Column:
-        def add(acc: Column, h: Column) -> Column:
-            bit = F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))
-            return F.when(F.shiftright(h, 6).bitwiseAND(F.lit(7)) == part, acc.bitwiseOR(bit)).otherwise(acc)
-        return F.aggregate(hashes, F.lit(0).cast("long"), add)
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda hashes: F.struct(*[
-        bits(hashes, i).alias(name) for i, name in enumerate(SKETCH)]))
+def _parities(hashes: np.ndarray, longs: int) -> np.ndarray:
+    """Whether the number of hashes in each of 64 slots a long is odd, a bit a slot; unlike set bits these never fill up."""
+    odd = np.bincount((hashes & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _prefix_blocks(sets: DataFrame, scope: list[str], overlap: float) -> DataFrame:
-    """(scope, sid, size, word, sketch) for the rarest words of each set, enough for ``overlap``."""
-    exploded = sets.select(*scope, "sid", F.explode("words").alias("word"))
-    frequency = exploded.groupBy("word").agg(F.count("*").alias("freq"))
-    ranked = exploded.join(frequency, "word").groupBy(*scope, "sid").agg(
-        F.array_sort(F.collect_list(F.struct("freq", "word"))).alias("ordered"))
-    size = F.size("ordered")
-    # A hair below the exact product, so rounding can only lengthen the prefix.
-    needed = F.ceil(size * F.lit(overlap) - F.lit(1e-9)).cast("int")
-    prefix = F.transform(F.slice("ordered", F.lit(1), size - needed + 1), lambda x: x["word"])
-    words = F.transform("ordered", lambda x: x["word"])
-    return ranked.select(*scope, "sid", size.alias("size"), _sketch(words).alias("k"), prefix.alias("prefix")).select(
-        *scope, "sid", "size", "k.*", F.explode("prefix").alias("word"))
+def _prefix_blocks(sets: DataFrame, overlap: float) -> DataFrame:
+    """(set, size, pos, word, sketch) for the rarest words of each set, enough for ``overlap``; pos: place in the order."""
+    counts = _slot_counts(sets)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, words in zip(batch.column("set").to_pylist(), batch.column("words")):
+                hashes = words.values.to_numpy().view(np.uint64)
+                n = len(hashes)
+                # A hair below the exact product, so rounding can only lengthen the prefix.
+                first = n - ceil(n * overlap - 1e-9) + 1
+                order = np.lexsort((hashes, counts[(hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]))[:first]
+                sketch = _parities(hashes, len(SKETCH))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(order), x)) for x in (name, n)] + [pa.array(np.arange(len(order))), pa.array(hashes[order].view(np.int64))]
+                    + [pa.array(np.full(len(order), x)) for x in sketch], ["set", "size", "pos", "word", *SKETCH])
 
-def _side(blocks: DataFrame, scope: list[str], name: str) -> DataFrame:
-    """Block rows with their columns named for one side of a pair."""
-    return blocks.select(*scope, "word", F.col("sid").alias(name), F.col("size").alias(f"{name}_size"),
-                         *[F.col(c).alias(f"{name}_{c}") for c in SKETCH])
+    return sets.select("set", "words").mapInArrow(run, "set long, size long, pos long, word long, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
-def _may_overlap(a: str, b: str, overlap: float) -> Column:
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(set, size, parity): the long parities of each set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [w.values.to_numpy().view(np.uint64) for w in batch.column("words")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("set"), pa.array([len(w) for w in held], pa.int64()),
+                 pa.array([_parities(w, PARITY) for w in held], pa.list_(pa.int64()))], ["set", "size", "parity"])
+
+    return sets.select("set", "words").mapInArrow(run, "set long, size long, parity array<long>")
+
+
+def _may_overlap(differing: Column, na: Column, nb: Column, overlap: float) -> Column:
     """What sizes and sketches do not rule out.
 
     Sizes far apart cannot reach the overlap, and every bit in which the
-    sketches differ stands for a word that is not shared. Nothing that reaches
+    parities differ stands for a word that is not shared. Nothing that reaches
     the overlap is lost.
     """
-    na, nb = F.col(f"{a}_size"), F.col(f"{b}_size")
     sized = (na >= nb * F.lit(overlap) - F.lit(1e-9)) & (nb >= na * F.lit(overlap) - F.lit(1e-9))
-    differing = F.lit(0)
-    for c in SKETCH:
-        differing = differing + F.bit_count(F.col(f"{a}_{c}").bitwiseXOR(F.col(f"{b}_{c}")))
     return sized & (differing <= (na + nb) * F.lit((1 - overlap) / (1 + overlap)) + F.lit(1e-9))
 
 
+def _both_sides(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """The pairs (a, b, ...) with columns of the sets at both ends, named by the end."""
+    def side(name: str) -> DataFrame:
+        return table.select(F.col("set").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
 def jaccard_pairs(df: DataFrame, id_col: str, text: Column, threshold: float = 0.85,
                   scope: list[str] | None = None) -> DataFrame:
     """Pairs of distinct word sets overlapping by more than ``threshold``.
 
     One row per pair of sets, named by their smallest ids, with the number of
-    members; the members of one set are equal and are not paired.
+    members; the members of one set are equal and are not paired. Words are
+    compared by 64-bit hashes, which hold the scope, so that sets of two scopes share none.
+    Pairs stay narrow until the long parities have ruled out those that aren't alike.
     """
     scope = scope or []
-    sets = checkpointed(
-        df.select(*scope, F.col(id_col).alias("_id"), word_set(text).alias("words")).where(F.size("words") > 0)
-        .groupBy(*scope, "words").agg(F.min("_id").alias("sid"), F.count("*").alias("members")))
-    blocks = _prefix_blocks(sets, scope, threshold)
-    candidates = _side(blocks, scope, "a").join(_side(blocks, scope, "b"), [*scope, "word"]).where(
-        (F.col("a") < F.col("b")) & _may_overlap("a", "b", threshold)).select(*scope, "a", "b").distinct()
-    wa = sets.select(*scope, F.col("sid").alias("a"), F.col("words").alias("wa"), F.col("members").alias("members_a"))
-    wb = sets.select(*scope, F.col("sid").alias("b"), F.col("words").alias("wb"), F.col("members").alias("members_b"))
-    scored = candidates.join(wa, [*scope, "a"]).join(wb, [*scope, "b"]).withColumn(
-        "similarity", jaccard(F.col("wa"), F.col("wb")))
-    return scored.where(F.col("similarity") > threshold).select(
-        *scope, "a", "b", "members_a", "members_b", "similarity")
+    scoped = df.where(" and ".join(f"`{c}` is not null" for c in scope)) if scope else df
+    hashes = F.array_sort(F.array_distinct(F.transform(word_set(text), lambda w: F.xxhash64(*scope, w))))
+    worded = computed_once(scoped.withColumn("_set", F.monotonically_increasing_id()), "_words", hashes).where(F.size("_words") > 0)
+    rows = written(worded.select(*scope, F.col(id_col).alias("_id"), F.col("_set").alias("set"), F.col("_words").alias("words"),
+                                 F.md5(F.array_join(F.col("_words").cast("array<string>"), " ")).alias("key")), "words")
+    named = written(rows.groupBy(*scope, "key").agg(
+        F.min("_id").alias("sid"), F.min("set").alias("set"), F.count("*").alias("members")).drop("key"), "sets")
+    kept = named.select("set")
+    sets = written(rows.select("set", "words").join(F.broadcast(kept) if kept.count() <= NARROW else kept, "set", "left_semi"), "distinct")
+    blocks = written(_prefix_blocks(sets, threshold), "blocks")
+
+    def end(name: str) -> DataFrame:
+        return blocks.select("word", *[F.col(c).alias(f"{c}_{name}") for c in ("set", "size", "pos", *SKETCH)])
+    differing = F.lit(0)
+    for c in SKETCH:
+        differing = differing + F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
+    # The first common word leaves at most the shorter rest to be shared.
+    rest = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
+    enough = rest >= (F.col("size_a") + F.col("size_b")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9)
+    candidates = written(end("a").join(end("b"), "word").where(
+        (F.col("set_a") < F.col("set_b")) & enough & _may_overlap(differing, F.col("size_a"), F.col("size_b"), threshold)).select(
+        F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct(), "candidates")
+    judged = _both_sides(candidates, written(_sketches(sets), "sketches"), "size", "parity")
+    differing = F.expr(" + ".join(f"bit_count(parity_a[{i}] ^ parity_b[{i}])" for i in range(PARITY)))
+    hopeful = written(judged.where(_may_overlap(differing, F.col("size_a"), F.col("size_b"), threshold)).select("a", "b", "size_a", "size_b"), "hopeful")
+    met = _both_sides(hopeful, sets, "words").withColumn("both", F.size(F.array_intersect("words_a", "words_b")))
+    scored = written(met.withColumn("similarity", F.col("both") / (F.col("size_a") + F.col("size_b") - F.col("both"))).where(
+        F.col("similarity") > threshold).select("a", "b", "similarity"), "scored")
+    ends = _both_sides(scored, named, "sid", "members", *scope).where("sid_a <> sid_b")
+    first = F.col("sid_a") < F.col("sid_b")
+    return ends.select(*[F.col(f"{c}_a").alias(c) for c in scope], F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b"),
+                       *[F.when(first, F.col(f"members_{x}")).otherwise(F.col(f"members_{y}")).alias(f"members_{n}")
+                         for n, x, y in (("a", "a", "b"), ("b", "b", "a"))], "similarity")
 
 
 # --- ratio of matching characters ------------------------------------------------------

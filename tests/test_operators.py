@@ -247,6 +247,20 @@ def test_jaccard_pairs_equal_brute_force(spark):
     assert got == want
 
 
+def test_jaccard_pairs_of_long_sets(spark, monkeypatch):
+    # Sets of 1,500 words share half of them; set bits would fill up and rule out nothing before texts are met.
+    common, kept = [f"c{k}" for k in range(750)], {}
+    texts = [" ".join(common + [f"w{i}x{k}" for k in range(750)]) for i in range(8)]
+    texts += [texts[0] + " one more", texts[0]]
+    rows = [(i, t, s) for i, t in enumerate(texts) for s in ("p", "q")] + [(90, texts[0], None), (91, texts[8], None)]
+    df = spark.createDataFrame(rows, "id long, t string, s string")
+    written = M.written
+    monkeypatch.setattr(M, "written", lambda df, name: kept.setdefault(name, written(df, name)))
+    got = sorted(map(tuple, M.jaccard_pairs(df, "id", F.col("t"), .85, ["s"]).collect()))
+    assert got == [(s, 0, 8, 2, 1, 1500 / 1502) for s in ("p", "q")]
+    assert kept["hopeful"].count() == 2
+
+
 def test_rules_deduped_in_order(spark):
     words = "a b c d e f g h i j k l m n o p q r s t"
     rows = [words, words + " u", "other words here", words + " u v"]
