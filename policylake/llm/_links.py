@@ -142,6 +142,9 @@ def grouped(spark: SparkSession, buckets: DataFrame, tested: Callable[[DataFrame
         met = p.join(m, F.expr(f"p.bucket = m.bucket and p.g <> m.g and {comparable}")).select(
             F.col("p.id").alias("p"), F.col("m.id").alias("m")).distinct()
         met = stored(met, "met") if foremost else met
+        if foremost and is_empty(met):
+            first, rounds = False, rounds if first else rounds + 1
+            continue
         others = met.select(F.least("p", "m").alias("a"), F.greatest("p", "m").alias("b")).distinct()
         if foremost:
             # What the first pivot links is one group, and its members' other pairs needn't be tested.

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -39,6 +39,8 @@ NOTED = 8
 FRAGMENTS = 16
 #: Longs of a set's parity: 64 slots each.
 PARITY = 16
+#: Longs that stand beside a set's n-grams where they meet: the parities folded, which still never differ too often.
+FOLDED = [f"k{i}" for i in range(2)]
 
 
 def _bands(docs: DataFrame, text: str, words: int) -> np.ndarray:
@@ -129,8 +131,20 @@ def _segments(docs: DataFrame, samples: DataFrame, words: int, bands: np.ndarray
     return found.mapInArrow(run, "node long, fragment int, grams array<long>")
 
 
-def _rare_buckets(segments: DataFrame, sizes: DataFrame, percent: int, may: str) -> DataFrame:
-    """(bucket, id, size, pos, rank): the n-grams in which linked sets meet, in the exact order among candidates.
+def _folded() -> list[Column]:
+    """A set's parities, folded to the longs of ``FOLDED``."""
+    n = len(FOLDED)
+    return [F.expr(" ^ ".join(f"parity[{j}]" for j in range(i, PARITY, n))).alias(name) for i, name in enumerate(FOLDED)]
+
+
+def _alike(percent: int) -> str:
+    """Whether the folded parities of p and m let their sets be linked."""
+    apart = " + ".join(f"bit_count(p.{k} ^ m.{k})" for k in FOLDED)
+    return f"{100 + percent} * ({apart}) <= {100 - percent} * (p.size + m.size)"
+
+
+def _rare_buckets(segments: DataFrame, chosen: DataFrame, percent: int, may: str) -> DataFrame:
+    """(bucket, id, size, pos, rank, folded parities): the n-grams in which linked sets meet, in the exact order among candidates.
 
     Among the candidates an n-gram's count can be taken exactly. A set that shares fewer than percent of its n-grams with
     any other candidate goes; the rest are ordered by their counts among what is left, those of no other set first.
@@ -139,6 +153,7 @@ def _rare_buckets(segments: DataFrame, sizes: DataFrame, percent: int, may: str)
         grams = rows.select("node", F.explode("grams").alias("gram")).repartition("gram").dropDuplicates(["gram", "node"])
         return grams.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("n > 1")
 
+    sizes, folded = chosen.select("node", "size"), chosen.select(F.col("node").alias("id"), *_folded())
     held = shared(segments).groupBy("node").agg(F.count(F.lit(1)).alias("held"))
     alive = stored(sizes.join(held, "node").where(100 * F.col("held") >= percent * F.col("size")).select("node", "size"), "alive")
     again = shared(segments.join(small(alive.select("node")), "node")).join(small(alive), "node")
@@ -148,7 +163,7 @@ def _rare_buckets(segments: DataFrame, sizes: DataFrame, percent: int, may: str)
     prefix = placed.where(F.col("pos") <= F.col("size") - F.ceil(percent * F.col("size") / 100)).select(
         F.col("gram").alias("bucket"), F.col("node").alias("id"), "size", "pos", F.col("place").alias("rank"))
     met = prefix.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1")
-    return stored(partnered(stored(met, "met"), may), "buckets")
+    return stored(partnered(stored(met.join(small(folded), "id"), "met"), may), "buckets")
 
 
 def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id",
@@ -177,7 +192,9 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     segments = stored(_segments(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), small(samples), words, bands),
                       "segments")
 
-    buckets = _rare_buckets(segments, chosen.select("node", "size"), percent, may)
+    # The folded parities are met first, so that pairs of a crowd that can't be linked aren't listed at all.
+    near = f"{may} and {_alike(percent)}"
+    buckets = _rare_buckets(segments, chosen.select("node", "size", "parity"), percent, near)
 
     def sides(table: DataFrame, pairs: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
         meant = small(pairs)
@@ -199,7 +216,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str
         return overlap.join(small(hopeful), ["a", "b"]).where(
             100 * F.col("both") >= percent * (F.col("size_a") + F.col("size_b") - F.col("both"))).select("a", "b")
 
-    groups = grouped(spark, buckets, tested, comparable=may, hint="rank <= 2", foremost=True)
+    groups = grouped(spark, buckets, tested, comparable=near, hint="rank <= 2", foremost=True)
     marked = groups.select(F.col("id").alias("node"), F.col("least").alias("group"))
     marked = marked.unionByName(marked.select(F.col("group").alias("node"), "group").distinct())
     return sets.select("doc_id", "copy", F.col("n").alias("n_shingles"), "node").join(marked, "node", "left") \

@@ -96,6 +96,26 @@ def test_jaccard_segments_meet_only_for_pairs_near_the_limit(spark, monkeypatch)
     assert tried["pairs"] > 100 and tried["hopeful"] < tried["pairs"] // 4
 
 
+def test_jaccard_lists_no_pairs_of_a_crowd_of_unlinked_texts(spark, monkeypatch):
+    # All share 50 of 57 shingles, so they meet, and none is linked; a twin of the last one is.
+    rows = [(i, " ".join([f"c{k}" for k in range(53)] + [f"o{i}x{k}" for k in range(7)])) for i in range(40)]
+    rows.append((40, rows[39][1] + " more"))
+    listed, grouped = [], jaccard.grouped
+
+    def counted(spark, buckets, tested, **how):
+        def counting(pairs):
+            listed.append(pairs.count())
+            return tested(pairs)
+        return grouped(spark, buckets, counting, **how)
+    monkeypatch.setattr(jaccard, "grouped", counted)
+    found = jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), words=4, percent=85).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r.group, []).append(r.doc_id)
+    assert sorted(map(sorted, (v for g, v in groups.items() if g is not None))) == [[39, 40]]
+    assert sum(listed) <= 80
+
+
 def test_jaccard_edge_rows(spark, edge_docs, edge_rows, no_docs):
     rows = jaccard.jaccard_groups(edge_docs).collect()
     assert len(rows) == len(edge_rows)
