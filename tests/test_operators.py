@@ -7,6 +7,7 @@ import random
 from collections import deque
 from datetime import date, datetime
 from difflib import SequenceMatcher
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -204,6 +205,23 @@ def test_bounds_behind_the_ratio_blocks():
     assert long_pairs > 10
 
 
+def test_texts_that_share_passages_are_not_aligned(spark, monkeypatch):
+    """A pair needs as many keys in common as the ratio asks for; what is not eligible offers none."""
+    rng, met, offered = random.Random(4), [], []
+    words = ["".join(rng.choice("eeeeetttaaaoooiiinnnssshhrrdl") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    passages = {frozenset(p): " ".join(rng.sample(words, 25)) for p in combinations(range(12), 2)}
+    texts = [" ".join(passages[frozenset((i, j))] for j in rng.sample(range(12), 12) if j != i) for i in range(12)]
+    texts.append(texts[3] + " end of the text")
+    ratios, live = M._ratios, M._live
+    monkeypatch.setattr(M, "_ratios", lambda pairs, *rest: (met.extend(map(tuple, pairs.collect())), ratios(pairs, *rest))[1])
+    monkeypatch.setattr(M, "_live", lambda rows: (offered.extend(
+        r.sid for r in rows.where("least is not null").select("sid").distinct().collect()), live(rows))[1])
+    df = spark.createDataFrame([(i, t, i != 5) for i, t in enumerate(texts)], "id long, t string, ok boolean")
+    got = {r.id: r.dup_of for r in M.near_duplicates(df, "id", "t", eligible=F.col("ok")).collect()}
+    assert got == {i: 3 if i == 12 else None for i in range(13)}
+    assert set(met) == {(12, 3)} and sorted(offered) == [i for i in range(13) if i != 5]
+
+
 def test_similar_policies_equal_all_pairs(spark):
     texts = [t for t in texts_altered_by_letters(12, 90) if t]
     df = spark.createDataFrame([(f"p{i}", "PQ"[i % 2], t) for i, t in enumerate(texts)], "policy_id string, payer_name string, content string")
