@@ -360,6 +360,20 @@ def test_fallback_asks_again(spark):
     assert got == {1: (1, False), 2: (1, True), 3: (2, False)}
 
 
+def test_contexts_hold_whole_texts_and_every_question(spark, tmp_path):
+    from policylake import vocab
+    from policylake.registry import QUERIES
+    spark.createDataFrame([(1, "Alpha title\nfiling of claims", "en", "src1"), (2, "Beta\nappeals of denials", "en", "src1")],
+                          "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, "user", "filing of claims"), (1, 1, "user", "?!")],
+                          "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    chunks = {r.qid: (r.context, r.first_source) for r in QUERIES["answer_contexts"](spark, str(tmp_path)).collect()}
+    assert chunks == {1000: ("Alpha title\nfiling of claims\n\nBeta\nappeals of denials", "src1.pdf"), 1001: ("", None)}
+    rules = {r.qid: r.context for r in QUERIES["rule_contexts"](spark, str(tmp_path)).collect()}
+    assert rules[1000].startswith("Payer: Plan A\nRule Type: en\nTitle: Alpha title\nDocument: src1.pdf (page 1)\nContent: Alpha title\nfiling of claims\n")
+    assert rules[1001] == vocab.NO_CONTEXT
+
+
 def test_blank_question_is_an_error(spark):
     rules = spark.createDataFrame([(1, [1.0], "P", None, "t", "c")],
                                   "id long, embedding array<float>, payer_name string, geographic_scope string, title string, content string")
