@@ -198,6 +198,27 @@ def test_near_lines_by_brute_force(spark):
     assert len(left) < len(lines)
 
 
+def test_edits_by_words_and_pieces_are_never_too_few(spark):
+    """Never below the edit distance; near enough to prove copies alike, by words also repetitive ones, by pieces moved ones."""
+    from pyspark.sql import functions as F
+    rng = random.Random(5)
+    pairs = [("", ""), ("a", ""), ("x y z", "x y z"), ("same words here " * 9, "same words here " * 8), (prose(1, 40), prose(2, 40))]
+    for k in range(20):
+        a = [f"{w}{rng.randrange(9)}" for w in prose(k, 200).split()]
+        b = [w if rng.random() > 0.1 else w[::-1] + "x" for w in a]
+        cycle = (a[:12] * 9)[:100]
+        pairs += [(a, b), (a[:40] + ["end", "of"] + a[40:], b), (a[5:90] + a[99:], b), (cycle, cycle[:50] + ["odd"] + cycle[51:]),
+                  (a[60:] + a[:60], b), (a[:50] + a[20:], b)]
+    pairs = [tuple(t if isinstance(t, str) else " ".join(t) for t in p) for p in pairs]
+    rows = spark.createDataFrame([(i, a.strip(), b.strip()) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    got = rows.select("i", F.expr(line_dedup._edits_by_words("a", "b")).alias("words"), F.expr(line_dedup._edits_by_pieces("a", "b")).alias("pieces"),
+                      F.levenshtein("a", "b").alias("least")).collect()
+    assert all(r.least <= r.words and r.least <= r.pieces for r in got)
+    kinds = {k: [r for r in got if r.i > 4 and (r.i - 5) % 6 == k] for k in range(4)}
+    assert all(r.words <= 1.2 * r.least + 40 for k in (0, 1, 3) for r in kinds[k])
+    assert all(r.pieces <= 1.2 * r.least + 40 for k in (0, 1, 2) for r in kinds[k])
+
+
 def test_lines_that_differ_in_a_word_are_found(spark):
     """Pairs of lines of every length with one random word exchanged, left out or put in, by edit similarity alone."""
     pick = random.Random(5)
