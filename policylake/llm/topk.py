@@ -266,7 +266,8 @@ def top_k(rows: DataFrame, asks: Column, k: int, key: str = "vec_id", vector: st
         return pa.RecordBatch.from_arrays([pa.array(asking), pa.array(asked), pa.array(list(q), pa.list_(pa.int64())), pa.array(floors, pa.float64())],
                                           ["row", "id", "vector", "floor"])
 
-    seeds = stored(_met(questions(first).join(blocks.where("block = 0"), "cell"), index, k, seeded,
+    # Packs are copied for every block that they meet, which Spark doesn't see in their size: neither side may be broadcast.
+    seeds = stored(_met(questions(first).hint("merge").join(blocks.where("block = 0"), "cell"), index, k, seeded,
                         "row long, id long, vector array<long>, floor double"), "seeds")
     packs = -(-seeds.count() // PACK)
     second = _packs(seeds.withColumn("pack", F.pmod(F.xxhash64("row"), F.lit(max(packs, 1))).cast("int")), ["pack"], floors=True)
@@ -296,6 +297,9 @@ def top_k(rows: DataFrame, asks: Column, k: int, key: str = "vec_id", vector: st
             [pa.array(np.repeat(asking, sizes)), pa.array(np.repeat(asked, sizes)), pa.array(ids[places]), pa.array(rows[places]),
              _as_long([s for _, scores in found for s in scores])], ["row", "query_id", "id", "other", "score"])
 
-    hits = _met(wanted.join(blocks, ["cell", "block"]), index, k, listed, "row long, query_id long, id long, other long, score long")
+    # A block is few bytes and much work, so each gets a task.
+    tasks = sum(index.blocks.values())
+    meeting = wanted.repartition(tasks, "cell", "block").hint("merge").join(blocks.repartition(tasks, "cell", "block"), ["cell", "block"])
+    hits = _met(meeting, index, k, listed, "row long, query_id long, id long, other long, score long")
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "id", "other")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -291,6 +291,18 @@ def test_topk_of_edge_vectors(spark, monkeypatch, block):
     assert all(r["rank"] <= 5 for r in found)
 
 
+def test_topk_broadcasts_no_packs(spark):
+    """Packs are copied for every block, so their size isn't the one that Spark sees."""
+    rows = [(i, [i * 37 % 101 - 50, i * 53 % 97 - 48, i % 7]) for i in range(300)]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<long>"), F.col("vec_id") % 3 == 0, 4)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {q: sorted((-sum(x * y for x, y in zip(rows[q][1], v)), i) for i, v in rows if i != q)[:4] for q in range(0, 300, 3)}
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.id))
+    assert got == want
+
+
 def test_topk_of_few_or_no_vectors(spark):
     kind = "vec_id long, asks boolean, embedding array<long>"
     assert topk.top_k(spark.createDataFrame([], kind), F.col("asks"), 5).count() == 0
